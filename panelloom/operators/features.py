@@ -89,6 +89,27 @@ def add_direction_run(df: DataFrame, keys: Sequence[str] = SERIES, returns: str
     return runs.withColumn("consecutive_direction_lag1", F.lag("consecutive_direction").over(w)).drop("_place", "_starts")
 
 
+def _decayed_sums(df: DataFrame, terms: dict[str, Column], fade: float, into: str, keys: Sequence[str]) -> DataFrame:
+    """Running sums of terms that are scaled to their place in a block of ``EWM_BLOCK`` rows.
+
+    Restarting the scale per block keeps the powers finite. What earlier blocks weigh is worked out on the
+    first row of a block from their closing sums, each faded by ``fade`` per block.
+    """
+    w, inside = by_date(keys), running(by_date((*keys, "_block")))
+    df = df.withColumn("_terms", F.struct(*[c.alias(n) for n, c in terms.items()]))
+    df = df.withColumn("_inside", F.struct(*[F.sum(f"_terms.{n}").over(inside).alias(n) for n in terms]))
+    closing = F.when(F.col("_at") == EWM_BLOCK - 1, F.col("_inside"))
+    df = df.withColumn("_closings", F.collect_list(closing).over(running(w)))
+
+    def carried(term: str) -> Column:
+        return F.aggregate("_closings", F.lit(0.0), lambda acc, c: (acc + c[term]) * fade).alias(term)
+
+    # on its first row a block has no closing of its own yet
+    df = df.withColumn("_carry", last_seen(F.when(F.col("_at") == 0, F.struct(*[carried(n) for n in terms])), w))
+    sums = F.struct(*[(F.col(f"_inside.{n}") + F.col(f"_carry.{n}")).alias(n) for n in terms])
+    return df.withColumn(into, sums).drop("_terms", "_inside", "_closings", "_carry")
+
+
 def add_ewm_volatility(
     df: DataFrame,
     span: int = EWM_SPAN,
@@ -99,9 +120,9 @@ def add_ewm_volatility(
 ) -> DataFrame:
     """Bias-corrected exponentially weighted deviation of the returns before the row; gaps age the weights.
 
-    Weighted sums are kept as running sums of ``decay**-position * x``. Positions restart every
-    ``EWM_BLOCK`` rows so the powers stay finite, and the block before enters through its closing sums
-    (an older block weighs less than 1e-31). That is constant work per row, with built-in windows only.
+    The variance is half the weighted mean of squared differences over all pairs of returns. Pairs are summed
+    as they arrive, from the running weighted sums of the returns before, so there is constant work per row
+    and no difference of nearly equal sums when one return outweighs all others.
     """
     name = name or f"volatility_ewm_{span}"
     decay = 1 - 2 / (span + 1)
@@ -109,24 +130,20 @@ def add_ewm_volatility(
     place = F.row_number().over(w) - 1
     df = df.withColumns({"_at": place % EWM_BLOCK, "_block": F.floor(place / EWM_BLOCK)})
     x = F.col(returns)
-    weight = F.when(x.isNotNull(), F.pow(F.lit(1 / decay), F.col("_at").cast("double"))).otherwise(0.0)
-    terms = {"_w": weight, "_wx": weight * F.coalesce(x, F.lit(0.0)), "_wxx": weight * F.coalesce(x * x, F.lit(0.0)), "_ww": weight * weight}
-    df = df.withColumns(terms)
-    inside = running(by_date((*keys, "_block")))
-    df = df.withColumns({f"{t}_sum": F.sum(t).over(inside) for t in terms} | {"_n": F.count(x).over(running(w))})
-    closes = F.col("_at") == EWM_BLOCK - 1
-    before = w.rowsBetween(-EWM_BLOCK, -1)
-    df = df.withColumns({f"{t}_carry": F.last(F.when(closes, F.col(f"{t}_sum")), ignorenulls=True).over(before) for t in terms})
-
-    def total(term: str, power: int) -> Column:
-        return F.col(f"{term}_sum") + F.coalesce(F.col(f"{term}_carry"), F.lit(0.0)) * decay ** (power * EWM_BLOCK)
-
-    w0, w1, w2, ww = total("_w", 1), total("_wx", 1), total("_wxx", 1), total("_ww", 2)
-    mean = ratio(w1, w0)
-    variance = ratio(w2, w0) - mean * mean
-    unbiased = ratio(variance * w0 * w0, w0 * w0 - ww)
-    spread = F.when(F.col("_n") >= min_periods, F.sqrt(F.greatest(unbiased, F.lit(0.0))))
-    scratch = ["_at", "_block", "_n", *terms, *[f"{t}_sum" for t in terms], *[f"{t}_carry" for t in terms], "_spread"]
+    grown = F.pow(F.lit(1 / decay), F.col("_at").cast("double"))
+    df = df.withColumns({"_weight": F.when(x.isNotNull(), grown).otherwise(0.0), "_x": F.coalesce(x, F.lit(0.0))})
+    weight, known = F.col("_weight"), F.col("_x")
+    single = {"w": weight, "wx": weight * known, "wxx": weight * known * known}
+    df = _decayed_sums(df, single, decay**EWM_BLOCK, "_single", keys)
+    # the sums before the row, on the scale of the row's own block
+    scale = F.when(F.col("_at") == 0, F.lit(decay**EWM_BLOCK)).otherwise(1.0)
+    df = df.withColumn("_before", F.lag("_single").over(w))
+    w0, w1, w2 = (F.coalesce(F.col(f"_before.{t}") * scale, F.lit(0.0)) for t in ("w", "wx", "wxx"))
+    apart = F.greatest(w2 - 2 * known * w1 + known * known * w0, F.lit(0.0))
+    df = _decayed_sums(df, {"pairs": weight * w0, "spread": weight * apart}, decay ** (2 * EWM_BLOCK), "_paired", keys)
+    variance = ratio(F.col("_paired.spread"), 2 * F.col("_paired.pairs"))
+    spread = F.when(F.count(x).over(running(w)) >= min_periods, F.sqrt(variance))
+    scratch = ["_at", "_block", "_weight", "_x", "_single", "_before", "_paired", "_spread"]
     return df.withColumn("_spread", spread).withColumn(name, F.lag("_spread").over(w)).drop(*scratch)
 
 
