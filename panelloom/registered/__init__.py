@@ -4,7 +4,7 @@ import importlib
 
 from panelloom.registered.catalog import REGISTERED
 
-MODULES = ("loading", "quality", "cleaning", "targets", "features")
+MODULES = ("loading", "quality", "cleaning", "targets", "features", "sequences", "splits")
 for _name in MODULES:
     importlib.import_module(f"panelloom.registered.{_name}")
 

@@ -18,6 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
+    con.execute("SET memory_limit = '8GB'; SET max_temp_directory_size = '2GB'")
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
     return con
