@@ -129,7 +129,8 @@ def forecast_recursive(
         df = priced.select(*kept, "_date", longer.alias("history"), extended.alias("_path"), *columns)
         if refresh == "partial":
             df = df.withColumns(refreshed_features(F.col("history"), columns))
-        if day % CHECKPOINT_EVERY == 0 and day < horizon:
+        # also after the last step: unfolding the path would push its filter down through every step
+        if day % CHECKPOINT_EVERY == 0 or day == horizon:
             df = checkpointed(df)
     rows = df.select(*kept, F.posexplode("_path").alias("_i", "_p")).select(
         *kept, (F.col("_i") + 1).alias("day_ahead"), F.col("_p.date").alias("date"), F.col("_p.price").alias("predicted_price")

@@ -18,7 +18,6 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.functions.numeric import ratio
 
 BASE = "lag_1"
 LEVELS = ("lag_", "rolling_")
@@ -44,15 +43,12 @@ _ESTIMATORS = {"gbt": GBTRegressor, "random_forest": RandomForestRegressor, "ela
 
 
 def relative(df: DataFrame, columns: Sequence[str], target: str | None = "value") -> DataFrame:
-    """Scale levels and label by the previous value; rows where it is missing or zero cannot be scaled and go."""
-    base = F.col(BASE)
-    usable = df.filter(base.isNotNull() & (base != 0)).withColumn("_base", base.cast("double"))
-    scaled = {
-        f"_x_{c}": ratio(F.col(c), F.col("_base")) if c.startswith(LEVELS) else F.col(c).cast("double") for c in columns
-    }
+    """Add ``_x_`` inputs and ``label``, levels divided by the previous value; NULL where that is missing or zero."""
+    base = F.nullif(F.col(BASE).cast("double"), F.lit(0.0))
+    scaled = {f"_x_{c}": F.col(c).cast("double") / base if c.startswith(LEVELS) else F.col(c).cast("double") for c in columns}
     if target:
-        scaled["label"] = ratio(F.col(target), F.col("_base"))
-    return usable.withColumns(scaled)
+        scaled["label"] = F.col(target) / base
+    return df.withColumns(scaled)
 
 
 @dataclass
@@ -79,11 +75,11 @@ class Learner:
         return _ESTIMATORS[self.kind](featuresCol="_vector", labelCol="label", predictionCol="_ratio", **params)
 
     def _assembler(self) -> VectorAssembler:
-        return VectorAssembler(inputCols=[f"_x_{c}" for c in self.columns], outputCol="_vector", handleInvalid="skip")
+        return VectorAssembler(inputCols=[f"_x_{c}" for c in self.columns], outputCol="_vector", handleInvalid="keep")
 
     def fit(self, train: DataFrame, validation: str | None = None, target: str = "value") -> Learner:
         """``validation`` names a boolean column of held-out rows that stop boosting early."""
-        rows = relative(train, self.columns, target).filter(F.col("label").isNotNull())
+        rows = training_rows(train, self.columns, target)
         if self.kind != "gbt" and validation:
             rows = rows.filter(~F.col(validation))
         self.model = Pipeline(stages=[self._assembler(), self._estimator(validation)]).fit(rows)
@@ -102,11 +98,24 @@ class Learner:
         return table.orderBy(F.desc("importance"), "feature").limit(top)
 
 
+def training_rows(df: DataFrame, columns: Sequence[str], target: str = "value") -> DataFrame:
+    return relative(df, columns, target).dropna(subset=["label", *[f"_x_{c}" for c in columns]])
+
+
 def apply_model(model: PipelineModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Predictions in the units of the value; the helper columns go."""
+    """Predictions in the units of the value, NULL where the inputs cannot be scaled; the helper columns go.
+
+    No row is filtered: in a recursive forecast a filter would be pushed through every earlier step.
+    """
     scored = model.transform(relative(df, columns, None))
-    helpers = ["_base", "_vector", "_ratio", *[f"_x_{c}" for c in columns]]
-    return scored.withColumn("prediction", F.col("_ratio") * F.col("_base")).drop(*helpers)
+    helpers = ["_vector", "_ratio", *[f"_x_{c}" for c in columns]]
+    usable = F.col(BASE).isNotNull() & (F.col(BASE) != 0)
+    return scored.withColumn("prediction", F.when(usable, F.col("_ratio") * F.col(BASE))).drop(*helpers)
+
+
+def model_columns(model: PipelineModel) -> list[str]:
+    """The feature columns a saved model was fitted on."""
+    return [c.removeprefix("_x_") for c in model.stages[0].getInputCols()]
 
 
 def sample_params(space: dict[str, list], draws: int = 10, seed: int = SEED) -> list[dict]:
@@ -143,7 +152,7 @@ def random_search(
     mean score of every draw.
     """
     learner = Learner(kind, columns)
-    rows = relative(train, columns, target).filter(F.col("label").isNotNull())
+    rows = training_rows(train, columns, target)
     block = F.floor((F.col("row_number") - 1) * folds / F.col("train_size"))
     rows = rows.withColumn("_fold", F.least(block, F.lit(folds - 1)).cast("int"))
     estimator = learner._estimator()

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.cleaning import clean
 from panelloom.operators.features import generate
-from panelloom.operators.filters import as_of, feature_columns
+from panelloom.operators.filters import as_of
 from panelloom.operators.forecast import HORIZONS, forecast_baselines, forecast_recursive, forecast_state, pick_horizons
-from panelloom.operators.learners import apply_model
+from panelloom.operators.learners import apply_model, model_columns
 
 
 def predict_all(
@@ -35,7 +35,7 @@ def predict_all(
         reached = forecast.select("series_id").distinct()
     else:
         features = generate(cleaned)
-        columns = columns or feature_columns(features, day_of_week_flags=False)
+        columns = columns or model_columns(model)
         state, _ = forecast_state(features, columns)
         forecast = forecast_recursive(state, lambda df: apply_model(model, df, columns), columns, horizon, refresh)
         reached = state.select("series_id")

@@ -4,7 +4,19 @@ import importlib
 
 from panelloom.registered.catalog import REGISTERED
 
-MODULES = ("loading", "quality", "cleaning", "targets", "features", "sequences", "splits")
+MODULES = (
+    "loading",
+    "quality",
+    "cleaning",
+    "targets",
+    "features",
+    "sequences",
+    "splits",
+    "metrics",
+    "monitoring",
+    "forecasts",
+    "learners",
+)
 for _name in MODULES:
     importlib.import_module(f"panelloom.registered.{_name}")
 
