@@ -95,7 +95,8 @@ def _decayed_sums(df: DataFrame, terms: dict[str, Column], fade: float, into: st
     Restarting the scale per block keeps the powers finite. What earlier blocks weigh is worked out on the
     first row of a block from their closing sums, each faded by ``fade`` per block.
     """
-    w, inside = by_date(keys), running(by_date((*keys, "_block")))
+    # both windows sort by key, block and date, so they share one sort
+    w, inside = by_date(keys, ("_block", "date")), running(by_date((*keys, "_block")))
     df = df.withColumn("_terms", F.struct(*[c.alias(n) for n, c in terms.items()]))
     df = df.withColumn("_inside", F.struct(*[F.sum(f"_terms.{n}").over(inside).alias(n) for n in terms]))
     closing = F.when(F.col("_at") == EWM_BLOCK - 1, F.col("_inside"))
@@ -136,15 +137,16 @@ def add_ewm_volatility(
     single = {"w": weight, "wx": weight * known, "wxx": weight * known * known}
     df = _decayed_sums(df, single, decay**EWM_BLOCK, "_single", keys)
     # the sums before the row, on the scale of the row's own block
+    by_block = by_date(keys, ("_block", "date"))
     scale = F.when(F.col("_at") == 0, F.lit(decay**EWM_BLOCK)).otherwise(1.0)
-    df = df.withColumn("_before", F.lag("_single").over(w))
+    df = df.withColumns({"_before": F.lag("_single").over(by_block), "_n": F.count(x).over(running(by_block))})
     w0, w1, w2 = (F.coalesce(F.col(f"_before.{t}") * scale, F.lit(0.0)) for t in ("w", "wx", "wxx"))
     apart = F.greatest(w2 - 2 * known * w1 + known * known * w0, F.lit(0.0))
     df = _decayed_sums(df, {"pairs": weight * w0, "spread": weight * apart}, decay ** (2 * EWM_BLOCK), "_paired", keys)
     variance = ratio(F.col("_paired.spread"), 2 * F.col("_paired.pairs"))
-    spread = F.when(F.count(x).over(running(w)) >= min_periods, F.sqrt(variance))
-    scratch = ["_at", "_block", "_weight", "_x", "_single", "_before", "_paired", "_spread"]
-    return df.withColumn("_spread", spread).withColumn(name, F.lag("_spread").over(w)).drop(*scratch)
+    df = df.withColumn("_spread", F.when(F.col("_n") >= min_periods, F.sqrt(variance)))
+    scratch = ["_at", "_block", "_weight", "_x", "_single", "_before", "_n", "_paired", "_spread"]
+    return df.withColumn(name, F.lag("_spread").over(by_block)).drop(*scratch)
 
 
 def generate(
@@ -157,20 +159,30 @@ def generate(
     returns: bool = True,
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
-    """Append all feature columns. Short series get the same columns, filled with NULL."""
+    """Append all feature columns. Short series get the same columns, filled with NULL.
+
+    What needs several passes runs first, on narrow rows; the many one-pass columns are added last.
+    """
     w = by_date(keys)
-    columns = lag_features(w, lags) | rolling_features(w, windows, stats)
-    if calendar:
-        columns |= calendar_columns(F.col("date"))
+    levels = lag_features(w, lags) | rolling_features(w, windows, stats)
+    ranges = range_features(w) if volatility else {}
+    days = calendar_columns(F.col("date")) if calendar else {}
+    spreads = volatility_features(w) if volatility else {}
+    lagged = lagged_return_features(w) if returns else {}
+    df = panel
+    if volatility or returns:
+        df = df.withColumns(return_features(w))
     if volatility:
-        columns |= range_features(w)
-    wanted = return_features(w)
-    df = panel.withColumns(columns | wanted)
+        df = add_ewm_volatility(df, keys=keys)
+    if returns:
+        df = add_direction_run(df, keys)
+    df = df.withColumns(levels | ranges | days | spreads | lagged)
+    names = [*panel.columns, *levels, *days, *spreads]
     if volatility:
-        df = add_ewm_volatility(df.withColumns(volatility_features(w)), keys=keys)
+        names += [f"volatility_ewm_{EWM_SPAN}", *ranges]
     if returns:
-        return add_direction_run(df.withColumns(lagged_return_features(w)), keys)
-    return df.drop(*wanted)
+        names += [*return_features(w), *lagged, "consecutive_direction", "consecutive_direction_lag1"]
+    return df.select(*names)
 
 
 def feature_matrix(features: DataFrame, columns: Sequence[str], target: str = "value", drop_missing: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from panelloom.functions.frames import SERIES, newest_first
+from panelloom.functions.frames import SERIES, by_date, newest_first, whole
 
 # Columns that are never features, and same-day returns, which hold the day's own value.
 NOT_FEATURES = frozenset(
@@ -63,6 +63,12 @@ def tail(df: DataFrame, n: int, keys: Sequence[str] = SERIES, order: str | Seque
     return df.withColumn("_newest", rank).filter(F.col("_newest") <= n).drop("_newest")
 
 
+def long_series(panel: DataFrame, minimum: int, keys: Sequence[str] = SERIES) -> DataFrame:
+    """``min_rows`` for a daily panel: the count runs in the panel's own window, so nothing is read twice."""
+    counted = panel.withColumn("_rows", F.count(F.lit(1)).over(whole(by_date(keys))))
+    return counted.filter(F.col("_rows") >= minimum).drop("_rows")
+
+
 def min_rows(df: DataFrame, minimum: int, keys: Sequence[str] = SERIES) -> tuple[DataFrame, DataFrame]:
     """Rows of the keys with enough rows, and a table of the keys that have too few."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -10,6 +10,7 @@ import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -82,7 +83,12 @@ class Learner:
         rows = training_rows(train, self.columns, target)
         if self.kind != "gbt" and validation:
             rows = rows.filter(~F.col(validation))
-        self.model = Pipeline(stages=[self._assembler(), self._estimator(validation)]).fit(rows)
+        narrow = rows.select("label", *[f"_x_{c}" for c in self.columns], *([validation] if validation else []))
+        narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)  # fitting passes over the rows many times
+        try:
+            self.model = Pipeline(stages=[self._assembler(), self._estimator(validation)]).fit(narrow)
+        finally:
+            narrow.unpersist()
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -155,6 +161,7 @@ def random_search(
     rows = training_rows(train, columns, target)
     block = F.floor((F.col("row_number") - 1) * folds / F.col("train_size"))
     rows = rows.withColumn("_fold", F.least(block, F.lit(folds - 1)).cast("int"))
+    rows = rows.select("label", "_fold", *[f"_x_{c}" for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
     estimator = learner._estimator()
     candidates = sample_params(space or SEARCH[kind], draws, seed)
     grid = [{estimator.getParam(name): value for name, value in c.items()} for c in candidates]
@@ -166,6 +173,7 @@ def random_search(
         foldCol="_fold",
         parallelism=parallelism,
     ).fit(rows)
+    rows.unpersist()
     scores = list(zip(candidates, (float(m) for m in search.avgMetrics)))
     best = min(scores, key=lambda s: s[1])[0]
     return Learner(kind, columns, best, search.bestModel), scores

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from panelloom.functions.frames import SERIES
 from panelloom.operators.backtest import BASELINES, best_model, compare_models, forecast_split
 from panelloom.operators.cleaning import clean
 from panelloom.operators.features import generate
-from panelloom.operators.filters import complete_cases, date_range, feature_columns, min_rows
+from panelloom.operators.filters import complete_cases, date_range, feature_columns, long_series, min_rows
 from panelloom.operators.learners import Learner
 from panelloom.operators.metrics import mape_band, naive_scale, score
 from panelloom.operators.splits import chronological_split, validation_tail
@@ -41,9 +43,15 @@ def train_baselines(
 
 def split_for_training(prepared: DataFrame, columns: Sequence[str], **split) -> tuple[DataFrame, DataFrame]:
     """Complete rows of the series that have enough of them, split in time, and the rejected series."""
-    long_enough, too_short = min_rows(prepared, MIN_ROWS)
-    kept, rejected = min_rows(complete_cases(long_enough, [*columns, "value"]), MIN_COMPLETE_ROWS)
-    return validation_tail(chronological_split(kept, **split)), too_short.unionByName(rejected)
+    needed = [*columns, "value"]
+    kept = long_series(complete_cases(long_series(prepared, MIN_ROWS), needed), MIN_COMPLETE_ROWS)
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
+    counts = prepared.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(complete).alias("n_complete"))
+    rejected = counts.filter((F.col("n_rows") < MIN_ROWS) | (F.col("n_complete") < MIN_COMPLETE_ROWS)).select(
+        "series_id",
+        F.format_string(f"%d rows and %d complete rows, need {MIN_ROWS} and {MIN_COMPLETE_ROWS}", "n_rows", "n_complete").alias("error"),
+    )
+    return validation_tail(chronological_split(kept, **split)), rejected
 
 
 def train_learners(
@@ -61,6 +69,7 @@ def train_learners(
     """
     columns = feature_columns(prepared, leak_safe=leak_safe, day_of_week_flags=False)
     split, rejected = split_for_training(prepared, columns)
+    split = split.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fit and every score
     train, test = (split.filter(F.col("split") == s) for s in ("train", "test"))
     scales = naive_scale(train)
     learners, tables = {}, []
@@ -87,17 +96,16 @@ def train_learners(
 def batch_results(prepared: DataFrame, model: str = "naive", columns: Sequence[str] | None = None) -> DataFrame:
     """Per series: train and test rows, errors and a band for the percentage error, or why it was left out."""
     columns = columns if columns is not None else feature_columns(prepared, leak_safe=False)
-    kept, rejected = min_rows(complete_cases(prepared, [*columns, "value"]), MIN_ROWS)
-    split = chronological_split(kept)
+    complete = complete_cases(prepared, [*columns, "value"])
+    split = chronological_split(long_series(complete, MIN_ROWS))
     sizes = split.groupBy("series_id").agg(
         F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows")
     )
     metrics = score(forecast_split(split, (model,)), ("series_id",)).select("series_id", "mae", "rmse", "mape", "mase")
     table = sizes.join(metrics, "series_id", "left").withColumn("band", mape_band(F.col("mape")))
-    lost = prepared.select("series_id").distinct().join(kept.select("series_id").distinct(), "series_id", "left_anti")
-    lost = lost.join(rejected, "series_id", "left").select(
-        "series_id", F.coalesce("error", F.lit(f"only 0 rows, need {MIN_ROWS}")).alias("error")
-    )
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*columns, "value")])
+    counts = prepared.groupBy("series_id").agg(F.count_if(known).alias("n_rows")).filter(F.col("n_rows") < MIN_ROWS)
+    lost = counts.select("series_id", F.format_string(f"only %d rows, need {MIN_ROWS}", "n_rows").alias("error"))
     return table.unionByName(lost, allowMissingColumns=True)
 
 

@@ -64,7 +64,7 @@ def learner_feature_importance(spark, sf_dir):
 def learner_train_all(spark, sf_dir):
     prepared = _prepared(spark, sf_dir).cache()
     result = train_learners(prepared, params=_SMALL)
-    return result["metrics"].unionByName(result["rejected"].drop("n_rows"), allowMissingColumns=True)
+    return result["metrics"].unionByName(result["rejected"], allowMissingColumns=True)
 
 
 @query("learner_backtest", "P10 B07")
