@@ -34,10 +34,21 @@ def mean(values: Column) -> Column:
     return ratio(total(values), F.size(values).cast("double"))
 
 
+def _state(**values: Column | float) -> Column:
+    return F.struct(*[(F.lit(v) if isinstance(v, float) else v).alias(n) for n, v in values.items()])
+
+
 def sample_std(values: Column) -> Column:
-    centre = mean(values)
-    squares = total(F.transform(values, lambda x: (x - centre) * (x - centre)))
-    return F.when(F.size(values) > 1, F.sqrt(ratio(squares, F.size(values) - F.lit(1.0))))
+    """One pass over the array: a lambda that looked up the mean would work it out again for every element."""
+
+    def add(acc: Column, x: Column) -> Column:
+        n, apart = acc["n"] + 1, x - acc["mean"]
+        centre = acc["mean"] + apart / n
+        return F.when(x.isNull(), acc).otherwise(_state(n=n, mean=centre, squares=acc["squares"] + apart * (x - centre)))
+
+    return F.aggregate(
+        values, _state(n=0.0, mean=0.0, squares=0.0), add, lambda acc: F.when(acc["n"] > 1, F.sqrt(ratio(acc["squares"], acc["n"] - 1)))
+    )
 
 
 def median(values: Column) -> Column:
@@ -66,14 +77,21 @@ def direction_run(values: Column) -> Column:
 
 
 def ewm_std(returns: Column, span: int) -> Column:
-    decay, n = 1 - 2 / (span + 1), F.size(returns)
-    weights = F.transform(returns, lambda x, i: F.when(x.isNotNull(), F.pow(F.lit(decay), n - 1 - i)).otherwise(0.0))
-    known = F.transform(returns, lambda x: F.coalesce(x, F.lit(0.0)))
-    w0, ww = total(weights), total(F.transform(weights, lambda w: w * w))
-    centre = ratio(total(F.zip_with(weights, known, lambda w, x: w * x)), w0)
-    spread = total(F.zip_with(weights, known, lambda w, x: w * (x - centre) * (x - centre)))
-    enough = F.size(F.filter(returns, lambda x: x.isNotNull())) >= EWM_MIN_PERIODS
-    return F.when(enough, F.sqrt(ratio(spread * w0, w0 * w0 - ww)))
+    """Bias-corrected weighted deviation in one pass: older sums fade, and pairs are summed as they arrive."""
+    decay = 1 - 2 / (span + 1)
+
+    def add(acc: Column, x: Column) -> Column:
+        w, wx, wxx = (acc[c] * decay for c in ("w", "wx", "wxx"))
+        pairs, spread = (acc[c] * decay**2 for c in ("pairs", "spread"))
+        apart = wxx - 2 * x * wx + x * x * w
+        faded = _state(n=acc["n"], w=w, wx=wx, wxx=wxx, pairs=pairs, spread=spread)
+        joined = _state(n=acc["n"] + 1, w=w + 1, wx=wx + x, wxx=wxx + x * x, pairs=pairs + w, spread=spread + F.greatest(apart, F.lit(0.0)))
+        return F.when(x.isNull(), faded).otherwise(joined)
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["n"] >= EWM_MIN_PERIODS, F.sqrt(ratio(acc["spread"], 2 * acc["pairs"])))
+
+    return F.aggregate(returns, _state(n=0.0, w=0.0, wx=0.0, wxx=0.0, pairs=0.0, spread=0.0), add, finish)
 
 
 STATISTICS = {"mean": mean, "std": sample_std, "min": F.array_min, "max": F.array_max, "median": median}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.session import checkpointed
@@ -16,6 +16,22 @@ from panelloom.session import checkpointed
 BUCKETS = 256
 
 
+def _edges_below(edges: str, value: str, most: int) -> Column:
+    """How many of the sorted edges lie below the value, by halving."""
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        below = F.get(edges, middle) < F.col(value)
+        open_span = span["low"] < span["high"]
+        return F.struct(
+            F.when(open_span & below, middle + 1).otherwise(span["low"]).alias("low"),
+            F.when(open_span & ~below, middle).otherwise(span["high"]).alias("high"),
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.size(edges).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most.bit_length())), start, halve, lambda span: span["low"])
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], buckets: int = BUCKETS
 ) -> DataFrame:
@@ -30,9 +46,7 @@ def exact_quantiles(
     values = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     edges = values.groupBy(*keys).agg(F.percentile_approx("_v", cuts, buckets * 10).alias("_edges"))
     edges = checkpointed(edges.withColumn("_edges", F.array_sort(F.array_distinct("_edges"))))
-    bucketed = values.join(edges, list(keys)).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))
-    ).drop("_edges")
+    bucketed = values.join(edges, list(keys)).withColumn("_b", _edges_below("_edges", "_v", buckets)).drop("_edges")
     along = Window.partitionBy(*keys).orderBy("_b")
     sizes = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_size"))
     sizes = sizes.withColumns(

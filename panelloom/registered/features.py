@@ -252,3 +252,10 @@ def feature_full_set(spark, sf_dir):
     """The whole default feature set in one plan; run lengths, weighted volatility and calendar have queries of their own."""
     df = features.generate(clean(order_ticks(spark, sf_dir)))
     return rounded(df.select("series_id", day(), *_ALL), list(_ALL), 2)
+
+
+@query("feature_full_set_wide", "G01 G02 G03 G04 G05 G13 G15 G16 G17 G18", _on_returns_sql(_ALL, 2, SHIPMENTS, "p2", "cleaned"))
+def feature_full_set_wide(spark, sf_dir):
+    """The whole default feature set of all supplier series."""
+    df = features.generate(clean(daily_shipments(spark, sf_dir)))
+    return rounded(df.select("series_id", day(), *_ALL), list(_ALL), 2)
