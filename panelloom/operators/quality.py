@@ -170,7 +170,7 @@ def outlier_rows(
     """Every row with a value, its trailing z-score (the row included) and the flag."""
     known = df.filter(F.col("value").isNotNull()).select("series_id", "date", "value", "ingest_seq")
     # rows without a date sort first, and equal dates keep arrival order
-    blocks = {"_day": F.col("date"), "_block": sequence_block("ingest_seq")}
+    blocks = {"_day": F.coalesce("date", F.lit("0001-01-01").cast("date")), "_block": sequence_block("ingest_seq")}
     numbered = with_row_index(known, SERIES, ["date", "ingest_seq"], blocks)
     frame = Window.partitionBy("series_id", "chunk").orderBy("row_index").rowsBetween(-(window - 1), 0)
     value = F.col("value")

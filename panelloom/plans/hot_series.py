@@ -35,7 +35,7 @@ def with_row_index(
     """Number rows of each group from 0 along ``order``.
 
     ``blocks`` are columns whose order agrees with ``order`` (for example date, then a block of the
-    sequence); rows with equal blocks form one task's unit of work.
+    sequence); rows with equal blocks form one task's unit of work. Keys and blocks must not be NULL.
     """
     tagged = df.withColumns(blocks)
     block_names = list(blocks)
@@ -47,11 +47,9 @@ def with_row_index(
         .drop("_rows")
     )
     inside = Window.partitionBy(*keys, *block_names).orderBy(*order)
-    left, right = tagged.alias("l"), offsets.alias("r")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, *block_names)]
+    # plain equality keeps the rows where the window below needs them, so there is no further shuffle
     return (
-        left.join(right, same)
-        .select("l.*", "r._before")
+        tagged.join(offsets, [*keys, *block_names])
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
         .drop("_before", *block_names)
     )
