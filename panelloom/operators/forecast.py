@@ -118,17 +118,21 @@ def forecast_recursive(
     path = F.array().cast("array<struct<date:date,price:double>>")
     df = state.withColumns({"_date": F.col("last_date"), "_path": path})
     kept = [*keys, "last_date", "last_price"]
+    # every step applies the same expressions, so they are built once
+    fresh = next_features(F.col("history"), date, columns) if refresh == "full" else {}
+    known = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    floored = F.greatest(F.col("prediction"), F.lit(PRICE_FLOOR))
+    longer = last_n(F.concat("history", F.array("prediction")), history).alias("history")
+    extended = F.concat("_path", F.array(F.struct(date.alias("date"), F.col("prediction").alias("price")))).alias("_path")
+    updated = refreshed_features(F.col("history"), columns) if refresh == "partial" else {}
     for day in range(1, horizon + 1):
         df = df.withColumn("_date", business_day_after(date, F.lit(1)))
         if refresh == "full":
-            df = df.withColumns(next_features(F.col("history"), date, columns))
-        ready = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
-        priced = predict(ready).withColumn("prediction", F.greatest(F.col("prediction"), F.lit(PRICE_FLOOR)))
-        longer = last_n(F.concat("history", F.array("prediction")), history)
-        extended = F.concat("_path", F.array(F.struct(date.alias("date"), F.col("prediction").alias("price"))))
-        df = priced.select(*kept, "_date", longer.alias("history"), extended.alias("_path"), *columns)
+            df = df.withColumns(fresh)
+        priced = predict(df.withColumns(known)).withColumn("prediction", floored)
+        df = priced.select(*kept, "_date", longer, extended, *columns)
         if refresh == "partial":
-            df = df.withColumns(refreshed_features(F.col("history"), columns))
+            df = df.withColumns(updated)
         # also after the last step: unfolding the path would push its filter down through every step
         if day % CHECKPOINT_EVERY == 0 or day == horizon:
             df = checkpointed(df)

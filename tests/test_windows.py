@@ -206,3 +206,12 @@ def test_training_log(spark, tmp_path):
         "a": "Scheduled retrain (30 days since last)",
         "b": "No training record found",
     }
+
+
+def test_metric_log_round_trip(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    first = spark.createDataFrame([("a", "2024-01-01", 1, 2.0, 0)], "series_id string, timestamp string, horizon int, mae double, record_seq bigint")
+    monitoring.record_metrics(first, path)
+    monitoring.record_metrics(first.withColumns({"mae": F.lit(4.0), "timestamp": F.lit("2024-01-02"), "record_seq": F.lit(1).cast("bigint")}), path)
+    rolled = monitoring.rolling_metric(monitoring.read_log(spark, path))
+    assert sorted(r["rolling_mae"] for r in rolled.collect()) == [2.0, 3.0]
