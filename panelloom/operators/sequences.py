@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import SERIES, by_date, whole
@@ -15,6 +15,26 @@ def _vector(columns: Sequence[str]):
     return F.array(*[F.col(c).cast("float") for c in columns])
 
 
+def _stretches(df: DataFrame, rows: Column, count: int, stride: int, keys: Sequence[str]) -> DataFrame:
+    """``count`` neighbouring rows as an array, one stretch every ``stride`` rows, from row 0 on.
+
+    Rows are first packed into blocks of one stride, so a frame is gathered per stretch and not per row.
+    """
+    place = F.row_number().over(by_date(keys)) - 1
+    placed = df.select(*keys, place.alias("_place"), rows.alias("_row"))
+    if stride == 1:
+        blocks = placed.select(*keys, F.col("_place").alias("_block"), F.array("_row").alias("_rows"))
+    else:
+        packed = F.array_sort(F.collect_list(F.struct("_place", "_row")))
+        blocks = placed.groupBy(*keys, F.floor(F.col("_place") / stride).cast("int").alias("_block")).agg(
+            F.transform(packed, lambda r: r["_row"]).alias("_rows")
+        )
+    ahead = by_date(keys, "_block").rowsBetween(0, -(-count // stride) - 1)
+    gathered = F.slice(F.flatten(F.collect_list("_rows").over(ahead)), 1, count)
+    stretches = blocks.select(*keys, (F.col("_block") * stride).alias("start_index"), gathered.alias("_rows"))
+    return stretches.filter(F.size("_rows") == count)
+
+
 def sliding_windows(
     df: DataFrame,
     columns: Sequence[str],
@@ -25,15 +45,14 @@ def sliding_windows(
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Samples ``x`` (``length`` rows of features) and ``y`` (the next ``horizon`` targets), from row 0 on."""
-    w = by_date(keys)
-    x = F.collect_list(_vector(columns)).over(w.rowsBetween(-(length - 1), 0))
-    y = F.collect_list(F.col(target).cast("float")).over(w.rowsBetween(1, horizon))
-    place = F.row_number().over(w)
-    samples = df.select(*keys, F.col("date").alias("end_date"), *[F.col(c) for c in {*columns, target, "date"}], place.alias("_place"))
-    samples = samples.withColumns({"x": x, "y": y})
-    return samples.filter(
-        (F.size("x") == length) & (F.size("y") == horizon) & ((F.col("_place") - length) % stride == 0)
-    ).select(*keys, ((F.col("_place") - length)).alias("start_index"), "end_date", "x", "y")
+    row = F.struct(F.col("date"), _vector(columns).alias("x"), F.col(target).cast("float").alias("y"))
+    return _stretches(df, row, length + horizon, stride, keys).select(
+        *keys,
+        "start_index",
+        F.get("_rows", F.lit(length - 1))["date"].alias("end_date"),
+        F.transform(F.slice("_rows", 1, length), lambda r: r["x"]).alias("x"),
+        F.transform(F.slice("_rows", length + 1, horizon), lambda r: r["y"]).alias("y"),
+    )
 
 
 def split_windows(
@@ -69,20 +88,15 @@ def context_target_samples(
     df: DataFrame, context: int = 512, target_length: int = 30, column: str = "value", keys: Sequence[str] = SERIES
 ) -> DataFrame:
     """Consecutive context and target cuts, a target length apart; a cut that ends on the last row is not taken."""
-    w = by_date(keys)
     known = df.filter(F.col(column).isNotNull())
-    number = F.col(column).cast("float")
-    cut = known.select(
+    # one row more than the cut needs, which leaves out the exact fit
+    stretches = _stretches(known, F.col(column).cast("float"), context + target_length + 1, target_length, keys)
+    return stretches.select(
         *keys,
-        (F.row_number().over(w) - context).alias("start_index"),
-        F.count(F.lit(1)).over(whole(w)).alias("_rows"),
-        F.collect_list(number).over(w.rowsBetween(-(context - 1), 0)).alias("context"),
-        F.collect_list(number).over(w.rowsBetween(1, target_length)).alias("target"),
+        "start_index",
+        F.slice("_rows", 1, context).alias("context"),
+        F.slice("_rows", context + 1, target_length).alias("target"),
     )
-    start = F.col("start_index")
-    return cut.filter(
-        (start >= 0) & (start % target_length == 0) & (start < F.col("_rows") - context - target_length)
-    ).drop("_rows")
 
 
 def aligned_truth(df: DataFrame, length: int, keys: Sequence[str] = SERIES) -> DataFrame:
