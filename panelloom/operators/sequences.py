@@ -20,15 +20,17 @@ def _stretches(df: DataFrame, rows: Column, count: int, stride: int, keys: Seque
 
     Rows are first packed into blocks of one stride, so a frame is gathered per stretch and not per row.
     """
-    place = F.row_number().over(by_date(keys)) - 1
-    placed = df.select(*keys, place.alias("_place"), rows.alias("_row"))
+    w = by_date(keys)
+    place = F.row_number().over(w) - 1
     if stride == 1:
-        blocks = placed.select(*keys, F.col("_place").alias("_block"), F.array("_row").alias("_rows"))
-    else:
-        packed = F.array_sort(F.collect_list(F.struct("_place", "_row")))
-        blocks = placed.groupBy(*keys, F.floor(F.col("_place") / stride).cast("int").alias("_block")).agg(
-            F.transform(packed, lambda r: r["_row"]).alias("_rows")
-        )
+        gathered = F.collect_list(rows).over(w.rowsBetween(0, count - 1))
+        stretches = df.select(*keys, place.alias("start_index"), gathered.alias("_rows"))
+        return stretches.filter(F.size("_rows") == count)
+    placed = df.select(*keys, place.alias("_place"), rows.alias("_row"))
+    packed = F.array_sort(F.collect_list(F.struct("_place", "_row")))
+    blocks = placed.groupBy(*keys, F.floor(F.col("_place") / stride).cast("int").alias("_block")).agg(
+        F.transform(packed, lambda r: r["_row"]).alias("_rows")
+    )
     ahead = by_date(keys, "_block").rowsBetween(0, -(-count // stride) - 1)
     gathered = F.slice(F.flatten(F.collect_list("_rows").over(ahead)), 1, count)
     stretches = blocks.select(*keys, (F.col("_block") * stride).alias("start_index"), gathered.alias("_rows"))
