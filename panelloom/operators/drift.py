@@ -18,6 +18,8 @@ from panelloom.functions.numeric import ratio
 
 PSI_EPS = 1e-8
 EXACT_LIMIT = 10_000
+# Fixed value: the error of a series that is too short.
+TOO_SHORT = "Not enough data for drift detection"
 
 
 def drift_windows(
@@ -39,7 +41,7 @@ def drift_windows(
     )
     enough = F.col("_rows") >= reference + current
     complete = windows.filter(enough & (F.col("_known") == F.col("_rows"))).drop("_rows", "_known")
-    short = windows.filter(~enough).select(*keys, F.lit("Not enough data for drift detection").alias("error"))
+    short = windows.filter(~enough).select(*keys, F.lit(TOO_SHORT).alias("error"))
     gaps = windows.filter(enough & (F.col("_known") < F.col("_rows"))).select(*keys, F.lit("missing values").alias("error"))
     return complete, short.unionByName(gaps)
 

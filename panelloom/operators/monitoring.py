@@ -20,6 +20,14 @@ from panelloom.plans.hot_series import CHUNK_ROWS, sequence_block, with_halo, wi
 PREDICTION_LOG = "series_id string, timestamp string, horizon int, prediction double, actual double, error double, record_seq bigint"
 TRAINING_LOG = "series_id string, trained_at timestamp"
 
+# The reasons a retrain decision reports, joined by SEPARATOR.
+NO_RECORD = "No training record found"
+SCHEDULED = "Scheduled retrain (%d days since last)"
+BELOW_THRESHOLD = "Performance below threshold (MASE=%.3f)"
+DRIFTED = "Data drift detected"
+NOT_NEEDED = "No retrain needed"
+SEPARATOR = "; "
+
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
@@ -172,15 +180,13 @@ def should_retrain(
     seconds = F.unix_timestamp(as_of) - F.unix_timestamp("trained_at")
     days = F.floor(seconds / 86400)
     reasons = F.concat_ws(
-        "; ",
-        F.when(F.col("trained_at").isNull(), "No training record found").when(
-            days >= schedule_days, F.concat(F.lit("Scheduled retrain ("), days.cast("string"), F.lit(" days since last)"))
-        ),
-        F.when(F.col("mase") > mase_limit, F.concat(F.lit("Performance below threshold (MASE="), F.format_string("%.3f", "mase"), F.lit(")"))),
-        F.when(F.col("drift_detected"), "Data drift detected"),
+        SEPARATOR,
+        F.when(F.col("trained_at").isNull(), NO_RECORD).when(days >= schedule_days, F.format_string(SCHEDULED, days)),
+        F.when(F.col("mase") > mase_limit, F.format_string(BELOW_THRESHOLD, "mase")),
+        F.when(F.col("drift_detected"), DRIFTED),
     )
     return df.select(
         "series_id",
         (reasons != "").alias("should_retrain"),
-        F.when(reasons != "", reasons).otherwise("No retrain needed").alias("reason"),
+        F.when(reasons != "", reasons).otherwise(NOT_NEEDED).alias("reason"),
     )
