@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, sharding, url_cascade
-from panelloom.llm.common import n_words, read
+from panelloom.llm import mixing, sentencepiece_scan, sharding, simhash, token_files, url_cascade
+from panelloom.llm.common import importable, n_words, read, shared_folder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(importable(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -24,6 +24,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_simhash")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_sentencepiece")
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text; ``round_trip`` says that the text came back (with spaces for ``▁``)."""
+    text = F.coalesce("text", F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.replace(text, F.lit("▁"), F.lit(" "))).alias("text_crc32"))
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, model), model)
+    return back.select(
+        "doc_id", F.col("_chunks").alias("n_chunks"), "n_tokens", "ids_crc32", "text_crc32", (F.crc32("text") == F.col("text_crc32")).alias("round_trip")
+    )
+
+
 @query("op7_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
@@ -43,6 +61,14 @@ def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_token_files")
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-files")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write_token_files(docs, folder, tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, folder, token_files.ids_crc32, "ids_crc32 long")
+
+
 # Verdict, host and path of the contract's rules.
 URL_RULES = (
     ("allow", "com", "/"),
