@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, sentencepiece_scan, sharding, simhash, token_files, url_cascade
+from panelloom.llm import mixing, quality_outliers, sentencepiece_scan, sharding, simhash, token_files, url_cascade
 from panelloom.llm.common import importable, n_words, read, shared_folder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality_outliers")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_outliers.quality_verdicts(read(spark, sf_dir, "documents"))
+    names = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", "n_words", *names, "base_failed", "kept", "distance")
+
+
 @query("op2_simhash")
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
