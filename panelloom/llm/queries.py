@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, quality_outliers, sentencepiece_scan, sharding, simhash, token_files, url_cascade
+from panelloom.llm import mixing, quality_knn, quality_outliers, sentencepiece_scan, sharding, simhash, token_files, topk_kdtree, url_cascade
 from panelloom.llm.common import importable, n_words, read, shared_folder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,32 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op4_topk_kdtree",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk_kdtree.usable(read(spark, sf_dir, "embeddings"))
+    found = topk_kdtree.top_k(rows, F.col("id") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op5_quality_votes")
+def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    labels = read(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").cast("int").alias("label"))
+    scored = quality_knn.score(docs, quality_knn.fit(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op7_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
