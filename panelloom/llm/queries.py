@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, quality_knn, quality_outliers, sentencepiece_scan, sharding, simhash, token_files, topk_kdtree, url_cascade
+from panelloom.llm import mixing, pii_bootstrap, quality_knn, quality_outliers, sentencepiece_scan, sharding, simhash, token_files, topk_kdtree, url_cascade
 from panelloom.llm.common import importable, n_words, read, shared_folder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,16 @@ def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op6_pii_bootstrap")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find_spans(read(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii_bootstrap.KINDS)
+    ]
+    base, spans = pii_bootstrap.spans_text(F.col("base")), pii_bootstrap.spans_text(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 @query("op7_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))

@@ -1,25 +1,29 @@
 """Token-id files: frequency-ranked ids in a byte-aligned variable-length code with separate control bytes.
 
-Every id is replaced by its rank in order of falling corpus frequency, so that common ids take one byte. A block
-holds the ranks of some whole documents: a control stream with two bits per id (its byte count less one, four ids
-to a byte) and a data stream of the little-endian bytes. Decoding looks the control bytes up in a table of byte
-counts, sums them to offsets, gathers the data bytes and looks the ranks up in the id table, all in numpy.
+A block holds the ids of some whole documents, at least ``BLOCK_IDS`` of them but for the last of a part. Every id is
+replaced by its rank in order of falling frequency over the block, ties by id, so that the commonest ids take one
+byte. A block has a control stream with two bits per id (its byte count less one, four ids to a byte), a data stream
+of the little-endian bytes, and the id of each rank. Decoding looks the control bytes up in a table of byte counts,
+sums them to offsets, gathers the data bytes and looks the ranks up in the id table, all in numpy. Ranks are taken
+per block because a ranking of the whole corpus would tokenize every text twice or store all ids twice.
 
-A folder holds ``ids`` (the id of each rank) and ``blocks`` (Parquet as the container: ``part, block, first,
-doc_ids, counts, control, data``). Parts are ranges of doc_id and blocks follow doc_id inside a part, so reading
-by ``part, block`` gives documents in ascending order. ``first`` is the number of ids before the block in its part.
+Parquet is the container: ``part, block, first, n_ids, doc_ids, counts, ids, control, data``. Parts are ranges of
+doc_id and blocks follow doc_id inside a part, so reading by ``part, block`` gives documents in ascending order.
+``first`` is the number of ids before the block in its part.
 
 Text is split at ASCII white space, which no token of the tokenizer spans, and words that were seen before come
-from a bounded cache. Null text counts as empty and gives the end id alone. Null doc_ids come first; rows with
+from bounded caches. Null text counts as empty and gives the end id alone. Null doc_ids come first; rows with
 the same doc_id are ordered by text, and equal rows are kept. An empty table gives empty files. A document is
 never split over blocks, so a task holds one block and one document at a time.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,43 +31,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import SPACES, join_small
+from panelloom.llm.common import join_small
 
 END_ID = 2
-BLOCK_IDS = 1 << 16
-CACHED_WORDS = 300_000
+BLOCK_IDS = 1 << 21
+CACHED_WORDS = 500_000
 CACHED_CHARS = 48
-BLOCK_SCHEMA = "part int, block long, first long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary"
-_WORDS = re.compile(f"[^{SPACES}]+")
+BLOCK_SCHEMA = "part int, block long, first long, n_ids long, doc_ids array<long>, counts array<long>, ids binary, control binary, data binary"
+# The text steps of the tokenizer file that are done here, and its runs within Latin-1.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+_SIMPLE = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+_LETTERS, _DIGITS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+#: The printable stand-in of each byte: itself where Latin-1 prints it, else the next character from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = [chr(b if b in _PRINTED else 256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)]
 #: Byte counts of the four ids of each control byte.
 _COUNTS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit integers, from a tokenizers file."""
+    """Ids of a text as little-endian unsigned 32-bit integers, from a tokenizers file.
+
+    Words of Latin-1 characters are cut into letter runs, digits and other runs as the file's pre-tokenizer does,
+    and each is merged on its own; all other words, and any that may hold a special token, go to the tokenizer whole.
+    A file whose steps are not the known ones gets every word whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        steps = json.loads(self.tokenizer.to_str())
+        self.known_steps = (steps["normalizer"], steps["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
+        self.words = _Cache(self._word)
+        self.runs = _Cache(self._run)
 
     def __call__(self, text: str | None) -> bytes:
-        words = _WORDS.findall(text or "")
-        known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
-        out = b"".join([known[w] for w in words])
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del known[w]
+        out = b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "replace").split()))
+        for cache in (self.words, self.runs):
+            if len(cache) > CACHED_WORDS:
+                cache.clear()
         return out
 
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if self.known_steps and _SIMPLE.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.runs.__getitem__, _RUNS.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize("".join([_BYTE_CHARS[b] for b in run.encode()]))], "<u4").tobytes()
+
+
+class _Cache(dict):
+    """A dict that makes what it misses; long keys are not kept."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            self[key] = value
+        return value
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder per worker process, so that its caches serve one task after another."""
+    return WordEncoder(path)
+
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data stream of unsigned 32-bit ranks."""
@@ -88,68 +132,49 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def count_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """``id, n`` over all texts and their end ids; each task sums before the shuffle, the vocabulary bounds the rows."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path)
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                ids = np.frombuffer(encode(text.as_py()), "<u4")
-                one = np.bincount(ids, minlength=end_id + 1)
-                one[end_id] += 1
-                if len(one) > len(total):
-                    total = np.concatenate([total, np.zeros(len(one) - len(total), np.int64)])
-                total[: len(one)] += one
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    return docs.select("text").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in order of falling frequency, ties by id, and the rank of each given id."""
+    counts = np.bincount(ids)
+    table = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype("<u4")
+    rank = np.zeros(len(counts), np.uint32)
+    rank[table] = np.arange(len(table))
+    return table, rank[ids]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of ``doc_id, text`` rows in ascending doc_id order, each document followed by ``end_id``."""
-    spark = docs.sparkSession
-    counts = count_ids(docs, tokenizer_path, end_id).toPandas()
-    counts = counts.sort_values(["n", "id"], ascending=[False, True])
-    ids = counts["id"].to_numpy(np.int64)
-    rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
-    rank_of[ids] = np.arange(len(ids))
-    table = spark.createDataFrame(list(enumerate(ids.tolist())), "rank long, id long")
-    table.write.parquet(f"{folder}/ids")
-    ranks = spark.sparkContext.broadcast(rank_of)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rank = WordEncoder(tokenizer_path), ranks.value
+        encode = word_encoder(tokenizer_path)
         part, block, first, held = TaskContext.get().partitionId(), 0, 0, 0
         names: list[int | None] = []
-        parts: list[np.ndarray] = []
-        end = np.array([end_id], "<u4")
+        coded: list[bytes] = []
+        end = np.array([end_id], "<u4").tobytes()
 
         def row() -> pa.RecordBatch:
-            control, data = pack(rank[np.concatenate(parts)])
-            values = [part, block, first, held, names, [len(p) for p in parts], control, data]
+            table, ranks = ranked(np.frombuffer(b"".join(coded), "<u4"))
+            control, data = pack(ranks)
+            values = [part, block, first, held, names, [len(c) // 4 for c in coded], table.tobytes(), control, data]
             return pa.record_batch([pa.array([v], t.type) for v, t in zip(values, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 names.append(doc_id.as_py())
-                parts.append(np.concatenate([np.frombuffer(encode(text.as_py()), "<u4"), end]))
-                held += len(parts[-1])
+                coded.append(encode(text.as_py()) + end)
+                held += len(coded[-1]) // 4
                 if held >= block_ids:
                     yield row()
-                    block, first, held, names, parts = block + 1, first + held, 0, [], []
+                    block, first, held, names, coded = block + 1, first + held, 0, [], []
         if names:
             yield row()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(folder)
 
 
 _BLOCK = pa.schema(
-    [("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())]
+    [("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("control", pa.binary()), ("data", pa.binary())]
 )
 
 
@@ -158,9 +183,7 @@ def read_token_files(spark: SparkSession, folder: str, per_document: Callable[[n
 
     ``start`` is the number of ids of all documents before it.
     """
-    stored = spark.read.parquet(f"{folder}/blocks")
-    table = spark.read.parquet(f"{folder}/ids").toPandas().sort_values("rank")["id"].to_numpy(np.uint32)
-    sent = spark.sparkContext.broadcast(table)
+    stored = spark.read.parquet(folder)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     parts = parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -170,8 +193,9 @@ def read_token_files(spark: SparkSession, folder: str, per_document: Callable[[n
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
-                ids = sent.value[unpack(b["control"], b["data"], b["n_ids"])]
+            for i in range(batch.num_rows):
+                b = batch.slice(i, 1).to_pylist()[0]
+                ids = np.frombuffer(b["ids"], "<u4")[unpack(b["control"], b["data"], b["n_ids"])]
                 counts = np.array(b["counts"], np.int64)
                 at = np.cumsum(counts) - counts
                 each = [ids[a : a + n] for a, n in zip(at, counts, strict=True)]
@@ -179,7 +203,7 @@ def read_token_files(spark: SparkSession, folder: str, per_document: Callable[[n
                 rows = [b["doc_ids"], (b["_before"] + b["first"] + at).tolist(), b["counts"], *map(list, zip(*made, strict=True))]
                 yield pa.record_batch([pa.array(r, t.type) for r, t in zip(rows, arrow, strict=True)], schema=arrow)
 
-    return stored.select("_before", "first", "n_ids", "doc_ids", "counts", "control", "data").mapInArrow(documents, schema)
+    return stored.select("_before", "first", "n_ids", "doc_ids", "counts", "ids", "control", "data").mapInArrow(documents, schema)
 
 
 def ids_crc32(ids: np.ndarray) -> list[int]:
