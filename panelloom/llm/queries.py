@@ -75,12 +75,15 @@ def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def _only(number: int):
+    return lambda kind: F.when(kind == number, kind)
+
+
 @query("op6_pii_bootstrap")
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_bootstrap.find_spans(read(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii_bootstrap.KINDS)
-    ]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_compact(F.transform(kinds, _only(i)))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii_bootstrap.KINDS)]
     base, spans = pii_bootstrap.spans_text(F.col("base")), pii_bootstrap.spans_text(F.col("spans"))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
