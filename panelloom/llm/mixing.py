@@ -18,12 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import join_small
+from panelloom.llm.common import join_small, n_words
 from panelloom.session import checkpointed
 
 BLOCK_WORDS = 64
 #: Documents in a bucket of a source's shuffled order, and slots in a stretch of the schedule, at most on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 STRETCH = 1 << 16
 #: Bits of a schedule point; also the limit of the number of slots.
 POINT_BITS = 40
@@ -108,13 +108,13 @@ def mix(
     seed: int = 42,
     bucket_rows: int = BUCKET_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Mix documents given as ``doc_id, source, size``.
+    """Mix documents given as ``doc_id, source, size``; more columns are carried along.
 
     Returns the mix, one row per slot and document piece (``slot, source_no, pass, _row, first, length``: words
     ``first`` up to ``first + length`` of the document), and the documents with ``_row, source_size, target``.
     """
     spark = docs.sparkSession
-    docs = checkpointed(docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), F.monotonically_increasing_id().alias("_row")))
+    docs = checkpointed(docs.withColumns({"size": F.col("size").cast("long"), "_row": F.monotonically_increasing_id()}))
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sums = checkpointed(sums)
     targets = checkpointed(source_targets(sums.drop("_rows"), weights, share))
@@ -140,4 +140,21 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
     pieces, known = mix(docs, **how)
     taken = pieces.groupBy("_row").agg(F.sum("length").alias("taken"))
     out = known.join(taken, "_row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_row", "source_no")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, rounded to whole documents (0, 1 or 2 times).
+
+    What the mix takes of the words of a document decides, so a source's words stay within a document of its
+    target per pass. Documents without words are in no mix.
+    """
+    key = F.xxhash64(*docs.columns)
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key"))
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    taken = taken_words(sized, **how).groupBy("doc_id", "_key").agg(F.sum(copies).alias("_copies")).filter("_copies > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_taken"), "_copies")
+    met = docs.withColumn("_key", key).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_taken")))
+    # equal rows share the sum of their copies
+    once = met.dropDuplicates(["doc_id", "_key"])
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
