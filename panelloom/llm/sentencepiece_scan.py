@@ -23,7 +23,7 @@ An empty table gives no rows. Other columns are carried along; names starting wi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +36,7 @@ from panelloom.session import checkpointed
 
 CHUNK = 1 << 15
 FAN = 64
-CACHED_UNITS = 300_000
+CACHED_UNITS = 600_000
 CACHED_CHARS = 32
 _SPACE = "▁"
 _UNK_PENALTY = 10.0
@@ -57,7 +57,9 @@ class PieceModel:
         self.pieces = {sp.id_to_piece(i): (float(sp.get_score(i)), i) for i in normal}
         self.unk_score = min(s for s, _ in self.pieces.values()) - _UNK_PENALTY
         self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        # every beginning of a piece; with score and ids if it is one
+        self.prefixes: dict[str, tuple[float, bytes] | None] = {p[:n]: None for p in self.pieces for n in range(1, len(p))}
+        self.prefixes |= {p: (s, np.array([i], "<i4").tobytes()) for p, (s, i) in self.pieces.items()}
         self.surface = [sp.id_to_piece(i).replace(_SPACE, " ").encode() for i in ids]
         for b, i in enumerate(self.byte_ids if self.has_bytes else ()):
             self.surface[i] = bytes([b])
@@ -70,51 +72,54 @@ class PieceModel:
         spans = any(_SPACE in p.lstrip(_SPACE) for p in long)
         lone = re.escape(alone)
         self.units = re.compile(rf"[{lone}]|[^{lone}]+" if spans else rf"{_SPACE}*[^{lone}{_SPACE}]+|{_SPACE}+|[{lone}]")
-        self.known: dict[str, tuple[float, bytes]] = {}
+        self.unit_ids = _Cache(lambda unit: self.best(unit)[1])
+        self.unit_scores = _Cache(lambda unit: self.best(unit)[0])
 
-    def arcs(self, text: str, at: int, stop: int) -> Iterator[tuple[int, float, list[int]]]:
-        """Ends, scores and ids of the pieces that start at a place; one that ends past ``stop`` is left out."""
+    def uncovered(self, char: str) -> bytes:
+        """Ids of a character that no piece covers."""
+        ids = [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.has_bytes else [self.unk_id]
+        return np.array(ids, "<i4").tobytes()
+
+    def arcs(self, text: str, at: int, stop: int) -> Iterator[tuple[int, float]]:
+        """Ends and scores of the pieces that start at a place; one that ends past ``stop`` is left out."""
         single = False
         for end in range(at + 1, min(at + self.longest, stop) + 1):
-            part = text[at:end]
-            if part not in self.prefixes:
+            if (part := text[at:end]) not in self.prefixes:
                 break
-            if found := self.pieces.get(part):
+            if found := self.prefixes[part]:
                 single |= end == at + 1
-                yield end, found[0], [found[1]]
+                yield end, found[0]
         if not single and at < stop:
-            char = text[at].encode("utf-8", "replace")
-            yield at + 1, self.unk_score, [self.byte_ids[b] for b in char] if self.has_bytes else [self.unk_id]
+            yield at + 1, self.unk_score
 
     def best(self, text: str) -> tuple[float, bytes]:
         """Highest score of a short text and its ids as little-endian 32-bit integers."""
-        n = len(text)
-        score: list[float] = [0.0, *[-np.inf] * n]
-        back: list[tuple[int, list[int]]] = [(0, [])] * (n + 1)
+        n, prefixes, longest, unk = len(text), self.prefixes, self.longest, self.unk_score
+        score = [0.0] + [-np.inf] * n
+        back: list[tuple[int, bytes]] = [(0, b"")] * (n + 1)
         for at in range(n):
-            for end, s, ids in self.arcs(text, at, n):
-                if score[at] + s > score[end]:
-                    score[end], back[end] = score[at] + s, (at, ids)
+            base, single = score[at], False
+            for end in range(at + 1, min(at + longest, n) + 1):
+                found = prefixes.get(text[at:end], 0)
+                if found:
+                    single |= end == at + 1
+                    if base + found[0] > score[end]:
+                        score[end], back[end] = base + found[0], (at, found[1])
+                elif found == 0:
+                    break
+            if not single and base + unk > score[at + 1]:
+                score[at + 1], back[at + 1] = base + unk, (at, self.uncovered(text[at]))
         path, at = [], n
         while at:
             at, ids = back[at]
             path.append(ids)
-        return score[n], np.array([i for ids in reversed(path) for i in ids], "<i4").tobytes()
-
-    def unit(self, text: str) -> tuple[float, bytes]:
-        found = self.known.get(text)
-        if found is None:
-            found = self.best(text)
-            if len(text) <= CACHED_CHARS:
-                if len(self.known) >= CACHED_UNITS:
-                    self.known.clear()
-                self.known[text] = found
-        return found
+        return score[n], b"".join(reversed(path))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of text that is already normalized."""
-        unit = self.unit
-        return np.frombuffer(b"".join([unit(u)[1] for u in self.units.findall(text)]), "<i4")
+        if len(self.unit_ids) > CACHED_UNITS:
+            self.unit_ids.clear()
+        return np.frombuffer(b"".join(map(self.unit_ids.__getitem__, self.units.findall(text))), "<i4")
 
     def transfer(self, text: str, ahead: str) -> np.ndarray:
         """Best score of ``text`` from each entry state to each exit state; ``ahead`` is the text that follows."""
@@ -128,7 +133,7 @@ class PieceModel:
             for state in range(min(most, n + 1)):
                 score[state, state] = 0.0
             for at in range(n):
-                for end, s, _ in self.arcs(full, at, len(full)):
+                for end, s in self.arcs(full, at, len(full)):
                     np.maximum(score[end], score[at] + s, out=score[end])
             for state in range(min(most, len(full) - n + 1)):
                 out[:, state] = score[n + state]
@@ -137,12 +142,14 @@ class PieceModel:
         into = np.full(first + 1, -np.inf)
         into[first] = 0.0
         for at in range(first - 1, -1, -1):
-            into[at] = max(s + into[end] for end, s, _ in self.arcs(full, at, first))
-        middle = sum(self.unit(u)[0] for u in self.units.findall(full[first:last]))
+            into[at] = max(s + into[end] for end, s in self.arcs(full, at, first))
+        if len(self.unit_scores) > CACHED_UNITS:
+            self.unit_scores.clear()
+        middle = sum(map(self.unit_scores.__getitem__, self.units.findall(full[first:last])))
         onward = np.full(len(full) + 1, -np.inf)
         onward[last] = 0.0
         for at in range(last, n):
-            for end, s, _ in self.arcs(full, at, len(full)):
+            for end, s in self.arcs(full, at, len(full)):
                 onward[end] = max(onward[end], onward[at] + s)
         a, b = into[:most], onward[n : n + most]
         out[: len(a), : len(b)] = a[:, None] + middle + b
@@ -153,6 +160,19 @@ class PieceModel:
         return b"".join([surface[i] for i in ids.tolist()])
 
 
+class _Cache(dict):
+    """A dict that makes what it misses; long keys are not kept."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            self[key] = value
+        return value
+
+
 @lru_cache(maxsize=2)
 def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
