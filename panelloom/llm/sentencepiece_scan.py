@@ -36,7 +36,7 @@ from panelloom.session import checkpointed
 
 CHUNK = 1 << 15
 FAN = 64
-CACHED_UNITS = 600_000
+CACHED_UNITS = 200_000
 CACHED_CHARS = 32
 _SPACE = "▁"
 _UNK_PENALTY = 10.0
@@ -57,9 +57,13 @@ class PieceModel:
         self.pieces = {sp.id_to_piece(i): (float(sp.get_score(i)), i) for i in normal}
         self.unk_score = min(s for s, _ in self.pieces.values()) - _UNK_PENALTY
         self.longest = max(map(len, self.pieces))
-        # every beginning of a piece; with score and ids if it is one
-        self.prefixes: dict[str, tuple[float, bytes] | None] = {p[:n]: None for p in self.pieces for n in range(1, len(p))}
-        self.prefixes |= {p: (s, np.array([i], "<i4").tobytes()) for p, (s, i) in self.pieces.items()}
+        # by character: the characters that may follow, and score and ids if the way here spells a piece
+        self.trie: dict[str, list] = {}
+        for piece, (s, i) in self.pieces.items():
+            node = self.trie
+            for char in piece[:-1]:
+                node = node.setdefault(char, [{}, 0.0, None])[0]
+            node.setdefault(piece[-1], [{}, 0.0, None])[1:] = s, np.array([i], "<i4").tobytes()
         self.surface = [sp.id_to_piece(i).replace(_SPACE, " ").encode() for i in ids]
         for b, i in enumerate(self.byte_ids if self.has_bytes else ()):
             self.surface[i] = bytes([b])
@@ -82,33 +86,33 @@ class PieceModel:
 
     def arcs(self, text: str, at: int, stop: int) -> Iterator[tuple[int, float]]:
         """Ends and scores of the pieces that start at a place; one that ends past ``stop`` is left out."""
-        single = False
-        for end in range(at + 1, min(at + self.longest, stop) + 1):
-            if (part := text[at:end]) not in self.prefixes:
+        single, node = False, self.trie
+        for end, char in enumerate(text[at : min(at + self.longest, stop)], at + 1):
+            if (found := node.get(char)) is None:
                 break
-            if found := self.prefixes[part]:
+            node, score, ids = found
+            if ids is not None:
                 single |= end == at + 1
-                yield end, found[0]
+                yield end, score
         if not single and at < stop:
             yield at + 1, self.unk_score
 
     def best(self, text: str) -> tuple[float, bytes]:
         """Highest score of a short text and its ids as little-endian 32-bit integers."""
-        n, prefixes, longest, unk = len(text), self.prefixes, self.longest, self.unk_score
+        n, trie, longest, unk = len(text), self.trie, self.longest, self.unk_score
         score = [0.0] + [-np.inf] * n
         back: list[tuple[int, bytes]] = [(0, b"")] * (n + 1)
-        for at in range(n):
-            base, single = score[at], False
-            for end in range(at + 1, min(at + longest, n) + 1):
-                found = prefixes.get(text[at:end], 0)
-                if found:
-                    single |= end == at + 1
-                    if base + found[0] > score[end]:
-                        score[end], back[end] = base + found[0], (at, found[1])
-                elif found == 0:
+        for at, first in enumerate(text):
+            base, node, end = score[at], trie, at
+            for char in text[at : at + longest]:
+                if (found := node.get(char)) is None:
                     break
-            if not single and base + unk > score[at + 1]:
-                score[at + 1], back[at + 1] = base + unk, (at, self.uncovered(text[at]))
+                node, gain, ids = found
+                end += 1
+                if ids is not None and base + gain > score[end]:
+                    score[end], back[end] = base + gain, (at, ids)
+            if ((found := trie.get(first)) is None or found[2] is None) and base + unk > score[at + 1]:
+                score[at + 1], back[at + 1] = base + unk, (at, self.uncovered(first))
         path, at = [], n
         while at:
             at, ids = back[at]
@@ -283,6 +287,12 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int = FAN)
 
     ``_at`` counts the chunks of a document from 0; ``_row`` tells the rows of giant documents apart.
     """
+    single, several = encode_parts(docs, model_path, chunk, fan)
+    return single.unionByName(several)
+
+
+def encode_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`encode` in two tables: documents of one chunk, and the chunks of giant documents."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.withColumn("text", text)
     short = docs.filter(F.length("text") <= chunk).withColumns({"_row": F.lit(None).cast("long"), "_at": F.lit(0).cast("long"), "_chunks": F.lit(1).cast("long")})
