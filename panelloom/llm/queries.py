@@ -43,7 +43,7 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.replace(text, F.lit("▁"), F.lit(" "))).alias("text_crc32"))
     model = tokenizer_path("piece_bpe_32k.model")
-    back = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, model), model)
+    back = sentencepiece_scan.decode_parts(*sentencepiece_scan.encode_parts(docs, model), model)
     return back.select(
         "doc_id", F.col("_chunks").alias("n_chunks"), "n_tokens", "ids_crc32", "text_crc32", (F.crc32("text") == F.col("text_crc32")).alias("round_trip")
     )

@@ -319,7 +319,7 @@ def encode_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int
         return [[piece_model(model_path).encode(part[enter:] + ahead[:leave])]]
 
     traced = _mapped(placed, ["_part", "_ahead", "_enter", "_leave"], "ids array<int>", trace)
-    return coded.unionByName(traced)
+    return coded, traced
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -327,6 +327,11 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     The chunks of a document are put together by ``_row``; they hold no more than its text did.
     """
+    return decode_parts(encoded.filter("_chunks = 1"), encoded.filter("_chunks > 1"), model_path)
+
+
+def decode_parts(single: DataFrame, several: DataFrame, model_path: str) -> DataFrame:
+    """:func:`decode` for the two tables of :func:`encode_parts`, so that neither is worked out for the other."""
     import zlib
 
     def plain(ids: list[int]):
@@ -335,10 +340,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         return [[text[1:].decode("utf-8", "replace"), len(found), zlib.crc32(found.astype("<u4").tobytes())]]
 
     fields = "text string, n_tokens long, ids_crc32 long"
-    keys = [c for c in encoded.columns if c not in ("ids", "_row", "_at", "_chunks")]
-    single = encoded.filter("_chunks = 1").drop("_row", "_at")
-    several = encoded.filter("_chunks > 1").groupBy("_row").agg(
+    keys = [c for c in single.columns if c not in ("ids", "_row", "_at", "_chunks")]
+    whole = several.groupBy("_row").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ids"))), lambda s: s["ids"])).alias("ids"),
         *[F.first(c).alias(c) for c in [*keys, "_chunks"]],
     )
-    return _mapped(single.unionByName(several.drop("_row")), ["ids"], fields, plain)
+    return _mapped(single.drop("_row", "_at").unionByName(whole.drop("_row")), ["ids"], fields, plain)
