@@ -17,7 +17,6 @@ from panelloom.functions.frames import SERIES, newest_first
 from panelloom.functions.numeric import ratio
 
 PSI_EPS = 1e-8
-EXACT_LIMIT = 10_000
 # Fixed value: the error of a series that is too short.
 TOO_SHORT = "Not enough data for drift detection"
 
@@ -86,20 +85,16 @@ def ks_pvalues(n: int, m: int) -> list[float]:
     The gap can only be a multiple of 1/lcm, so this short table serves all series.
     """
     scale = math.lcm(n, m)
-    values = [1.0]
-    for gap in range(1, scale + 1):
-        inside = np.zeros(m + 1)
-        for i in range(n + 1):
-            allowed = np.abs(i * (scale // n) - np.arange(m + 1) * (scale // m)) < gap
-            row = np.zeros(m + 1)
-            for j in range(m + 1):
-                if allowed[j]:
-                    left = row[j - 1] * (j / (i + j)) if j and i + j else 0.0
-                    up = inside[j] * (i / (i + j)) if i and i + j else 0.0
-                    row[j] = 1.0 if i + j == 0 else left + up
-            inside = row
-        values.append(float(min(max(1.0 - inside[m], 0.0), 1.0)))
-    return values
+    gaps = np.arange(1, scale + 1)
+    # one column per path end j, all gaps at once
+    inside = np.zeros((m + 1, scale))
+    for i in range(n + 1):
+        for j in range(m + 1):
+            left = inside[j - 1] * (j / (i + j)) if j else 0.0
+            up = inside[j] * (i / (i + j)) if i else 0.0
+            allowed = abs(i * (scale // n) - j * (scale // m)) < gaps
+            inside[j] = np.where(allowed, left + up if i or j else 1.0, 0.0)
+    return [1.0, *np.clip(1.0 - inside[m], 0.0, 1.0).tolist()]
 
 
 def ks_asymptotic(gap: Column, n: int, m: int, terms: int = 100) -> Column:
@@ -113,12 +108,14 @@ def ks_asymptotic(gap: Column, n: int, m: int, terms: int = 100) -> Column:
     return F.when(gap > 0, F.least(F.greatest(2 * total, F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
 
 
-def add_drift(windows: DataFrame, reference: int = 60, current: int = 30, bins: int = 10, exact: bool = True) -> DataFrame:
-    """Add ``psi``, ``ks_statistic`` and ``ks_pvalue`` to drift windows."""
+def add_drift(windows: DataFrame, reference: int = 60, current: int = 30, bins: int = 10, method: str = "exact") -> DataFrame:
+    """Add ``psi``, ``ks_statistic`` and ``ks_pvalue`` (``exact`` or ``asymptotic``, as asked) to drift windows."""
+    if method not in ("exact", "asymptotic"):
+        raise ValueError(f"unknown method {method!r}")
     scale = math.lcm(reference, current)
     df = windows.withColumns({"psi": psi(F.col("ref"), F.col("cur"), bins), "_gap": ks_gap(F.col("ref"), F.col("cur"), scale)})
     df = df.withColumn("ks_statistic", F.col("_gap") / F.lit(float(scale)))
-    if exact and scale <= EXACT_LIMIT:
+    if method == "exact":
         p = F.get(F.lit(ks_pvalues(reference, current)), F.col("_gap"))
     else:
         p = ks_asymptotic(F.col("ks_statistic"), reference, current)

@@ -37,8 +37,8 @@ def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     """A log table; one that was never written is empty when its schema is given."""
     try:
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    except AnalysisException:
-        if schema is None:
+    except AnalysisException as error:
+        if schema is None or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 

@@ -258,12 +258,17 @@ def report(checks: DataFrame) -> DataFrame:
 
 
 def validate(df: DataFrame, raise_on_failure: bool = False, **options) -> DataFrame:
-    """The report; with ``raise_on_failure`` this runs it and raises if any series fails."""
+    """The report; with ``raise_on_failure`` this runs it and raises if any series fails.
+
+    The error counts all failed series and names some; the report lists them all.
+    """
     summary = report(run_checks(df, **options))
     if raise_on_failure:
-        bad = summary.filter(~F.col("passed")).select("series_id", "summary").limit(20).collect()
-        if bad:
-            raise ValidationError("; ".join(f"{r['series_id']} ({r['summary']})" for r in bad))
+        failed = summary.filter(~F.col("passed"))
+        if total := failed.count():
+            names = "; ".join(f"{r['series_id']} ({r['summary']})" for r in failed.orderBy("series_id").limit(20).collect())
+            more = f"; the first 20 of {total} failed series by id, see the report for all" if total > 20 else ""
+            raise ValidationError(names + more)
     return summary
 
 

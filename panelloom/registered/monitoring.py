@@ -108,7 +108,7 @@ def drift_ks_exact_pvalue(spark, sf_dir):
 )
 def drift_ks_asymptotic_pvalue(spark, sf_dir):
     windows, _ = drift.drift_windows(_union(spark, sf_dir))
-    return rounded(drift.add_drift(windows, exact=False).select("series_id", "ks_pvalue"), ["ks_pvalue"], 8)
+    return rounded(drift.add_drift(windows, method="asymptotic").select("series_id", "ks_pvalue"), ["ks_pvalue"], 8)
 
 
 _DRIFT = ["psi", "ks_statistic", "ks_pvalue", "reference_mean", "current_mean", "mean_change_pct"]

@@ -47,12 +47,14 @@ def _spark_date_format(strptime_format: str) -> str:
     return strptime_format
 
 
+_ISO_DATE = r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+
+
 def parse_date(text: Column, date_format: str = "yyyy-MM-dd") -> Column:
-    """Date or NULL; a time of day after an ISO date is dropped."""
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit(date_format)).cast("date"),
-        F.to_date(F.expr("NULL")) if date_format != "yyyy-MM-dd" else text.try_cast("date"),
-    )
+    """Date or NULL; an ISO date may be followed by a time of day, which is dropped, and by nothing else."""
+    if date_format != "yyyy-MM-dd":
+        return F.try_to_timestamp(text, F.lit(date_format)).cast("date")
+    return F.regexp_extract(text, _ISO_DATE, 1).try_cast("date")
 
 
 def parse_number(text: Column) -> Column:
@@ -142,7 +144,7 @@ def load_all(
     parts = []
     for layout, files in layouts.items():
         owners = spark.createDataFrame(files, "_file string, _owner string")
-        rows = scan(spark, sources[layout], layout[0])
+        rows = scan(spark, list(dict.fromkeys(sources[layout])), layout[0])
         rows = rows.withColumn("_file", F.regexp_replace("_metadata.file_path", "^file:/*", "/"))
         rows = rows.join(owners, "_file")
         parts.append(

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.operators import filters
+from panelloom.operators.monitoring import read_log
 from panelloom.sources.errors import SourceError, UnknownSeriesError
-from panelloom.sources.readers import load_all, load_series, read_table, standardize
+from panelloom.sources.readers import load_all, load_series, parse_date, read_table, standardize
 from panelloom.sources.registry import RunLog
 from panelloom.sources.series_catalog import SeriesCatalog
 from panelloom.sources.writers import save, save_forecasts, save_predictions, save_processed
@@ -56,6 +57,29 @@ def test_load_all_reports_failures_and_maps_files_to_series(spark, tmp_path):
     assert {r["series_id"] for r in errors.collect()} == {"c", "gone", "odd"}
 
 
+def test_two_entries_on_one_file_get_its_rows_once_each(spark, tmp_path):
+    catalog = write_catalog(tmp_path, {"a": "date,close\n2024-01-01,1\n2024-01-02,2\n"})
+    catalog.entries["b"] = catalog.entries["a"] | {"id": "b"}
+    panel, _ = load_all(spark, catalog)
+    assert rows(panel) == [(s, f"2024-01-0{d}", float(d)) for s in "ab" for d in (1, 2)]
+
+
+def test_dates_are_parsed_by_their_format_only(spark):
+    texts = ["2024-03-05", "2024-03-05 10:20:30", "2024-03-05T10:20", "2024", "2024-3", "2024-03-05 junk", "2024-02-30", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r.d for r in df.select("i", parse_date(F.col("t")).cast("string").alias("d")).orderBy("i").collect()]
+    assert found == ["2024-03-05"] * 3 + [None] * 6
+
+
+def test_logs_forgive_a_missing_path_only(spark, tmp_path):
+    assert read_log(spark, str(tmp_path / "none"), "a int").count() == 0
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        read_log(spark, str(broken), "a int").count()
+
+
 def test_load_all_empty_keeps_schema(spark):
     panel, errors = load_all(spark, SeriesCatalog([]))
     assert {"series_id", "date", "value", "ingest_seq"} <= set(panel.columns)
