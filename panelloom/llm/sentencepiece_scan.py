@@ -29,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ CHUNK = 1 << 15
 FAN = 64
 CACHED_UNITS = 200_000
 CACHED_CHARS = 32
+AT_ONCE = 20_000
+WINDOW = 1 << 22
 _SPACE = "▁"
 _UNK_PENALTY = 10.0
 
@@ -64,6 +67,7 @@ class PieceModel:
             for char in piece[:-1]:
                 node = node.setdefault(char, [{}, 0.0, None])[0]
             node.setdefault(piece[-1], [{}, 0.0, None])[1:] = s, np.array([i], "<i4").tobytes()
+        self._number_trie()
         self.surface = [sp.id_to_piece(i).replace(_SPACE, " ").encode() for i in ids]
         for b, i in enumerate(self.byte_ids if self.has_bytes else ()):
             self.surface[i] = bytes([b])
@@ -77,7 +81,25 @@ class PieceModel:
         lone = re.escape(alone)
         self.units = re.compile(rf"[{lone}]|[^{lone}]+" if spans else rf"{_SPACE}*[^{lone}{_SPACE}]+|{_SPACE}+|[{lone}]")
         self.unit_ids = _Cache(lambda unit: self.best(unit)[1])
-        self.unit_scores = _Cache(lambda unit: self.best(unit)[0])
+        self.id_scores = np.zeros(len(ids))
+        self.id_scores[self.unk_id] = self.unk_score
+        for b, i in enumerate(self.byte_ids if self.has_bytes else ()):  # an uncovered character counts once
+            self.id_scores[i] = 0.0 if b & 0xC0 == 0x80 else self.unk_score
+        for score, i in self.pieces.values():
+            self.id_scores[i] = score
+
+    def _number_trie(self) -> None:
+        """The trie as arrays: node ``k + 1`` is reached by the ``k``-th edge, a pair of node and character."""
+        edges, gains, ids, todo = [], [-np.inf], [-1], [(0, self.trie)]
+        while todo:
+            node, below = todo.pop()
+            for char, (further, gain, piece) in below.items():
+                edges.append(node << 21 | ord(char))
+                gains.append(gain if piece else -np.inf)
+                ids.append(int(np.frombuffer(piece, "<i4")[0]) if piece else -1)
+                if further:
+                    todo.append((len(edges), further))
+        self.edges, self.gains, self.node_ids = pd.Index(np.array(edges, np.int64)), np.array(gains), np.array(ids, "<i4")
 
     def uncovered(self, char: str) -> bytes:
         """Ids of a character that no piece covers."""
@@ -119,11 +141,74 @@ class PieceModel:
             path.append(ids)
         return score[n], b"".join(reversed(path))
 
+    def best_of_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of :meth:`best` for many short texts that are not empty, all taken one character further at a time."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        which = np.arange(len(texts))
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(which, sizes)
+        stop = (begin + sizes)[owner]
+        # arcs: the pieces that start at each character
+        at, node, depth, arcs = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0, []
+        while len(at):
+            node = self.edges.get_indexer(node << 21 | chars[at + depth]) + 1
+            at, node = at[node > 0], node[node > 0]
+            depth += 1
+            spelt = self.node_ids[node] >= 0
+            arcs.append((at[spelt], np.full(spelt.sum(), depth), node[spelt]))
+            inside = at + depth < stop[at]
+            at, node = at[inside], node[inside]
+        lone = np.ones(len(chars), bool)
+        lone[arcs[0][0]] = False
+        single = np.flatnonzero(lone)
+        arcs.append((single, np.ones(len(single), np.int64), np.zeros(len(single), np.int64)))
+        source, length, node = (np.concatenate(part) for part in zip(*arcs, strict=True))
+        gain = np.where(node > 0, self.gains[node], self.unk_score)
+        offset = source - begin[owner[source]]
+        order = np.argsort(offset, kind="stable")
+        # a text of n characters has n + 1 edges between and around them
+        source = (source + owner[source])[order]
+        target, gain, node = source + length[order], gain[order], node[order]
+        first = begin + which
+        score = np.full(len(chars) + len(texts), -np.inf)
+        score[first] = 0.0
+        back = np.zeros(len(score), np.int64)
+        bounds = np.searchsorted(offset[order], np.arange(sizes.max() + 1))
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            reached = score[source[low:high]] + gain[low:high]
+            better = np.flatnonzero(reached > score[target[low:high]])
+            ends = target[low + better]
+            score[ends], back[ends] = reached[better], low + better
+        here, open_, path = first + sizes, which, []
+        while len(open_):
+            arc = back[here]
+            path.append(arc)
+            here = source[arc]
+            further = here > first[open_]
+            open_, here = open_[further], here[further]
+        taken = np.concatenate(path)
+        taken = taken[np.argsort(source[taken])]
+        by_text = np.searchsorted(first, source[taken], "right") - 1
+        ends = np.cumsum(np.bincount(by_text, minlength=len(texts))) * 4
+        ids = self.node_ids[node[taken]].tobytes()
+        out = [ids[low:high] for low, high in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in np.unique(owner[single]).tolist():  # an uncovered character becomes several ids
+            out[i] = self.best(texts[i])[1]
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that are already normalized."""
+        known, units = self.unit_ids, [self.units.findall(t) for t in texts]
+        if len(known) > CACHED_UNITS:
+            known.clear()
+        fresh = [u for u in set().union(*units) if len(u) <= CACHED_CHARS and u not in known]
+        for i in range(0, len(fresh), AT_ONCE):
+            known.update(zip(fresh[i : i + AT_ONCE], self.best_of_many(fresh[i : i + AT_ONCE]), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, found)), "<i4") for found in units]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of text that is already normalized."""
-        if len(self.unit_ids) > CACHED_UNITS:
-            self.unit_ids.clear()
-        return np.frombuffer(b"".join(map(self.unit_ids.__getitem__, self.units.findall(text))), "<i4")
+        return self.encode_all([text])[0]
 
     def transfer(self, text: str, ahead: str) -> np.ndarray:
         """Best score of ``text`` from each entry state to each exit state; ``ahead`` is the text that follows."""
@@ -147,9 +232,7 @@ class PieceModel:
         into[first] = 0.0
         for at in range(first - 1, -1, -1):
             into[at] = max(s + into[end] for end, s in self.arcs(full, at, first))
-        if len(self.unit_scores) > CACHED_UNITS:
-            self.unit_scores.clear()
-        middle = sum(map(self.unit_scores.__getitem__, self.units.findall(full[first:last])))
+        middle = self.id_scores[self.encode(full[first:last])].sum()
         onward = np.full(len(full) + 1, -np.inf)
         onward[last] = 0.0
         for at in range(last, n):
@@ -245,7 +328,10 @@ def _schema(df: DataFrame, fields: str) -> tuple[str, pa.Schema]:
 
 
 def _mapped(df: DataFrame, consumed: list[str], fields: str, rows) -> DataFrame:
-    """Replace the ``consumed`` columns by ``fields``; ``rows`` yields, for a row's values, lists of field values."""
+    """Replace the ``consumed`` columns by ``fields``.
+
+    ``rows`` takes the values of some rows, a tuple each, and gives for each row a list of lists of field values.
+    """
     kept = [c for c in df.columns if c not in consumed]
     ddl, arrow = _schema(df.select(*kept), fields)
 
@@ -255,20 +341,47 @@ def _mapped(df: DataFrame, consumed: list[str], fields: str, rows) -> DataFrame:
             made: list = []
             source: list[int] = []
             held = 0
-            for i in range(batch.num_rows):
-                for values in rows(*[g[i].as_py() for g in given]):
-                    made.append(values)
-                    source.append(i)
-                    held += sum(len(v) for v in values if hasattr(v, "__len__"))
-                    if held > 1 << 22:
-                        yield _batch(batch, kept, made, source, arrow)
-                        made, source, held = [], [], 0
+            for window in _windows(given, batch.num_rows):
+                for i, outs in zip(window, rows([tuple(_value(g[i]) for g in given) for i in window]), strict=True):
+                    for values in outs:
+                        made.append(values)
+                        source.append(i)
+                        held += sum(len(v) for v in values if hasattr(v, "__len__"))
+                        if held > 1 << 22:
+                            yield _batch(batch, kept, made, source, arrow)
+                            made, source, held = [], [], 0
             if made:
                 yield _batch(batch, kept, made, source, arrow)
 
     return df.select(*kept, *consumed).mapInArrow(run, ddl)
 
 
+def _each(row: Callable) -> Callable:
+    return lambda rows: [row(*values) for values in rows]
+
+
+def _value(scalar: pa.Scalar):
+    return scalar.values.to_numpy(zero_copy_only=False) if isinstance(scalar, pa.ListScalar) else scalar.as_py()
+
+
+def _windows(columns: list[pa.Array], n: int) -> Iterator[range]:
+    """Row numbers in runs of at most ``WINDOW`` bytes or list elements, or of one row."""
+    sizes = np.zeros(n, np.int64)
+    for column in columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            sizes += pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > WINDOW:
+            yield range(start, i)
+            start, held = i, 0
+        held += size
+    if n:
+        yield range(start, n)
+
+
 def _batch(batch: pa.RecordBatch, kept: list[str], made: list, source: list[int], arrow: pa.Schema) -> pa.RecordBatch:
     same = [batch.column(c).take(pa.array(source)) for c in kept]
     fresh = []
@@ -300,7 +413,10 @@ def encode_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int
     def normalized(value: str) -> str:
         return _SPACE + value.replace(" ", _SPACE) if value else ""
 
-    coded = _mapped(short, ["text"], "ids array<int>", lambda value: [[piece_model(model_path).encode(normalized(value))]])
+    def code(rows: list[tuple[str]]):
+        return [[[ids]] for ids in piece_model(model_path).encode_all([normalized(value) for (value,) in rows])]
+
+    coded = _mapped(short, ["text"], "ids array<int>", code)
 
     def cut(value: str):
         value = normalized(value)
@@ -309,14 +425,19 @@ def encode_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int
         return [[i, n, value[i * chunk : (i + 1) * chunk], value[(i + 1) * chunk : (i + 1) * chunk + reach]] for i in range(n)]
 
     giant = docs.filter(F.length("text") > chunk).withColumn("_row", F.monotonically_increasing_id())
-    chunks = checkpointed(_mapped(giant, ["text"], "_at long, _chunks long, _part string, _ahead string", cut))
+    chunks = checkpointed(_mapped(giant, ["text"], "_at long, _chunks long, _part string, _ahead string", _each(cut)))
+
+    def transfer(part: str, ahead: str):
+        return [[piece_model(model_path).transfer(part, ahead).tobytes()]]
+
     # chunks of a document go to many tasks
     spread = chunks.select("_row", "_at", "_part", "_ahead").repartition("_row", "_at")
-    matrices = checkpointed(_mapped(spread, ["_part", "_ahead"], "_matrix binary", lambda part, ahead: [[piece_model(model_path).transfer(part, ahead).tobytes()]]))
+    matrices = checkpointed(_mapped(spread, ["_part", "_ahead"], "_matrix binary", _each(transfer)))
     placed = chunks.join(edge_states(matrices, fan), ["_row", "_at"])
 
-    def trace(part: str, ahead: str, enter: int, leave: int):
-        return [[piece_model(model_path).encode(part[enter:] + ahead[:leave])]]
+    def trace(rows: list[tuple[str, str, int, int]]):
+        parts = [part[enter:] + ahead[:leave] for part, ahead, enter, leave in rows]
+        return [[[ids]] for ids in piece_model(model_path).encode_all(parts)]
 
     traced = _mapped(placed, ["_part", "_ahead", "_enter", "_leave"], "ids array<int>", trace)
     return coded, traced
@@ -334,10 +455,9 @@ def decode_parts(single: DataFrame, several: DataFrame, model_path: str) -> Data
     """:func:`decode` for the two tables of :func:`encode_parts`, so that neither is worked out for the other."""
     import zlib
 
-    def plain(ids: list[int]):
-        found = np.array(ids, np.int64)
-        text = piece_model(model_path).decode(found)
-        return [[text[1:].decode("utf-8", "replace"), len(found), zlib.crc32(found.astype("<u4").tobytes())]]
+    def plain(ids: np.ndarray):
+        text = piece_model(model_path).decode(ids)
+        return [[text[1:].decode("utf-8", "replace"), len(ids), zlib.crc32(ids.astype("<u4").tobytes())]]
 
     fields = "text string, n_tokens long, ids_crc32 long"
     keys = [c for c in single.columns if c not in ("ids", "_row", "_at", "_chunks")]
@@ -345,4 +465,4 @@ def decode_parts(single: DataFrame, several: DataFrame, model_path: str) -> Data
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ids"))), lambda s: s["ids"])).alias("ids"),
         *[F.first(c).alias(c) for c in [*keys, "_chunks"]],
     )
-    return _mapped(single.drop("_row", "_at").unionByName(whole.drop("_row")), ["ids"], fields, plain)
+    return _mapped(single.drop("_row", "_at").unionByName(whole.drop("_row")), ["ids"], fields, _each(plain))
