@@ -97,6 +97,26 @@ def ewm_std(returns: Column, span: int) -> Column:
 STATISTICS = {"mean": mean, "std": sample_std, "min": F.array_min, "max": F.array_max, "median": median}
 
 
+def needed_history(columns: Sequence[str]) -> int | None:
+    """How many latest values the features of the next row and their partial update look at; None means all.
+
+    Run lengths and weighted deviations reach back to the start of a series. A feature of unknown reach is an error.
+    """
+    need, calendar = 1, calendar_columns(F.current_date())
+    for name in columns:
+        number = int(found[-1]) if (found := re.findall(r"\d+", name)) else None
+        if name in calendar:
+            continue
+        if name.startswith(("volatility_ewm_", "consecutive_direction")):
+            return None
+        if number is None or not name.startswith(("lag_", "rolling_", "range_pct_", "volatility_", "return_", "momentum_")):
+            raise ValueError(f"no rule for the values that feature {name!r} looks back on")
+        if name.endswith("d_lag1"):
+            number = int(name.split("_")[1][:-1])
+        need = max(need, number + 1)
+    return need + 1
+
+
 def next_features(history: Column, date: Column, columns: Sequence[str]) -> dict[str, Column]:
     """Features of the row dated ``date`` whose value is not known yet. What needs that value is NULL."""
     calendar = calendar_columns(date)

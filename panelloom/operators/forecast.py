@@ -1,7 +1,8 @@
 """Forecasts of all series at once.
 
-A series is one row of state: its last date and a bounded array of its latest values. A forecast step is a
-projection over that table, so a horizon of H costs H narrow stages and no shuffle.
+A series is one row of state: its last date and an array of as many latest values as its features look back on
+(all of them, one a day, for features that reach back to the start). A forecast step is a projection over that
+table, so a horizon of H costs H narrow stages and no shuffle.
 """
 
 from __future__ import annotations
@@ -14,13 +15,12 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.calendar import business_day_after
 from panelloom.functions.frames import SERIES, by_date
-from panelloom.functions.history import last_n, next_features, refreshed_features
+from panelloom.functions.history import last_n, needed_history, next_features, refreshed_features
 from panelloom.functions.numeric import ratio
 from panelloom.operators.backtest import BASELINES, MEAN_WINDOW, SEASON, baseline_prediction, train_state
 from panelloom.operators.filters import complete_cases, tail
 from panelloom.session import checkpointed
 
-HISTORY = 260
 PRICE_FLOOR = 0.01
 Z_95 = 1.96
 DEFAULT_SPREAD = 0.02
@@ -76,14 +76,17 @@ def forecast_baselines(
 
 
 def forecast_state(
-    features: DataFrame, columns: Sequence[str], history: int = HISTORY, keys: Sequence[str] = SERIES
+    features: DataFrame, columns: Sequence[str], history: int | None = None, keys: Sequence[str] = SERIES
 ) -> tuple[DataFrame, DataFrame]:
     """One row per series: latest values, last date and the features of the last complete row.
 
+    ``history`` is the number of values kept; by default as many as the columns need.
+
     Also returns the series without any complete row.
     """
     known = complete_cases(features, [*columns, "value"])
-    last = tail(known, history, keys)
+    history = history or needed_history(columns)
+    last = tail(known, history, keys) if history else known
     state = last.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("date", "value"))), lambda s: s["value"]).alias("history"),
         F.max("date").alias("last_date"),
@@ -103,7 +106,7 @@ def forecast_recursive(
     refresh: str = "full",
     residual_std: float | None = None,
     z: float = Z_95,
-    history: int = HISTORY,
+    history: int | None = None,
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Predict one business day at a time and feed each prediction back.
@@ -122,7 +125,9 @@ def forecast_recursive(
     fresh = next_features(F.col("history"), date, columns) if refresh == "full" else {}
     known = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
     floored = F.greatest(F.col("prediction"), F.lit(PRICE_FLOOR))
-    longer = last_n(F.concat("history", F.array("prediction")), history).alias("history")
+    history = history or needed_history(columns)
+    longer = F.concat("history", F.array("prediction"))
+    longer = (last_n(longer, history) if history else longer).alias("history")
     extended = F.concat("_path", F.array(F.struct(date.alias("date"), F.col("prediction").alias("price")))).alias("_path")
     updated = refreshed_features(F.col("history"), columns) if refresh == "partial" else {}
     for day in range(1, horizon + 1):

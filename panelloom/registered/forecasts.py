@@ -43,12 +43,12 @@ def forecast_baselines(spark, sf_dir):
 @query(
     "forecast_interval_confidence",
     "I03",
-    f"""WITH {SHIPMENTS}, {_baseline_sql('p2', 10)}
+    f"""WITH {SHIPMENTS}, {_baseline_sql('p2', 30)}
         SELECT series_id, CAST(step AS INTEGER) AS day_ahead, {stable_sql('greatest(predicted_price - 1.2815515655446004e0 * 500e0 * sqrt(step), 0)')} AS ci_lower,
           {stable_sql('predicted_price + 1.2815515655446004e0 * 500e0 * sqrt(step)')} AS ci_upper FROM bf WHERE model = 'naive'""",
 )
 def forecast_interval_confidence(spark, sf_dir):
-    rows = forecast.forecast_baselines(daily_shipments(spark, sf_dir), 10, ("naive",), residual_std=500, z=forecast.z_of(0.8))
+    rows = forecast.forecast_baselines(daily_shipments(spark, sf_dir), 30, ("naive",), residual_std=500, z=forecast.z_of(0.8))
     return rounded(rows.select("series_id", "day_ahead", "ci_lower", "ci_upper"), ["ci_lower", "ci_upper"])
 
 
@@ -82,7 +82,7 @@ def predict_all_naive(spark, sf_dir):
 @query(
     "forecast_stack_and_history",
     "I07 I08",
-    f"""WITH {SHIPMENTS}, {_baseline_sql('p2', 14)},
+    f"""WITH {SHIPMENTS}, {_baseline_sql('p2', 30)},
         h AS (SELECT series_id, NULL AS model, 'history' AS part, date, value AS price FROM p2 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 60),
         j AS (SELECT series_id, model, 'forecast' AS part, last_date AS date, last_v AS price FROM bf WHERE step = 1 AND model IN ('naive', 'drift')),
         f AS (SELECT series_id, model, 'forecast' AS part, date, predicted_price AS price FROM bf WHERE model IN ('naive', 'drift')),
@@ -91,12 +91,12 @@ def predict_all_naive(spark, sf_dir):
 )
 def forecast_stack_and_history(spark, sf_dir):
     panel = daily_shipments(spark, sf_dir)
-    runs = {m: forecast.forecast_baselines(panel, 14, (m,)).drop("model") for m in ("naive", "drift")}
+    runs = {m: forecast.forecast_baselines(panel, 30, (m,)).drop("model") for m in ("naive", "drift")}
     line = forecast.history_and_forecast(panel, forecast.stack_models(runs))
     return rounded(line.withColumn("date", F.col("date").cast("string")), ["price"])
 
 
-_STEPS = 14
+_STEPS = 30
 _COLUMNS = ["lag_1", "rolling_mean_7", "day_of_week"]
 
 
@@ -105,10 +105,10 @@ def _blend(df):
     return df.withColumn("prediction", 0.6 * F.col("lag_1") + 0.4 * F.col("rolling_mean_7") + F.col("day_of_week"))
 
 
-def _recursive_sql(price: str, weekday: str) -> str:
+def _recursive_sql(price: str, weekday: str, keep: int = 60, least: int = 1) -> str:
     """Recursion over day numbers with the history as a list."""
     return f"""WITH RECURSIVE {WEEKDAY}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS k FROM p1b),
-        b AS (SELECT series_id, max(date) AS last_date, list(value ORDER BY date) AS h FROM k WHERE k <= 60 GROUP BY 1),
+        b AS (SELECT series_id, max(date) AS last_date, list(value ORDER BY date) AS h FROM k WHERE k <= {keep} GROUP BY 1 HAVING max(k) >= {least}),
         r(series_id, last_date, date, step, h) AS (
           SELECT series_id, last_date, last_date, 0, h FROM b
           UNION ALL
@@ -135,6 +135,20 @@ def forecast_recursive_partial(spark, sf_dir):
     return _recursive(spark, sf_dir, "partial")
 
 
+@query("forecast_recursive_long", "I01 I06", _recursive_sql("0.6 * h[-300] + 0.4 * list_avg(h[-365:])", "0", 365, 301))
+def forecast_recursive_long(spark, sf_dir):
+    """Features that look back over a year; series too short for the lag are left out."""
+    columns = ["lag_300", "rolling_mean_365"]
+    features = generate(weekday_orders(spark, sf_dir), (300,), (365,), ("mean",), volatility=False, returns=False)
+    state, _ = forecast.forecast_state(features, columns)
+
+    def blend(df):
+        return df.withColumn("prediction", 0.6 * F.col("lag_300") + 0.4 * F.col("rolling_mean_365"))
+
+    rows = forecast.forecast_recursive(state, blend, columns, _STEPS)
+    return rounded(rows.select("series_id", "day_ahead", day(), "predicted_price"), ["predicted_price"])
+
+
 @query(
     "calendar_kth_business_day",
     "F08 F09",

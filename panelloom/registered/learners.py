@@ -84,7 +84,7 @@ def learner_backtest(spark, sf_dir):
 def learner_forecast_recursive(spark, sf_dir):
     split, columns = _split(spark, sf_dir)
     learner = learners.Learner("elastic_net", columns, _SMALL["elastic_net"]).fit(split.filter(F.col("split") == "train"))
-    picked, _ = predict_all(order_ticks(spark, sf_dir), learner.model, (1, 7, 14), columns=columns)
+    picked, _ = predict_all(order_ticks(spark, sf_dir), learner.model, (1, 7, 30), columns=columns)
     picked = picked.drop("prediction_date")
     return picked.withColumns({c: F.col(c).cast("string") for c in ("as_of_date", "target_date")})
 
@@ -94,5 +94,5 @@ def learner_forecast_partial(spark, sf_dir):
     split, columns = _split(spark, sf_dir)
     learner = learners.Learner("random_forest", columns, _SMALL["random_forest"]).fit(split.filter(F.col("split") == "train"))
     state, _ = forecast.forecast_state(split, columns)
-    rows = forecast.forecast_recursive(state, learner.predict, columns, 8, "partial")
+    rows = forecast.forecast_recursive(state, learner.predict, columns, 30, "partial")
     return rows.withColumns({c: F.col(c).cast("string") for c in ("last_date", "date")})

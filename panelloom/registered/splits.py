@@ -122,18 +122,18 @@ def _rows_sql(method: str) -> str:
             count(*) OVER (PARTITION BY series_id) AS n FROM p2)
         SELECT series_id, CAST(date AS VARCHAR) AS date, value, CAST(k AS INTEGER) AS fold_id,
           CASE WHEN i.i <= 251 + k * 30 THEN 'train' ELSE 'test' END AS role
-        FROM i JOIN generate_series(0, 3) g(k) ON 251 + k * 30 + 30 < n AND i.i <= 251 + k * 30 + 30 AND {low}"""
+        FROM i JOIN generate_series(0, (SELECT max(n) // 30 FROM i)) g(k) ON 251 + k * 30 + 30 < n AND i.i <= 251 + k * 30 + 30 AND {low}"""
 
 
 @query("fold_rows_walk_forward", "P09", _rows_sql("walk_forward"))
 def fold_rows_walk_forward(spark, sf_dir):
-    rows = splits.assign_folds(daily_shipments(spark, sf_dir), **FOLDS, n_folds=4)
+    rows = splits.assign_folds(daily_shipments(spark, sf_dir), **FOLDS)
     return rows.select("series_id", day(), "value", "fold_id", "role")
 
 
 @query("fold_rows_rolling", "P09", _rows_sql("rolling"))
 def fold_rows_rolling(spark, sf_dir):
-    rows = splits.assign_folds(daily_shipments(spark, sf_dir), **FOLDS, method="rolling", n_folds=4)
+    rows = splits.assign_folds(daily_shipments(spark, sf_dir), **FOLDS, method="rolling")
     return rows.select("series_id", day(), "value", "fold_id", "role")
 
 

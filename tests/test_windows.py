@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.functions.history import next_features
+from panelloom.functions.history import needed_history, next_features
 from panelloom.operators import backtest, drift, features, metrics, monitoring, sequences, splits, targets
 from panelloom.operators.quantiles import exact_quantiles
 from panelloom.plans.hot_series import with_row_index
@@ -215,3 +215,11 @@ def test_metric_log_round_trip(spark, tmp_path):
     monitoring.record_metrics(first.withColumns({"mae": F.lit(4.0), "timestamp": F.lit("2024-01-02"), "record_seq": F.lit(1).cast("bigint")}), path)
     rolled = monitoring.rolling_metric(monitoring.read_log(spark, path))
     assert sorted(r["rolling_mae"] for r in rolled.collect()) == [2.0, 3.0]
+
+
+def test_history_follows_the_features(sp):
+    assert needed_history(["lag_300", "rolling_mean_365", "day_of_week"]) == 367
+    assert needed_history(["return_5d_lag1", "volatility_21"]) == 23
+    assert needed_history(["lag_1", "volatility_ewm_14"]) is None
+    with pytest.raises(ValueError):
+        needed_history(["mystery"])
