@@ -217,7 +217,7 @@ def test_metric_log_round_trip(spark, tmp_path):
     assert sorted(r["rolling_mae"] for r in rolled.collect()) == [2.0, 3.0]
 
 
-def test_history_follows_the_features(sp):
+def test_history_follows_the_features(spark):
     assert needed_history(["lag_300", "rolling_mean_365", "day_of_week"]) == 367
     assert needed_history(["return_5d_lag1", "volatility_21"]) == 23
     assert needed_history(["lag_1", "volatility_ewm_14"]) is None
