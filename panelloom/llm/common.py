@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The white space that separates words, as a Java and Python character class body.
 SPACES = r"\x20\x09-\x0D"
@@ -75,3 +77,10 @@ def join_small(df: DataFrame, small: DataFrame, on: Column | list[str], how: str
     """
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(small) if few else small, on, how)
+
+
+def arrow_schema(df: DataFrame, fields: str) -> tuple[StructType, pa.Schema]:
+    """The columns of ``df`` and further ``fields``, as a schema for ``mapInArrow`` and as one of Arrow."""
+    spark = df.sparkSession
+    whole = StructType([*df.schema.fields, *spark.createDataFrame([], fields).schema.fields])
+    return whole, spark.createDataFrame([], whole).toArrow().schema
