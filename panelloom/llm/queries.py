@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, periodic_runs, pii_bootstrap, quality_knn, quality_outliers, sentencepiece_scan, sharding, simhash, token_files, topk_kdtree, url_cascade
+from panelloom.llm import mixing, periodic_runs, pii_bootstrap, quality_knn, quality_outliers, rotated_kmeans, sentencepiece_scan, sharding, simhash, token_files, topk_kdtree, url_cascade
 from panelloom.llm.common import WORD, importable, n_words, read, shared_folder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,44 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _lloyd_sql(clusters: int, rounds: int, scale: int, components: int) -> str:
+    """Lloyd's rounds written out, over a row for each vector and component."""
+    squares = "SELECT x.rid, c.cluster, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{0} c USING (i) GROUP BY ALL"
+    nearest = "SELECT rid, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM ({}) GROUP BY rid"
+    ctes = [
+        f"""e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""x AS MATERIALIZED (SELECT rid, i, floor({scale} * embedding[i]::DOUBLE)::HUGEINT AS v FROM e, range(1, {components + 1}) r(i))""",
+        f"""s AS (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, vec_id NULLS LAST, embedding) - 1 AS cluster FROM e
+            QUALIFY cluster < {clusters})""",
+        "c0 AS MATERIALIZED (SELECT s.cluster, x.i, x.v FROM s JOIN x USING (rid))",
+    ]
+    for n in range(rounds):
+        ctes += [
+            f"a{n} AS MATERIALIZED ({nearest.format(squares.format(n))})",
+            f"m{n} AS (SELECT a.cluster, x.i, sum(x.v)::HUGEINT AS t, count(*)::HUGEINT AS n FROM a{n} a JOIN x USING (rid) GROUP BY ALL)",
+            f"""c{n + 1} AS MATERIALIZED (SELECT c.cluster, c.i, CASE WHEN m.n IS NULL THEN c.v ELSE (m.t - ((m.t % m.n) + m.n) % m.n) // m.n END AS v
+                FROM c{n} c LEFT JOIN m{n} m USING (cluster, i))""",
+        ]
+    ctes += [
+        f"a AS MATERIALIZED ({nearest.format(squares.format(rounds))})",
+        f"h AS (SELECT cluster, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)",
+    ]
+    return f"""WITH {", ".join(ctes)}
+        SELECT e.vec_id, a.cluster::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+            (sum(a.d) OVER ())::BIGINT AS inertia, h.centroid_sha256
+        FROM a JOIN e USING (rid) JOIN h USING (cluster)"""
+
+
+@query("op12_rotated_kmeans", _lloyd_sql(8, 10, 1024, 64))
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = rotated_kmeans.usable(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    found = rotated_kmeans.cluster(vectors, F.sha2(F.concat(F.lit("3:"), F.col("id").cast("string")), 256), 8, 10, 1024, 64)
+    total = min(sum(found.inertia), rotated_kmeans.LONGEST)
+    about = [(c, min(found.inertia[c], rotated_kmeans.LONGEST), total, rotated_kmeans.centroid_sha256(v)) for c, v in enumerate(found.centroids)]
+    per_cluster = spark.createDataFrame(about, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")  # 8 rows
+    return found.rows.join(F.broadcast(per_cluster), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )

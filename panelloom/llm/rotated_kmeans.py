@@ -14,13 +14,14 @@ they add up exactly whatever their size, and the driver gets ``clusters x compon
 Vectors that are null, of another length, or hold null, NaN or infinite components are left out. Repeated rows count
 each for itself. Ties between centroids go to the smaller number; the starting vectors with equal hashes are taken in
 the order of their components, null ids last. With fewer vectors than clusters there are fewer clusters, and an empty
-table gives no rows. Distances beyond a long are reported as the largest long. Only ``id`` and the vector are read, so
+table gives no rows. Distances beyond a long are reported, and summed, as the largest long. Only ``id`` and the vector are read, so
 other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,11 +65,12 @@ def _integers(vectors: pa.Array, scale: int, components: int) -> np.ndarray:
         floors = np.floor(scaled * scale)
     if np.abs(floors).max(initial=0) <= NARROW:
         return floors.astype(np.int64)
-    exact = [int(v) if abs(v) * scale < 2.0**52 else _floor_exactly(x, scale) for v, x in zip(np.floor(np.where(np.isfinite(floors), scaled, 0) * scale).ravel().tolist(), scaled.ravel().tolist(), strict=True)]
-    return np.array(exact, dtype=object).reshape(scaled.shape)
+    return np.array([_integer(x, scale) for x in scaled.ravel().tolist()], dtype=object).reshape(scaled.shape)
 
 
-def _floor_exactly(x: float, scale: int) -> int:
+def _integer(x: float, scale: int) -> int:
+    if math.isfinite(x * scale):
+        return math.floor(x * scale)
     top, bottom = x.as_integer_ratio()
     return top * scale // bottom
 
@@ -228,7 +230,7 @@ def cluster(vectors: DataFrame, order: Column, clusters: int, rounds: int, scale
     """
     spark = vectors.sparkSession
     first = vectors.orderBy(order.asc_nulls_last(), F.col("id").asc_nulls_last(), "vector").limit(clusters).collect()
-    centroids = [[_floor_exactly(x, scale) for x in r.vector] for r in first]
+    centroids = [[_integer(x, scale) for x in r.vector] for r in first]
     if not centroids:
         return Clustering(spark.createDataFrame([], "id long, cluster int, distance long"), [], [], [])
     rotation = rotation_of(spark, _moments(vectors, scale, components), components)
@@ -251,21 +253,17 @@ def cluster(vectors: DataFrame, order: Column, clusters: int, rounds: int, scale
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, whole, lead, rest in _batches(batches, components):
             best, distance = nearest(whole, lead, rest, to, rotation)
-            high = [int(d) >> _LIMB for d in distance.tolist()]
-            exact = [f"{d}" for d in distance.tolist()] if distance.dtype == object else [None] * len(best)
-            del high
-            yield pa.record_batch([ids, pa.array(best.astype(np.int32)), pa.array(_saturated(distance)), pa.array(exact, pa.string())], names=["id", "cluster", "distance", "exact"])
+            yield pa.record_batch([ids, pa.array(best.astype(np.int32)), pa.array(_saturated(distance))], names=["id", "cluster", "distance"])
 
-    stored.mapInArrow(label, "id long, cluster int, distance long, exact string").write.parquet(f"{folder}/labelled")
+    stored.mapInArrow(label, "id long, cluster int, distance long").write.parquet(f"{folder}/labelled")
     labelled = spark.read.parquet(f"{folder}/labelled")
-    inertia, sizes = _inertia(labelled, len(centroids))
-    return Clustering(labelled.drop("exact"), centroids, inertia, sizes)
+    return Clustering(labelled, centroids, *_inertia(labelled, len(centroids)))
 
 
 def _inertia(labelled: DataFrame, clusters: int) -> tuple[list[int], list[int]]:
-    """Exact distance sums and sizes of the clusters; sums of two halves of the bits cannot overflow."""
+    """Exact sums of the distances and sizes of the clusters; the two halves of the bits are summed apart."""
     low, high = F.col("distance").bitwiseAND(2**_LIMB - 1), F.shiftright("distance", _LIMB)
-    sums = labelled.groupBy("cluster").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("exact").isNotNull()).alias("large"))
+    sums = labelled.groupBy("cluster").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.count(F.lit(1)).alias("n"))
     inertia, sizes = [0] * clusters, [0] * clusters
     for r in sums.collect():
         inertia[r.cluster], sizes[r.cluster] = (r.high << _LIMB) + r.low, r.n
