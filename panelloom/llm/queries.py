@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, periodic_runs, pii_bootstrap, quality_knn, quality_outliers, rotated_kmeans, sentencepiece_scan, sharding, simhash, token_files, topk_kdtree, url_cascade
+from panelloom.llm import mixing, periodic_runs, pii_bootstrap, quality_knn, quality_outliers, rotated_kmeans, secret_links, sentencepiece_scan, sharding, simhash, token_files, topk_kdtree, url_cascade
 from panelloom.llm.common import WORD, importable, n_words, read, shared_folder, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,34 +151,13 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with the contract's repetition written into every tenth text by the checksum of its id.
-
-    From word ``a`` on, the first ``p`` words repeat. A null id has no checksum, so its text stays.
-    """
-    number = F.crc32(F.col("doc_id").cast("string"))
-    docs = docs.select("doc_id", "text", F.floor(number / 10).alias("g"), F.when(number % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
-    n = F.size("words")
-    docs = docs.withColumn("a", F.when(n > 0, F.col("g") % n))
-    docs = docs.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
-
-    def word(i: Column) -> Column:
-        return F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
-
-    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
-    return docs.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
-
-
-@query("op13_periodic_runs")
-def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = periodic_runs.periodic_runs(repeated_stretches(read(spark, sf_dir, "documents").select("doc_id", "text")))
-    best = periodic_runs.strongest(F.col("runs"))
-    found = found.withColumn("best", best)
-    return found.select(
-        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
-        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
-        F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
-    )
+@query("op11_secret_links")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_compact(F.transform(kinds, _only(i)))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(secret_links.KINDS[:3])]
+    base, spans = secret_links.spans_text(F.col("base")), secret_links.spans_text(F.col("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
 
 
 def _lloyd_sql(clusters: int, rounds: int, scale: int, components: int) -> str:
@@ -220,3 +199,33 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.rows.join(F.broadcast(per_cluster), "cluster").select(
         F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )
+
+
+def repeated_stretches(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the contract's repetition written into every tenth text by the checksum of its id.
+
+    From word ``a`` on, the first ``p`` words repeat. A null id has no checksum, so its text stays.
+    """
+    number = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", F.floor(number / 10).alias("g"), F.when(number % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    n = F.size("words")
+    docs = docs.withColumn("a", F.when(n > 0, F.col("g") % n))
+    docs = docs.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+
+    def word(i: Column) -> Column:
+        return F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeated_stretches(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = periodic_runs.strongest(F.col("runs"))
+    found = found.withColumn("best", best)
+    return found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
