@@ -45,7 +45,7 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     back = sentencepiece_scan.decode_parts(*sentencepiece_scan.encode_parts(docs, model), model)
     return back.select(
-        "doc_id", F.col("_chunks").alias("n_chunks"), "n_tokens", "ids_crc32", "text_crc32", (F.crc32("text") == F.col("text_crc32")).alias("round_trip")
+        "row.doc_id", "n_chunks", "n_tokens", "ids_crc32", "row.text_crc32", (F.crc32("text") == F.col("row.text_crc32")).alias("round_trip")
     )
 
 

@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding, with a max-plus scan over the chunks of giant documents.
 
-Encoding finds the segmentation of highest total score over the pieces of a model file, the unigram rule of
-SentencePiece, in exact float64 sums. For a file of another kind its stored scores are taken as they are: a BPE
-file stores negated merge ranks, so its ids can differ from merging step by step, and decode to the same text.
-Text is normalized the identity way: a space becomes ``▁``, one ``▁`` goes in front. A character that no piece
-covers becomes its UTF-8 byte pieces (or the unknown id if the model has none).
+Encoding gives the ids of the SentencePiece library for files of both common kinds. For a unigram file that is the
+segmentation of highest total score. A BPE file merges the best pair of neighbours again and again instead, which no
+scores of single pieces can express as a best path; so the lattice of a text holds, for such a file, only the pieces
+that its merges leave, and its best path is the file's own segmentation. Text is normalized the identity way: a space
+becomes ``▁``, one ``▁`` goes in front; files that ask for another normalization, or hold user-defined or unused pieces,
+are refused. A character that no piece covers becomes its UTF-8 byte pieces (or the unknown id if the model has none).
 
 A document longer than ``CHUNK`` characters is cut into chunks. The state at a chunk's edge is the number of
 characters by which a piece hangs over it. Each chunk gives a matrix of best scores from entry to exit state, in
@@ -12,19 +13,24 @@ the max-plus algebra; products of these are associative, so they are formed over
 groups of groups, until one group is left. Solving that fixes the states at its edges, which fixes those inside each group
 below, down to the chunks, and every chunk is then backtraced alone.
 
-Inside a chunk no piece spans the place where a run of ``▁`` begins after another character, nor the place beside
-a control character, so the text falls into short units; a bounded cache keeps the ids of units seen before.
+No piece spans the place where a run of ``▁`` begins after another character, nor the place beside a control character,
+so a text falls into short units; a cache bounded in bytes keeps the ids of units seen before. Merges depend on the whole
+unit. So the chunks of a BPE file carry the unit at each edge, and an edge inside a unit above ``LONG_UNIT`` characters
+moves to the end of the unit.
 
-Null text is kept as empty text and gives no ids. Ties: of equally good segmentations any one that depends only on
-text and chunk length. ``▁`` in a text decodes to a space; all else comes back as it was. Equal rows stay apart.
-An empty table gives no rows. Other columns are carried along; names starting with ``_`` are reserved.
+Null text is kept as empty text and gives no ids. Ties between equally good unigram segmentations depend only on text and
+chunk length. ``▁`` in a text decodes to a space; all else comes back as it was. Equal rows stay apart. An empty table
+gives no rows. The row's other columns stay together in the struct ``row``, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,16 +39,86 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.common import arrow_schema
 from panelloom.session import checkpointed
 
 CHUNK = 1 << 15
 FAN = 64
-CACHED_UNITS = 200_000
-CACHED_CHARS = 32
-AT_ONCE = 20_000
-WINDOW = 1 << 22
+#: Bytes of unit ids, keys and bookkeeping that a worker keeps.
+CACHE_BYTES = 24 << 20
+LONG_UNIT = 1 << 10
+AT_ONCE = 4000
+WINDOW = 1 << 20
 _SPACE = "▁"
 _UNK_PENALTY = 10.0
+# Field numbers and kinds in a model file.
+_PIECE, _TRAINER, _NORMALIZER = 1, 2, 3
+_TYPE_OF_PIECE, _TYPE_OF_MODEL, _CHARSMAP, _REMOVES_SPACES = 3, 3, 2, 4
+_UNIGRAM, _BPE = 1, 2
+_USER_DEFINED, _UNUSED = 4, 5
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a message in protocol-buffer format."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def model_kind(path: str) -> int:
+    """Whether a model file is of the unigram or the BPE kind; a file that is encoded in other ways is refused."""
+    with open(path, "rb") as file:
+        fields = list(_fields(file.read()))
+    kinds = {dict(_fields(piece)).get(_TYPE_OF_PIECE, 1) for number, piece in fields if number == _PIECE}
+    specs = {number: dict(_fields(value)) for number, value in fields if number in (_TRAINER, _NORMALIZER)}
+    kind, normalizer = specs.get(_TRAINER, {}).get(_TYPE_OF_MODEL, _UNIGRAM), specs.get(_NORMALIZER, {})
+    if kind not in (_UNIGRAM, _BPE):
+        raise ValueError("only unigram and BPE files are supported")
+    if normalizer.get(_CHARSMAP) or normalizer.get(_REMOVES_SPACES, 1):
+        raise ValueError("only files that normalize text the identity way are supported")
+    if kinds & {_USER_DEFINED, _UNUSED}:
+        raise ValueError("files with user-defined or unused pieces are not supported")
+    return kind
+
+
+class _Cache(dict):
+    """A dict that makes what it misses; it starts afresh when its keys and values pass a number of bytes."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.held = make, most, 0
+
+    def keep(self, key: str, value: bytes) -> None:
+        size = 200 + 4 * len(key) + len(value)
+        if size > self.most // 64:
+            return
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        self.keep(key, value)
+        return value
 
 
 class PieceModel:
@@ -51,98 +127,133 @@ class PieceModel:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.kind = model_kind(path)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(sp.is_byte(i) for i in self.byte_ids)
         self.unk_id = sp.unk_id()
-        normal = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        normal = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.pieces = {sp.id_to_piece(i): (float(sp.get_score(i)), i) for i in normal}
         self.unk_score = min(s for s, _ in self.pieces.values()) - _UNK_PENALTY
         self.longest = max(map(len, self.pieces))
-        # by character: the characters that may follow, and score and ids if the way here spells a piece
-        self.trie: dict[str, list] = {}
-        for piece, (s, i) in self.pieces.items():
-            node = self.trie
-            for char in piece[:-1]:
-                node = node.setdefault(char, [{}, 0.0, None])[0]
-            node.setdefault(piece[-1], [{}, 0.0, None])[1:] = s, np.array([i], "<i4").tobytes()
-        self._number_trie()
-        self.surface = [sp.id_to_piece(i).replace(_SPACE, " ").encode() for i in ids]
-        for b, i in enumerate(self.byte_ids if self.has_bytes else ()):
-            self.surface[i] = bytes([b])
-        for i in ids:
-            if sp.is_control(i):
-                self.surface[i] = b""
         # places that no piece spans
         long = {p for p in self.pieces if len(p) > 1}
         alone = "".join(c for c in map(chr, range(32)) if not any(c in p for p in long))
         spans = any(_SPACE in p.lstrip(_SPACE) for p in long)
         lone = re.escape(alone)
         self.units = re.compile(rf"[{lone}]|[^{lone}]+" if spans else rf"{_SPACE}*[^{lone}{_SPACE}]+|{_SPACE}+|[{lone}]")
-        self.unit_ids = _Cache(lambda unit: self.best(unit)[1])
-        self.id_scores = np.zeros(len(ids))
-        self.id_scores[self.unk_id] = self.unk_score
+        self.id_scores, self.id_chars = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        self.id_scores[self.unk_id], self.id_chars[self.unk_id] = self.unk_score, 1
         for b, i in enumerate(self.byte_ids if self.has_bytes else ()):  # an uncovered character counts once
-            self.id_scores[i] = 0.0 if b & 0xC0 == 0x80 else self.unk_score
-        for score, i in self.pieces.values():
-            self.id_scores[i] = score
+            first = b & 0xC0 != 0x80
+            self.id_scores[i], self.id_chars[i] = self.unk_score if first else 0.0, first
+        for piece, (score, i) in self.pieces.items():
+            self.id_scores[i], self.id_chars[i] = score, len(piece)
+        if self.kind == _BPE:
+            self.costs = {piece: -score for piece, (score, _) in self.pieces.items()}
+            self.unit_ids = _Cache(self.merged, CACHE_BYTES)
+        else:
+            self._number_trie()
+            self.unit_ids = _Cache(lambda unit: self.best_of_many([unit])[0], CACHE_BYTES)
 
     def _number_trie(self) -> None:
-        """The trie as arrays: node ``k + 1`` is reached by the ``k``-th edge, a pair of node and character."""
-        edges, gains, ids, todo = [], [-np.inf], [-1], [(0, self.trie)]
-        while todo:
-            node, below = todo.pop()
-            for char, (further, gain, piece) in below.items():
-                edges.append(node << 21 | ord(char))
-                gains.append(gain if piece else -np.inf)
-                ids.append(int(np.frombuffer(piece, "<i4")[0]) if piece else -1)
-                if further:
-                    todo.append((len(edges), further))
-        self.edges, self.gains, self.node_ids = pd.Index(np.array(edges, np.int64)), np.array(gains), np.array(ids, "<i4")
-
-    def uncovered(self, char: str) -> bytes:
+        """The pieces as a trie in arrays: node ``k + 1`` is reached by the ``k``-th edge, a pair of node and character."""
+        edges: dict[int, int] = {}
+        gains, ids = [-np.inf], [-1]
+        for piece, (score, i) in self.pieces.items():
+            node = 0
+            for char in piece:
+                node = edges.setdefault(node << 21 | ord(char), len(edges) + 1)
+                if node == len(gains):
+                    gains.append(-np.inf)
+                    ids.append(-1)
+            gains[node], ids[node] = score, i
+        self.edge_of, self.edges = edges, pd.Index(np.fromiter(edges, np.int64, len(edges)))
+        self.gains, self.node_ids = np.array(gains), np.array(ids, "<i4")
+
+    def uncovered(self, char: str) -> list[int]:
         """Ids of a character that no piece covers."""
-        ids = [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.has_bytes else [self.unk_id]
+        return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.has_bytes else [self.unk_id]
+
+    # ---- BPE files
+
+    def merged(self, unit: str) -> bytes:
+        """Ids of a unit after merging, of all neighbours that form a piece, the pair of best score, the first of equals."""
+        parts = list(unit) if len(unit) <= 64 else None
+        if parts is None:
+            parts = self._merged_long(unit)
+        else:
+            cost = self.costs.get
+            costs = [cost(a + b, np.inf) for a, b in pairwise(parts)]
+            while costs and (low := min(costs)) < np.inf:
+                i = costs.index(low)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del costs[i]
+                if i < len(costs):
+                    costs[i] = cost(parts[i] + parts[i + 1], np.inf)
+                if i:
+                    costs[i - 1] = cost(parts[i - 1] + parts[i], np.inf)
+        ids: list[int] = []
+        for part in parts:
+            found = self.pieces.get(part)
+            ids += [found[1]] if found else self.uncovered(part)
         return np.array(ids, "<i4").tobytes()
 
+    def _merged_long(self, unit: str) -> list[str]:
+        """The same with a queue of pairs, in time that grows like a sort."""
+        parts: list[str | None] = list(unit)
+        after = list(range(1, len(parts) + 1))
+        before = list(range(-1, len(parts) - 1))
+        cost = self.costs.get
+        queue = [(c, i, a + b) for i, (a, b) in enumerate(pairwise(unit)) if (c := cost(a + b)) is not None]
+        heapq.heapify(queue)
+
+        def offer(i: int, j: int) -> None:
+            both = parts[i] + parts[j]
+            if (c := cost(both)) is not None:
+                heapq.heappush(queue, (c, i, both))
+
+        while queue:
+            _, i, both = heapq.heappop(queue)
+            j = after[i]
+            if parts[i] is None or j == len(parts) or parts[i] + parts[j] != both:
+                continue  # one of the two was merged with another
+            parts[i], parts[j] = both, None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [p for p in parts if p is not None]
+
+    def _boundaries(self, lead: str, part: str, ahead: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Ids of the units of a chunk, where each starts, and the states of the one path at both edges."""
+        ids = self.encode(lead + part + ahead)
+        ends = np.cumsum(self.id_chars[ids])
+        starts = ends - np.maximum(self.id_chars[ids], 1)
+        edges = np.append(0, ends)
+        left, right = len(lead), len(lead) + len(part)
+        enter, leave = (int(edges[np.searchsorted(edges, at)]) - at for at in (left, right))
+        return ids, starts, enter, leave
+
+    # ---- unigram files
+
     def arcs(self, text: str, at: int, stop: int) -> Iterator[tuple[int, float]]:
         """Ends and scores of the pieces that start at a place; one that ends past ``stop`` is left out."""
-        single, node = False, self.trie
+        single, node = False, 0
         for end, char in enumerate(text[at : min(at + self.longest, stop)], at + 1):
-            if (found := node.get(char)) is None:
+            if (node := self.edge_of.get(node << 21 | ord(char), 0)) == 0:
                 break
-            node, score, ids = found
-            if ids is not None:
+            if self.node_ids[node] >= 0:
                 single |= end == at + 1
-                yield end, score
+                yield end, float(self.gains[node])
         if not single and at < stop:
             yield at + 1, self.unk_score
 
-    def best(self, text: str) -> tuple[float, bytes]:
-        """Highest score of a short text and its ids as little-endian 32-bit integers."""
-        n, trie, longest, unk = len(text), self.trie, self.longest, self.unk_score
-        score = [0.0] + [-np.inf] * n
-        back: list[tuple[int, bytes]] = [(0, b"")] * (n + 1)
-        for at, first in enumerate(text):
-            base, node, end = score[at], trie, at
-            for char in text[at : at + longest]:
-                if (found := node.get(char)) is None:
-                    break
-                node, gain, ids = found
-                end += 1
-                if ids is not None and base + gain > score[end]:
-                    score[end], back[end] = base + gain, (at, ids)
-            if ((found := trie.get(first)) is None or found[2] is None) and base + unk > score[at + 1]:
-                score[at + 1], back[at + 1] = base + unk, (at, self.uncovered(first))
-        path, at = [], n
-        while at:
-            at, ids = back[at]
-            path.append(ids)
-        return score[n], b"".join(reversed(path))
-
     def best_of_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of :meth:`best` for many short texts that are not empty, all taken one character further at a time."""
+        """Ids of the best segmentations of short texts that are not empty, all taken one character further at a time."""
         sizes = np.array([len(t) for t in texts], np.int64)
         which = np.arange(len(texts))
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -190,31 +301,64 @@ class PieceModel:
         taken = np.concatenate(path)
         taken = taken[np.argsort(source[taken])]
         by_text = np.searchsorted(first, source[taken], "right") - 1
-        ends = np.cumsum(np.bincount(by_text, minlength=len(texts))) * 4
-        ids = self.node_ids[node[taken]].tobytes()
-        out = [ids[low:high] for low, high in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        for i in np.unique(owner[single]).tolist():  # an uncovered character becomes several ids
-            out[i] = self.best(texts[i])[1]
-        return out
+        ids, texts_of = self.node_ids[node[taken]], by_text
+        if len(single):  # an uncovered character becomes several ids
+            lost = np.flatnonzero(ids < 0)
+            several = [self.uncovered(chr(chars[source[taken[k]] - by_text[k]])) for k in lost.tolist()]
+            repeats = np.ones(len(ids), np.int64)
+            repeats[lost] = list(map(len, several))
+            ids, texts_of = np.repeat(ids, repeats), np.repeat(by_text, repeats)
+            ids[ids < 0] = np.array([i for found in several for i in found], "<i4")
+        ends = np.cumsum(np.bincount(texts_of, minlength=len(texts))) * 4
+        joined = ids.astype("<i4").tobytes()
+        return [joined[low:high] for low, high in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    # ---- both
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that are already normalized."""
         known, units = self.unit_ids, [self.units.findall(t) for t in texts]
-        if len(known) > CACHED_UNITS:
-            known.clear()
-        fresh = [u for u in set().union(*units) if len(u) <= CACHED_CHARS and u not in known]
-        for i in range(0, len(fresh), AT_ONCE):
-            known.update(zip(fresh[i : i + AT_ONCE], self.best_of_many(fresh[i : i + AT_ONCE]), strict=True))
+        if self.kind == _UNIGRAM:
+            fresh = [u for u in set().union(*units) if len(u) <= LONG_UNIT and u not in known]
+            for i in range(0, len(fresh), AT_ONCE):
+                for unit, ids in zip(fresh[i : i + AT_ONCE], self.best_of_many(fresh[i : i + AT_ONCE]), strict=True):
+                    known.keep(unit, ids)
         return [np.frombuffer(b"".join(map(known.__getitem__, found)), "<i4") for found in units]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def transfer(self, text: str, ahead: str) -> np.ndarray:
-        """Best score of ``text`` from each entry state to each exit state; ``ahead`` is the text that follows."""
-        n, most = len(text), self.longest
-        full = text + ahead[: most - 1]
+    def cut(self, text: str, chunk: int) -> list[tuple[str, str, str]]:
+        """``lead, part, ahead`` of the chunks of a text: what stands around a part as far as its edges depend on it."""
+        places = range(chunk, len(text), chunk)
+        if self.kind == _UNIGRAM:
+            edges = [0, *places, len(text)]
+            return [("", text[a:b], text[b : b + self.longest - 1]) for a, b in pairwise(edges)]
+        edges, wanted = [(0, 0, 0)], iter(places)
+        place = next(wanted, None)
+        for unit in self.units.finditer(text):
+            low, high = unit.span()
+            while place is not None and place < high:
+                if place <= low:
+                    cut = (low, low, low)
+                else:
+                    cut = (low, place, high) if high - low <= LONG_UNIT else (high, high, high)
+                if edges[-1][1] < cut[1] < len(text):
+                    edges.append(cut)
+                place = next(wanted, None)
+        edges.append((len(text),) * 3)
+        return [(text[low:a], text[a:b], text[b:high]) for (low, a, _), (_, b, high) in pairwise(edges)]
+
+    def transfer(self, lead: str, part: str, ahead: str) -> np.ndarray:
+        """Best score of ``part`` from each entry state to each exit state."""
+        n, most = len(part), self.longest
         out = np.full((most, most), -np.inf)
+        if self.kind == _BPE:
+            ids, starts, enter, leave = self._boundaries(lead, part, ahead)
+            own = (starts >= len(lead) + enter) & (starts < len(lead) + n + leave)
+            out[enter, leave] = self.id_scores[ids[own]].sum()
+            return out
+        full = part + ahead[: most - 1]
         cuts = [m.start() for m in self.units.finditer(full) if 0 < m.start() <= n]
         if not cuts:
             # no place that all paths share: carry a score for every entry state
@@ -226,6 +370,8 @@ class PieceModel:
                     np.maximum(score[end], score[at] + s, out=score[end])
             for state in range(min(most, len(full) - n + 1)):
                 out[:, state] = score[n + state]
+            for state in range(n + 1, most):  # a piece that hangs over the whole chunk
+                out[state, state - n] = 0.0
             return out
         first, last = cuts[0], cuts[-1]
         into = np.full(first + 1, -np.inf)
@@ -242,27 +388,34 @@ class PieceModel:
         out[: len(a), : len(b)] = a[:, None] + middle + b
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        surface = self.surface
-        return b"".join([surface[i] for i in ids.tolist()])
+    def trace(self, lead: str, part: str, ahead: str, enter: int, leave: int) -> np.ndarray:
+        """Ids of a chunk between two states."""
+        if self.kind == _UNIGRAM:
+            return self.encode((part + ahead)[enter : len(part) + leave])
+        ids, starts, *_ = self._boundaries(lead, part, ahead)
+        return ids[(starts >= len(lead) + enter) & (starts < len(lead) + len(part) + leave)]
 
 
-class _Cache(dict):
-    """A dict that makes what it misses; long keys are not kept."""
+@lru_cache(maxsize=1)
+def piece_model(path: str) -> PieceModel:
+    return PieceModel(path)
 
-    def __init__(self, make: Callable):
-        self.make = make
 
-    def __missing__(self, key: str):
-        value = self.make(key)
-        if len(key) <= CACHED_CHARS:
-            self[key] = value
-        return value
+@lru_cache(maxsize=1)
+def surfaces(path: str) -> list[bytes]:
+    """The text that each id stands for; all that decoding needs of a model."""
+    import sentencepiece
 
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i in range(sp.get_piece_size()):
+        piece = sp.id_to_piece(i)
+        out.append(b"" if sp.is_control(i) else bytes([int(piece[3:5], 16)]) if sp.is_byte(i) else piece.replace(_SPACE, " ").encode())
+    return out
 
-@lru_cache(maxsize=2)
-def piece_model(path: str) -> PieceModel:
-    return PieceModel(path)
+
+def decode_ids(ids: np.ndarray, surface: list[bytes]) -> bytes:
+    return b"".join([surface[i] for i in ids.tolist()])
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -286,54 +439,47 @@ def states_along(matrices: list[np.ndarray], enter: int, leave: int) -> list[int
 
 
 def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(m).reshape(int(len(m) ** 0.5 / 8**0.5), -1) for m in pdf.sort_values("_at")["_matrix"]]
+    return [np.frombuffer(m).reshape(math.isqrt(len(m) // 8), -1) for m in pdf.sort_values("chunk")["matrix"]]
 
 
 def _solve(pdf: pd.DataFrame, enter: int, leave: int) -> pd.DataFrame:
     states = states_along(_matrices(pdf), enter, leave)
-    ordered = pdf.sort_values("_at")
-    return pd.DataFrame({"_row": ordered["_row"], "_at": ordered["_at"], "_enter": states[:-1], "_leave": states[1:]})
+    ordered = pdf.sort_values("chunk")
+    return pd.DataFrame({"giant": ordered["giant"], "chunk": ordered["chunk"], "enter": states[:-1], "leave": states[1:]})
 
 
 def edge_states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
-    """``_row, _at, _enter, _leave`` for the chunk matrices of ``_row, _at, _matrix``: up by products, down by solving."""
-    solved = "_row long, _at long, _enter int, _leave int"
-    top = matrices.agg(F.max("_at")).first()[0]
+    """``giant, chunk, enter, leave`` for the chunk matrices of ``giant, chunk, matrix``: up by products, down by solving."""
+    solved = "giant long, chunk long, enter int, leave int"
+    top = matrices.agg(F.max("chunk")).first()[0]
     if top is None or top < fan:
-        return matrices.groupBy("_row").applyInPandas(lambda pdf: _solve(pdf, 0, 0), solved)
-    grouped = matrices.withColumn("_group", F.floor(F.col("_at") / fan).cast("long"))
+        return matrices.groupBy("giant").applyInPandas(lambda pdf: _solve(pdf, 0, 0), solved)
+    grouped = matrices.withColumn("part_of", F.floor(F.col("chunk") / fan).cast("long"))
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = _matrices(pdf)
         out = whole[0]
         for m in whole[1:]:
             out = product(out, m)
-        return pd.DataFrame({"_row": pdf["_row"][:1], "_at": pdf["_group"][:1], "_matrix": [out.tobytes()]})
+        return pd.DataFrame({"giant": pdf["giant"][:1], "chunk": pdf["part_of"][:1], "matrix": [out.tobytes()]})
 
-    above = checkpointed(grouped.groupBy("_row", "_group").applyInPandas(joined, "_row long, _at long, _matrix binary"))
-    edges = edge_states(above, fan).withColumnRenamed("_at", "_group")
+    above = checkpointed(grouped.groupBy("giant", "part_of").applyInPandas(joined, "giant long, chunk long, matrix binary"))
+    edges = edge_states(above, fan).withColumnRenamed("chunk", "part_of")
 
     def inside(pdf: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
-        return _solve(pdf, int(edge["_enter"].iloc[0]), int(edge["_leave"].iloc[0]))
+        return _solve(pdf, int(edge["enter"].iloc[0]), int(edge["leave"].iloc[0]))
 
-    keys = ["_row", "_group"]
+    keys = ["giant", "part_of"]
     return grouped.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(inside, solved)
 
 
-def _schema(df: DataFrame, fields: str) -> tuple[str, pa.Schema]:
-    spark = df.sparkSession
-    schema = spark.createDataFrame([], df.schema).select(*df.columns, *[F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in fields.split(", "))])
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema)
-    return ddl, schema.toArrow().schema
-
-
 def _mapped(df: DataFrame, consumed: list[str], fields: str, rows) -> DataFrame:
     """Replace the ``consumed`` columns by ``fields``.
 
     ``rows`` takes the values of some rows, a tuple each, and gives for each row a list of lists of field values.
     """
     kept = [c for c in df.columns if c not in consumed]
-    ddl, arrow = _schema(df.select(*kept), fields)
+    spark_schema, arrow = arrow_schema(df.select(*kept), fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +499,7 @@ def _mapped(df: DataFrame, consumed: list[str], fields: str, rows) -> DataFrame:
             if made:
                 yield _batch(batch, kept, made, source, arrow)
 
-    return df.select(*kept, *consumed).mapInArrow(run, ddl)
+    return df.select(*kept, *consumed).mapInArrow(run, spark_schema)
 
 
 def _each(row: Callable) -> Callable:
@@ -396,9 +542,9 @@ def _batch(batch: pa.RecordBatch, kept: list[str], made: list, source: list[int]
 
 
 def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """One row per document and chunk: the columns of ``docs`` but ``text``, then ``_row, _at, _chunks, ids``.
+    """``row, giant, chunk, n_chunks, ids``: a row per document and chunk; ``row`` holds all columns but ``text``.
 
-    ``_at`` counts the chunks of a document from 0; ``_row`` tells the rows of giant documents apart.
+    ``chunk`` counts the chunks of a document from 0; ``giant`` tells the rows of giant documents apart.
     """
     single, several = encode_parts(docs, model_path, chunk, fan)
     return single.unionByName(several)
@@ -406,49 +552,48 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int = FAN)
 
 def encode_parts(docs: DataFrame, model_path: str, chunk: int = CHUNK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """The rows of :func:`encode` in two tables: documents of one chunk, and the chunks of giant documents."""
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("text", text)
-    short = docs.filter(F.length("text") <= chunk).withColumns({"_row": F.lit(None).cast("long"), "_at": F.lit(0).cast("long"), "_chunks": F.lit(1).cast("long")})
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
+    rows = docs.select(F.struct(*others).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = {"giant": F.lit(None).cast("long"), "chunk": F.lit(0).cast("long"), "n_chunks": F.lit(1).cast("long")}
+    short = rows.filter(F.length("text") <= chunk).withColumns(whole)
 
     def normalized(value: str) -> str:
         return _SPACE + value.replace(" ", _SPACE) if value else ""
 
-    def code(rows: list[tuple[str]]):
-        return [[[ids]] for ids in piece_model(model_path).encode_all([normalized(value) for (value,) in rows])]
+    def code(texts: list[tuple[str]]):
+        return [[[ids]] for ids in piece_model(model_path).encode_all([normalized(value) for (value,) in texts])]
 
     coded = _mapped(short, ["text"], "ids array<int>", code)
 
     def cut(value: str):
-        value = normalized(value)
-        reach = piece_model(model_path).longest - 1
-        n = -(-len(value) // chunk)
-        return [[i, n, value[i * chunk : (i + 1) * chunk], value[(i + 1) * chunk : (i + 1) * chunk + reach]] for i in range(n)]
+        parts = piece_model(model_path).cut(normalized(value), chunk)
+        return [[i, len(parts), *part] for i, part in enumerate(parts)]
 
-    giant = docs.filter(F.length("text") > chunk).withColumn("_row", F.monotonically_increasing_id())
-    chunks = checkpointed(_mapped(giant, ["text"], "_at long, _chunks long, _part string, _ahead string", _each(cut)))
+    giant = rows.filter(F.length("text") > chunk).withColumn("giant", F.monotonically_increasing_id())
+    chunks = checkpointed(_mapped(giant, ["text"], "chunk long, n_chunks long, lead string, part string, ahead string", _each(cut)))
 
-    def transfer(part: str, ahead: str):
-        return [[piece_model(model_path).transfer(part, ahead).tobytes()]]
+    def transfer(lead: str, part: str, ahead: str):
+        return [[piece_model(model_path).transfer(lead, part, ahead).tobytes()]]
 
     # chunks of a document go to many tasks
-    spread = chunks.select("_row", "_at", "_part", "_ahead").repartition("_row", "_at")
-    matrices = checkpointed(_mapped(spread, ["_part", "_ahead"], "_matrix binary", _each(transfer)))
-    placed = chunks.join(edge_states(matrices, fan), ["_row", "_at"])
+    around = ["lead", "part", "ahead"]
+    spread = chunks.select("giant", "chunk", *around).repartition("giant", "chunk")
+    matrices = checkpointed(_mapped(spread, around, "matrix binary", _each(transfer)))
+    placed = chunks.join(edge_states(matrices, fan), ["giant", "chunk"])
 
-    def trace(rows: list[tuple[str, str, int, int]]):
-        parts = [part[enter:] + ahead[:leave] for part, ahead, enter, leave in rows]
-        return [[[ids]] for ids in piece_model(model_path).encode_all(parts)]
+    def trace(lead: str, part: str, ahead: str, enter: int, leave: int):
+        return [[piece_model(model_path).trace(lead, part, ahead, enter, leave)]]
 
-    traced = _mapped(placed, ["_part", "_ahead", "_enter", "_leave"], "ids array<int>", trace)
-    return coded, traced
+    traced = _mapped(placed, [*around, "enter", "leave"], "ids array<int>", _each(trace))
+    return coded, traced.select(*coded.columns)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """The documents of ``encode`` again: its rows with ``text``, ``n_tokens`` and ``ids_crc32`` in place of ``ids``.
+    """The documents of ``encode`` again: ``row, n_chunks, text, n_tokens, ids_crc32``.
 
-    The chunks of a document are put together by ``_row``; they hold no more than its text did.
+    The chunks of a document are put together by ``giant``; they hold no more than its text did.
     """
-    return decode_parts(encoded.filter("_chunks = 1"), encoded.filter("_chunks > 1"), model_path)
+    return decode_parts(encoded.filter("n_chunks = 1"), encoded.filter("n_chunks > 1"), model_path)
 
 
 def decode_parts(single: DataFrame, several: DataFrame, model_path: str) -> DataFrame:
@@ -456,13 +601,10 @@ def decode_parts(single: DataFrame, several: DataFrame, model_path: str) -> Data
     import zlib
 
     def plain(ids: np.ndarray):
-        text = piece_model(model_path).decode(ids)
+        text = decode_ids(ids, surfaces(model_path))
         return [[text[1:].decode("utf-8", "replace"), len(ids), zlib.crc32(ids.astype("<u4").tobytes())]]
 
-    fields = "text string, n_tokens long, ids_crc32 long"
-    keys = [c for c in single.columns if c not in ("ids", "_row", "_at", "_chunks")]
-    whole = several.groupBy("_row").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "ids"))), lambda s: s["ids"])).alias("ids"),
-        *[F.first(c).alias(c) for c in [*keys, "_chunks"]],
-    )
-    return _mapped(single.drop("_row", "_at").unionByName(whole.drop("_row")), ["ids"], fields, _each(plain))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda s: s["ids"])
+    whole = several.groupBy("giant").agg(F.flatten(in_order).alias("ids"), F.first("row").alias("row"), F.first("n_chunks").alias("n_chunks"))
+    both = single.select("row", "n_chunks", "ids").unionByName(whole.select("row", "n_chunks", "ids"))
+    return _mapped(both, ["ids"], "text string, n_tokens long, ids_crc32 long", _each(plain))

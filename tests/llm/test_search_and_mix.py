@@ -1,4 +1,4 @@
-"""SimHash, SentencePiece scan, KD-tree search, votes, mixing, sharding and the url cascade against plain versions."""
+"""SimHash, KD-tree search, votes, mixing, sharding and the url cascade against plain versions."""
 
 import zlib
 
@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, quality_knn, sentencepiece_scan, sharding, simhash, topk_kdtree, url_cascade
-from panelloom.llm.common import n_words, tokenizer_path
+from panelloom.llm import mixing, quality_knn, sharding, simhash, topk_kdtree, url_cascade
+from panelloom.llm.common import n_words
 from panelloom.llm.components import connected_components, contractions
 from panelloom.llm.queries import LISTED, ORACLES, QUERIES, URL_RULES
 from tests.llm.conftest import EDGES
@@ -106,64 +106,6 @@ def test_simhash_edges(documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
-def plain_best_score(model, text):
-    score = [0.0] + [-np.inf] * len(text)
-    for end in range(1, len(text) + 1):
-        for at in range(max(0, end - model.longest), end):
-            found = model.pieces.get(text[at:end])
-            s = found[0] if found else (model.unk_score if end == at + 1 else -np.inf)
-            score[end] = max(score[end], score[at] + s)
-    return score[-1]
-
-
-def ids_score(model, ids):
-    scores = {i: s for s, i in model.pieces.values()}
-    out, rest = 0.0, 0
-    for i in ids:
-        if i in scores:
-            out += scores[i]
-        elif not rest:  # the first byte of a character tells how many follow
-            first = model.surface[i][0]
-            rest = 0 if first < 128 else 1 if first < 224 else 2 if first < 240 else 3
-            out += model.unk_score
-        else:
-            rest -= 1
-    return out
-
-
-LONG = ["ab" * 300, "日本語" * 100, "the of and " * 60, "a  b   c " * 40, "x\ny\t" * 50, "😀é" * 70, "aaaaaaa" * 40 + " the" * 9]
-
-
-@pytest.mark.parametrize(("chunk", "fan"), [(1 << 15, 64), (37, 3), (20, 2)])
-def test_sentencepiece_scan(sp, documents, chunk, fan):
-    path = tokenizer_path("piece_bpe_32k.model")
-    model = sentencepiece_scan.PieceModel(path)
-    rows = [r for r in EDGES if len(r[1] or "") < 1000] + [(100 + i, t, "en", "a") for i, t in enumerate(LONG)]
-    encoded = sentencepiece_scan.encode(documents(rows).select("doc_id", "text", "lang"), path, chunk, fan).cache()
-    for doc_id, text, *_ in rows:
-        if doc_id == 4:
-            continue
-        parts = encoded.filter(F.col("doc_id").eqNullSafe(doc_id)).orderBy("_at").collect()
-        ids = [i for p in parts for i in p.ids]
-        normal = "▁" + text.replace(" ", "▁") if text else ""
-        assert ids_score(model, ids) == plain_best_score(model, normal), (doc_id, chunk)
-    back = sorted((r.doc_id or 0, r.text) for r in sentencepiece_scan.decode(encoded, path).collect())
-    assert back == sorted((r[0] or 0, r[1] or "") for r in rows)
-    encoded.unpersist()
-
-
-def test_sentencepiece_query(sp):
-    rows = QUERIES["op3_sentencepiece"](sp, SF).collect()
-    assert rows and all(r.round_trip for r in rows)
-
-
-def test_max_plus_products_associate():
-    rng = np.random.default_rng(2)
-    a, b, c = (np.where(rng.random((5, 5)) < 0.3, -np.inf, rng.integers(-9, 9, (5, 5)).astype(float)) for _ in range(3))
-    product = sentencepiece_scan.product
-    assert np.array_equal(product(product(a, b), c), product(a, product(b, c)))
-
-
 def test_topk_edges(sp):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(600)]
