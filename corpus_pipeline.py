@@ -32,9 +32,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, chunk, n_chunks, n_tokens, ids`` for every document and chunk."""
     coded = sentencepiece_scan.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path("piece_bpe_32k.model"))
-    return coded.select(
-        "doc_id", "lang", "source", F.col("_at").alias("chunk"), F.col("_chunks").alias("n_chunks"), F.size("ids").alias("n_tokens"), "ids"
-    )
+    return coded.select("row.doc_id", "row.lang", "row.source", "chunk", "n_chunks", F.size("ids").alias("n_tokens"), "ids")
 
 
 STAGES = [
