@@ -45,9 +45,9 @@ from panelloom.session import checkpointed
 CHUNK = 1 << 15
 FAN = 64
 #: Bytes of unit ids, keys and bookkeeping that a worker keeps.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 64 << 20
 LONG_UNIT = 1 << 10
-AT_ONCE = 4000
+AT_ONCE = 8000
 WINDOW = 1 << 20
 _SPACE = "▁"
 _UNK_PENALTY = 10.0
@@ -100,23 +100,27 @@ def model_kind(path: str) -> int:
 
 
 class _Cache(dict):
-    """A dict that makes what it misses; it starts afresh when its keys and values pass a number of bytes."""
+    """A dict that makes what it misses. When its keys and values pass a number of bytes, what was not asked for since
+    the last time it was so is forgotten."""
 
     def __init__(self, make: Callable[[str], bytes], most: int):
-        self.make, self.most, self.held = make, most, 0
+        self.make, self.most, self.held, self.older = make, most // 2, 0, {}
 
     def keep(self, key: str, value: bytes) -> None:
         size = 200 + 4 * len(key) + len(value)
         if size > self.most // 64:
             return
         if self.held + size > self.most:
+            self.older = dict(self)
             self.clear()
             self.held = 0
         self[key] = value
         self.held += size
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         self.keep(key, value)
         return value
 
@@ -151,7 +155,7 @@ class PieceModel:
         for piece, (score, i) in self.pieces.items():
             self.id_scores[i], self.id_chars[i] = score, len(piece)
         if self.kind == _BPE:
-            self.costs = {piece: -score for piece, (score, _) in self.pieces.items()}
+            self._number_pairs()
             self.unit_ids = _Cache(self.merged, CACHE_BYTES)
         else:
             self._number_trie()
@@ -178,24 +182,85 @@ class PieceModel:
 
     # ---- BPE files
 
+    def _number_pairs(self) -> None:
+        """Neighbours that form a piece, as numbers: a symbol is the id of a piece or, beyond all ids, a character."""
+        n = len(self.id_scores)
+        self.symbol_of = np.arange(n, n + 0x110000, dtype=np.int32)
+        for piece, (_, i) in self.pieces.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+        pairs: dict[int, int] = {}
+
+        def symbol(part: str) -> int | None:
+            return int(self.symbol_of[ord(part)]) if len(part) == 1 else self.pieces[part][1] if part in self.pieces else None
+
+        for piece, (_, i) in self.pieces.items():
+            for at in range(1, len(piece)):
+                left, right = symbol(piece[:at]), symbol(piece[at:])
+                if left is not None and right is not None:
+                    pairs[left << 24 | right] = i
+        self.pairs = pd.Index(np.fromiter(pairs, np.int64, len(pairs)))
+        self.formed = np.append(np.fromiter(pairs.values(), np.int64, len(pairs)), -1)
+        self.costs = np.append(-self.id_scores, np.inf)  # of an id; -1 forms nothing
+
+    def merged_many(self, units: list[str]) -> list[bytes]:
+        """:meth:`merged` for many units, one merge in each of them at a time."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        symbols = self.symbol_of[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
+        owner = np.repeat(np.arange(len(units)), sizes)
+
+        def formed_by(at: np.ndarray, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            after = np.minimum(at + 1, len(symbols) - 1)
+            found = self.formed[self.pairs.get_indexer(symbols[at] << 24 | symbols[after])]
+            found[(after == at) | (owner[after] != owner[at])] = -1
+            return found
+
+        forms = formed_by(np.arange(len(symbols)), symbols, owner)
+        costs = self.costs[forms]
+        done = []
+        while len(symbols):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            low = np.minimum.reduceat(costs, starts)
+            lowest = np.repeat(low, np.diff(np.append(starts, len(owner))))
+            open_ = lowest < np.inf
+            if not open_.all():
+                done.append((owner[~open_], symbols[~open_]))
+                symbols, owner, forms, costs, lowest = (v[open_] for v in (symbols, owner, forms, costs, lowest))
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(costs == lowest)
+            at = at[np.diff(owner[at], prepend=-1) != 0]  # the first of equals
+            symbols[at] = forms[at]
+            kept = np.ones(len(symbols), bool)
+            kept[at + 1] = False
+            symbols, owner, forms, costs = (v[kept] for v in (symbols, owner, forms, costs))
+            at -= np.arange(len(at))  # one symbol less for each merge before
+            changed = np.concatenate([at, np.maximum(at - 1, 0)])
+            forms[changed] = formed_by(changed, symbols, owner)
+            costs[changed] = self.costs[forms[changed]]
+        owner, symbols = (np.concatenate(part) for part in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return self._split(owner[order], symbols[order], len(units))
+
+    def _split(self, owner: np.ndarray, symbols: np.ndarray, n: int) -> list[bytes]:
+        """Ids of the symbols of each of ``n`` texts; a character that no piece covers becomes several."""
+        lost = np.flatnonzero(symbols >= len(self.id_scores))
+        if len(lost):
+            several = [self.uncovered(chr(s)) for s in (symbols[lost] - len(self.id_scores)).tolist()]
+            repeats = np.ones(len(symbols), np.int64)
+            repeats[lost] = list(map(len, several))
+            symbols, owner = np.repeat(symbols, repeats), np.repeat(owner, repeats)
+            symbols[symbols >= len(self.id_scores)] = [i for found in several for i in found]
+        ends = (np.cumsum(np.bincount(owner, minlength=n)) * 4).tolist()
+        joined = symbols.astype("<i4").tobytes()
+        return [joined[low:high] for low, high in zip([0, *ends[:-1]], ends, strict=True)]
+
     def merged(self, unit: str) -> bytes:
         """Ids of a unit after merging, of all neighbours that form a piece, the pair of best score, the first of equals."""
-        parts = list(unit) if len(unit) <= 64 else None
-        if parts is None:
-            parts = self._merged_long(unit)
-        else:
-            cost = self.costs.get
-            costs = [cost(a + b, np.inf) for a, b in pairwise(parts)]
-            while costs and (low := min(costs)) < np.inf:
-                i = costs.index(low)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                del costs[i]
-                if i < len(costs):
-                    costs[i] = cost(parts[i] + parts[i + 1], np.inf)
-                if i:
-                    costs[i - 1] = cost(parts[i - 1] + parts[i], np.inf)
+        if len(unit) <= LONG_UNIT:
+            return self.merged_many([unit])[0]
         ids: list[int] = []
-        for part in parts:
+        for part in self._merged_long(unit):
             found = self.pieces.get(part)
             ids += [found[1]] if found else self.uncovered(part)
         return np.array(ids, "<i4").tobytes()
@@ -205,7 +270,11 @@ class PieceModel:
         parts: list[str | None] = list(unit)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
-        cost = self.costs.get
+
+        def cost(piece: str) -> float | None:
+            found = self.pieces.get(piece)
+            return -found[0] if found else None
+
         queue = [(c, i, a + b) for i, (a, b) in enumerate(pairwise(unit)) if (c := cost(a + b)) is not None]
         heapq.heapify(queue)
 
@@ -301,29 +370,30 @@ class PieceModel:
         taken = np.concatenate(path)
         taken = taken[np.argsort(source[taken])]
         by_text = np.searchsorted(first, source[taken], "right") - 1
-        ids, texts_of = self.node_ids[node[taken]], by_text
-        if len(single):  # an uncovered character becomes several ids
-            lost = np.flatnonzero(ids < 0)
-            several = [self.uncovered(chr(chars[source[taken[k]] - by_text[k]])) for k in lost.tolist()]
-            repeats = np.ones(len(ids), np.int64)
-            repeats[lost] = list(map(len, several))
-            ids, texts_of = np.repeat(ids, repeats), np.repeat(by_text, repeats)
-            ids[ids < 0] = np.array([i for found in several for i in found], "<i4")
-        ends = np.cumsum(np.bincount(texts_of, minlength=len(texts))) * 4
-        joined = ids.astype("<i4").tobytes()
-        return [joined[low:high] for low, high in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        symbols = self.node_ids[node[taken]].astype(np.int64)
+        lost = symbols < 0
+        symbols[lost] = len(self.id_scores) + chars[source[taken[lost]] - by_text[lost]]
+        return self._split(by_text, symbols, len(texts))
 
     # ---- both
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that are already normalized."""
-        known, units = self.unit_ids, [self.units.findall(t) for t in texts]
-        if self.kind == _UNIGRAM:
-            fresh = [u for u in set().union(*units) if len(u) <= LONG_UNIT and u not in known]
-            for i in range(0, len(fresh), AT_ONCE):
-                for unit, ids in zip(fresh[i : i + AT_ONCE], self.best_of_many(fresh[i : i + AT_ONCE]), strict=True):
-                    known.keep(unit, ids)
-        return [np.frombuffer(b"".join(map(known.__getitem__, found)), "<i4") for found in units]
+        units = [self.units.findall(t) for t in texts]
+        here = dict.fromkeys(set().union(*units), b"")
+        known, many = self.unit_ids, self.merged_many if self.kind == _BPE else self.best_of_many
+        fresh = []
+        for unit in here:
+            if unit in known or unit in known.older or len(unit) > LONG_UNIT:
+                here[unit] = known[unit]
+            else:
+                fresh.append(unit)
+        for i in range(0, len(fresh), AT_ONCE):
+            some = fresh[i : i + AT_ONCE]
+            for unit, ids in zip(some, many(some), strict=True):
+                here[unit] = ids
+                known.keep(unit, ids)
+        return [np.frombuffer(b"".join(map(here.__getitem__, found)), "<i4") for found in units]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -103,17 +103,19 @@ def test_documents_get_the_ids_of_the_library(sp):
 def test_long_units_are_merged_alike():
     model, rng = sentencepiece_scan.piece_model(BPE), random.Random(3)
     library = sentencepiece.SentencePieceProcessor(model_file=BPE)
-    for size in (63, 64, 65, 400, 3000):
+    for size in (2, 3, 65, 400, 1023, 1024, 3000):
         unit = "".join(rng.choice("aeinrst") for _ in range(size))
         assert model.encode(normal(unit)).tolist() == library.encode(unit) == own_scan(model, unit, 50).tolist()
     assert len(model.cut(normal("x" * 5000), 50)) == 1
 
 
 def test_the_cache_is_bounded_in_bytes():
-    cache = sentencepiece_scan._Cache(lambda unit: unit.encode(), 100_000)
+    made = []
+    cache = sentencepiece_scan._Cache(lambda unit: made.append(unit) or unit.encode(), 100_000)
     for i in range(10_000):
-        assert cache[f"u{i}"] == f"u{i}".encode()
-        assert cache.held <= 100_000 and len(cache) < 500
+        assert cache[f"u{i}"] == f"u{i}".encode() and cache["often"] == b"often"
+        assert cache.held <= 50_000 and len(cache) + len(cache.older) < 500
+    assert made.count("often") == 1
     assert cache["x" * 5000] and "x" * 5000 not in cache
 
 
