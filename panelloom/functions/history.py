@@ -1,7 +1,7 @@
 """Features of the next row from an array of the latest values, as column expressions.
 
-They agree with the window features of ``operators.features`` on series without missing values. The array is
-oldest first and bounded, so a step of a recursive forecast is a projection without any shuffle.
+They agree with the window features of ``operators.features``: a missing value keeps its place, and statistics leave
+it out. The array is oldest first and bounded, so a step of a recursive forecast is a projection without any shuffle.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ def total(values: Column) -> Column:
 
 
 def mean(values: Column) -> Column:
-    return ratio(total(values), F.size(values).cast("double"))
+    known = F.array_compact(values)
+    return ratio(total(known), F.size(known).cast("double"))
 
 
 def _state(**values: Column | float) -> Column:
@@ -52,7 +53,8 @@ def sample_std(values: Column) -> Column:
 
 
 def median(values: Column) -> Column:
-    ordered, n = F.array_sort(values), F.size(values)
+    known = F.array_compact(values)
+    ordered, n = F.array_sort(known), F.size(known)
     low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
     return (low + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
 
@@ -100,7 +102,8 @@ STATISTICS = {"mean": mean, "std": sample_std, "min": F.array_min, "max": F.arra
 def needed_history(columns: Sequence[str]) -> int | None:
     """How many latest values the features of the next row and their partial update look at; None means all.
 
-    Run lengths and weighted deviations reach back to the start of a series. A feature of unknown reach is an error.
+    Run lengths and weighted deviations reach back to the start of a series. A feature of unknown reach is an error: with
+    one, tell ``forecast_state`` and ``forecast_recursive`` how many values to keep.
     """
     need, calendar = 1, calendar_columns(F.current_date())
     for name in columns:

@@ -8,17 +8,25 @@ the running columns at each fold end, and the test rows come along as an array o
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import SERIES, by_date, running, whole
 from panelloom.operators.metrics import METRICS, score
-from panelloom.operators.splits import FOLD_METHODS, last_fold
+from panelloom.operators.splits import FOLD_METHODS, in_fold, last_fold, with_positions
+from panelloom.session import shared_path
 
 BASELINES = ("naive", "seasonal_naive", "drift", "mean")
 SEASON = 7
 MEAN_WINDOW = 30
+#: What a fit raises for its data or parameters, as opposed to a failing cluster.
+FIT_ERRORS = (ValueError, ArithmeticError, ArithmeticException, AnalysisException, IllegalArgumentException)
 
 
 def train_state(w, season: int = SEASON, mean_window: int = MEAN_WINDOW, train_rows: int | None = None) -> dict[str, Column]:
@@ -132,6 +140,15 @@ def compare_models(df: DataFrame, models: Sequence[str] = BASELINES, keys: Seque
     return fold_summary(fold_results(backtest_predictions(df, models, keys=keys, **backtest), keys), keys)
 
 
+@dataclass
+class FittedBacktest:
+    """``predictions`` of all folds that could be fitted, and a row ``fold_id, model, error`` for each that could not."""
+
+    predictions: DataFrame
+    failed: DataFrame
+    n_folds: int
+
+
 def run_backtest(
     df: DataFrame,
     fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
@@ -142,30 +159,39 @@ def run_backtest(
     test: int = 30,
     step: int = 30,
     method: str = "walk_forward",
-    n_folds: int,
-) -> tuple[DataFrame, list[tuple[int, str]]]:
-    """Backtest a fitted model: one distributed fit per fold over all series, and the folds that failed.
-
-    ``fit`` takes train rows and returns a function that adds ``prediction``. ``n_folds`` bounds the fits.
+    n_folds: int | None = None,
+    parallelism: int = 4,
+) -> FittedBacktest:
+    """Backtest a fitted model: one distributed fit per fold over all series.
+
+    ``fit`` takes train rows and returns a function that adds ``prediction``. Rows are stored once by fold block, and
+    a fold is a range of blocks: its fit and its scoring read those alone. The number of folds comes from the longest
+    series (``n_folds`` may cut it) and so is bounded by the calendar; ``parallelism`` folds are fitted at a time. A
+    fold whose data or parameters do not fit (``FIT_ERRORS``) is reported; a failing cluster ends the run.
     """
-    from functools import reduce
-
-    from panelloom.operators.splits import assign_folds
-
-    rows = assign_folds(df.filter(F.col("value").isNotNull()), initial, test, step, method, n_folds, keys)
-    parts, failed = [], []
-    for fold_id in range(n_folds):
-        fold = rows.filter(F.col("fold_id") == fold_id)
+    spark = df.sparkSession
+    shape = {"initial": initial, "test": test, "step": step}
+    placed = with_positions(df.filter(F.col("value").isNotNull()), **shape, n_folds=n_folds, keys=keys).filter(F.col("last_fold").isNotNull())
+    folder = shared_path(spark, "backtest")
+    placed.repartition("fold_block", *keys).write.partitionBy("fold_block").parquet(folder)
+    rows = spark.read.schema(placed.schema).parquet(folder)
+    last = rows.agg(F.max("last_fold")).first()[0]
+    total = 0 if last is None else last + 1
+
+    def run_fold(fold_id: int) -> DataFrame | str:
+        train, held = (rows.filter(in_fold(fold_id, role, **shape, method=method)) for role in ("train", "test"))
         try:
-            predict = fit(fold.filter(F.col("role") == "train"))
-        except Exception as error:  # a fold that cannot be fitted is reported, not fatal
-            failed.append((fold_id, str(error)))
-            continue
-        parts.append(predict(fold.filter(F.col("role") == "test")).withColumn("model", F.lit(model)))
-    if not parts:
-        raise ValueError(f"no fold could be fitted: {failed}")
-    predictions = reduce(DataFrame.unionByName, parts)
-    return predictions.select(*keys, "fold_id", "model", "date", F.col("value").alias("actual"), "prediction"), failed
+            predict = fit(train)
+        except FIT_ERRORS as error:
+            return f"{type(error).__name__}: {error}"
+        return predict(held).select(*keys, F.lit(fold_id).alias("fold_id"), F.lit(model).alias("model"), "date", F.col("value").alias("actual"), "prediction")
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(run_fold), range(total)))
+    failures = [(i, model, d) for i, d in enumerate(done) if isinstance(d, str)]
+    failed = spark.createDataFrame(failures, "fold_id int, model string, error string")
+    empty = rows.limit(0).select(*keys, F.lit(0).alias("fold_id"), F.lit(model).alias("model"), "date", F.col("value").alias("actual"), F.lit(None).cast("double").alias("prediction"))
+    return FittedBacktest(reduce(DataFrame.unionByName, [d for d in done if not isinstance(d, str)], empty), failed, total)
 
 
 def leaderboard(metrics: DataFrame, by: str = "mae", keys: Sequence[str] = SERIES) -> DataFrame:
@@ -175,7 +201,10 @@ def leaderboard(metrics: DataFrame, by: str = "mae", keys: Sequence[str] = SERIE
 
 
 def best_model(metrics: DataFrame, by: str = "mase", keys: Sequence[str] = SERIES) -> DataFrame:
-    return leaderboard(metrics.filter(F.col(by).isNotNull()), by, keys).filter(F.col("place") == 1).drop("place")
+    """The winner table: the row of the best model of each series that has the metric; ties go to the first name."""
+    rest = [c for c in metrics.columns if c not in keys]
+    known = metrics.filter(F.col(by).isNotNull())
+    return known.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(by, "model")).alias("_best")).select(*keys, "_best.*")
 
 
 def fit_length(predictions: DataFrame, test: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,13 @@ PSI_EPS = 1e-8
 TOO_SHORT = "Not enough data for drift detection"
 
 
-def drift_windows(
+def window_table(
     df: DataFrame, reference: int = 60, current: int = 30, value: str = "value", keys: Sequence[str] = SERIES
-) -> tuple[DataFrame, DataFrame]:
-    """One row per series with sorted arrays ``ref`` and ``cur``, and the series with too few rows.
+) -> DataFrame:
+    """One row per series with sorted arrays ``ref`` and ``cur``, or with ``error`` in their place.
 
-    Rows are limited per series before the shuffle. A window with a missing value yields no statistics.
+    Rows are limited per series before the shuffle. A series with too few rows, or a missing value in its windows,
+    cannot be tested.
     """
     place = F.row_number().over(newest_first(keys))
     last = df.select(*keys, "date", F.col(value).alias("_v")).withColumn("_newest", place)
@@ -38,11 +40,17 @@ def drift_windows(
         F.count(F.lit(1)).alias("_rows"),
         F.count("_v").alias("_known"),
     )
-    enough = F.col("_rows") >= reference + current
-    complete = windows.filter(enough & (F.col("_known") == F.col("_rows"))).drop("_rows", "_known")
-    short = windows.filter(~enough).select(*keys, F.lit(TOO_SHORT).alias("error"))
-    gaps = windows.filter(enough & (F.col("_known") < F.col("_rows"))).select(*keys, F.lit("missing values").alias("error"))
-    return complete, short.unionByName(gaps)
+    error = F.when(F.col("_rows") < reference + current, TOO_SHORT).when(F.col("_known") < F.col("_rows"), "missing values")
+    return windows.select(*keys, *[F.when(error.isNull(), F.col(c)).alias(c) for c in ("ref", "cur")], error.alias("error"))
+
+
+def drift_windows(
+    df: DataFrame, reference: int = 60, current: int = 30, value: str = "value", keys: Sequence[str] = SERIES
+) -> tuple[DataFrame, DataFrame]:
+    """The series of ``window_table`` that can be tested, and those that cannot."""
+    table = window_table(df, reference, current, value, keys)
+    testable = F.col("error").isNull()
+    return table.filter(testable).drop("error"), table.filter(~testable).select(*keys, "error")
 
 
 def linear_quantile(sorted_values: Column, p: float) -> Column:
@@ -79,22 +87,39 @@ def ks_gap(ref: Column, cur: Column, scale: int) -> Column:
     return F.round(F.array_max(gaps)).cast("int")
 
 
-def ks_pvalues(n: int, m: int) -> list[float]:
-    """Exact two-sample p-value for every possible gap 0..lcm(n, m), by counting lattice paths.
+def ks_pvalues(gaps: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Exact two-sample p-values of gaps in steps of ``1 / lcm(n, m)``, by walking a lattice for all of them at once.
 
-    The gap can only be a multiple of 1/lcm, so this short table serves all series.
+    A random order of the ``n + m`` values is a path. What has stayed closer than the gap is carried from one value to
+    the next, for every gap and every count of reference values, so there are ``n + m`` steps of whole arrays; what
+    reaches the gap is summed up, which keeps small p-values exact.
     """
     scale = math.lcm(n, m)
-    gaps = np.arange(1, scale + 1)
-    # one column per path end j, all gaps at once
-    inside = np.zeros((m + 1, scale))
-    for i in range(n + 1):
-        for j in range(m + 1):
-            left = inside[j - 1] * (j / (i + j)) if j else 0.0
-            up = inside[j] * (i / (i + j)) if i else 0.0
-            allowed = abs(i * (scale // n) - j * (scale // m)) < gaps
-            inside[j] = np.where(allowed, left + up if i or j else 1.0, 0.0)
-    return [1.0, *np.clip(1.0 - inside[m], 0.0, 1.0).tolist()]
+    i = np.arange(n + 1)
+    inside = np.zeros((len(gaps), n + 1))
+    inside[:, 0] = gaps > 0
+    reached = np.where(gaps > 0, 0.0, 1.0)
+    for done in range(n + m):
+        # the next value is one of the reference, or one of the others
+        up, along = inside * ((n - i) / (n + m - done)), inside * ((m - (done - i)) / (n + m - done))
+        inside = along
+        inside[:, 1:] += up[:, :-1]
+        apart = np.abs(i * (scale // n) - (done + 1 - i) * (scale // m)) >= gaps[:, None]
+        reached += np.where(apart, inside, 0.0).sum(axis=1)
+        inside[apart] = 0.0
+    return np.minimum(reached, 1.0)
+
+
+def ks_exact(gap: Column, n: int, m: int) -> Column:
+    """Exact p-value of a gap (a column of its own); each batch of rows walks the lattice once, for its distinct gaps."""
+
+    @F.pandas_udf("double")
+    def pvalue(gaps: pd.Series) -> pd.Series:
+        known = gaps.dropna()
+        found, place = np.unique(known.to_numpy(np.int64), return_inverse=True)
+        return pd.Series(ks_pvalues(found, n, m)[place], known.index, dtype=float).reindex(gaps.index)
+
+    return F.when(gap.isNotNull(), pvalue(gap))
 
 
 def ks_asymptotic(gap: Column, n: int, m: int, terms: int = 100) -> Column:
@@ -116,7 +141,7 @@ def add_drift(windows: DataFrame, reference: int = 60, current: int = 30, bins:
     df = windows.withColumns({"psi": psi(F.col("ref"), F.col("cur"), bins), "_gap": ks_gap(F.col("ref"), F.col("cur"), scale)})
     df = df.withColumn("ks_statistic", F.col("_gap") / F.lit(float(scale)))
     if method == "exact":
-        p = F.get(F.lit(ks_pvalues(reference, current)), F.col("_gap"))
+        p = ks_exact(F.col("_gap"), reference, current)
     else:
         p = ks_asymptotic(F.col("ks_statistic"), reference, current)
     return df.withColumn("ks_pvalue", p).drop("_gap")
@@ -136,13 +161,12 @@ def detect_drift(
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """One row per series: verdict, statistics and means; a series that cannot be tested has ``error`` set."""
-    complete, failed = drift_windows(df, reference, current, value, keys)
-    tested = add_drift(complete, reference, current).withColumns(
+    tested = add_drift(window_table(df, reference, current, value, keys), reference, current).withColumns(
         {"reference_mean": _mean(F.col("ref")), "current_mean": _mean(F.col("cur"))}
     )
     change = ratio(F.col("current_mean") - F.col("reference_mean"), F.col("reference_mean")) * 100
     verdict = (F.col("psi") > psi_threshold) | (F.col("ks_pvalue") < p_threshold)
-    found = tested.select(
+    return tested.select(
         *keys,
         verdict.alias("drift_detected"),
         "psi",
@@ -151,5 +175,5 @@ def detect_drift(
         "reference_mean",
         "current_mean",
         change.alias("mean_change_pct"),
+        "error",
     )
-    return found.unionByName(failed, allowMissingColumns=True)

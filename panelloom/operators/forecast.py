@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.calendar import business_day_after
-from panelloom.functions.frames import SERIES, by_date
+from panelloom.functions.frames import SERIES, by_date, whole
 from panelloom.functions.history import last_n, needed_history, next_features, refreshed_features
 from panelloom.functions.numeric import ratio
 from panelloom.operators.backtest import BASELINES, MEAN_WINDOW, SEASON, baseline_prediction, train_state
-from panelloom.operators.filters import complete_cases, tail
+from panelloom.operators.filters import tail
 from panelloom.session import checkpointed
 
 PRICE_FLOOR = 0.01
@@ -35,25 +35,37 @@ def z_of(confidence: float) -> float:
     return NormalDist().inv_cdf(0.5 + confidence / 2)
 
 
-def add_interval(df: DataFrame, residual_std: Column | float | None = None, z: float = Z_95) -> DataFrame:
+def residual_deviation(scored: DataFrame, by: Sequence[str] = (*SERIES, "model")) -> DataFrame:
+    """``by, residual_std``: sample deviation of the errors of held-out predictions; NULL with fewer than two."""
+    return scored.groupBy(*by).agg(F.stddev_samp(F.col("actual") - F.col("prediction")).alias("residual_std"))
+
+
+def add_interval(df: DataFrame, residual_std: DataFrame | Column | float | None = None, z: float = Z_95) -> DataFrame:
     """``ci_lower`` and ``ci_upper``: grows with the root of the days ahead, and never goes below zero.
 
-    Without a residual deviation it is two percent of the last price.
+    ``residual_std`` is a number for all, a column, or a table of ``residual_deviation``, joined by its other columns.
+    Where there is none it is two percent of the last price.
     """
-    if residual_std is None:
-        residual_std = F.col("last_price") * DEFAULT_SPREAD
+    scratch = []
+    if isinstance(residual_std, DataFrame):
+        by = [c for c in residual_std.columns if c != "residual_std"]
+        df = df.join(residual_std, by, "left")
+        residual_std, scratch = F.col("residual_std"), ["residual_std"]
+    elif residual_std is None:
+        residual_std = F.lit(None).cast("double")
     elif not isinstance(residual_std, Column):
         residual_std = F.lit(float(residual_std))
-    width = z * residual_std * F.sqrt(F.col("day_ahead").cast("double"))
+    spread = F.coalesce(residual_std, F.col("last_price") * DEFAULT_SPREAD)
+    width = z * spread * F.sqrt(F.col("day_ahead").cast("double"))
     price = F.col("predicted_price")
-    return df.withColumns({"ci_lower": F.greatest(price - width, F.lit(0.0)), "ci_upper": price + width})
+    return df.withColumns({"ci_lower": F.greatest(price - width, F.lit(0.0)), "ci_upper": price + width}).drop(*scratch)
 
 
 def forecast_baselines(
     panel: DataFrame,
     horizon: int = 30,
     models: Sequence[str] = BASELINES,
-    residual_std: float | None = None,
+    residual_std: DataFrame | Column | float | None = None,
     z: float = Z_95,
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
@@ -80,13 +92,16 @@ def forecast_state(
 ) -> tuple[DataFrame, DataFrame]:
     """One row per series: latest values, last date and the features of the last complete row.
 
-    ``history`` is the number of values kept; by default as many as the columns need.
-
-    Also returns the series without any complete row.
+    ``history`` is the number of values kept; by default as many as the columns need. It must be given for columns that
+    ``needed_history`` has no rule for. Values up to the last complete row are kept in their places, missing ones too,
+    so lags count rows as the feature windows do. Also returns the series without any complete row.
     """
-    known = complete_cases(features, [*columns, "value"])
     history = history or needed_history(columns)
-    last = tail(known, history, keys) if history else known
+    w = by_date(keys)
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*columns, "value")])
+    seen = features.select(*keys, "date", "value", *columns).withColumn("_end", F.max(F.when(complete, F.col("date"))).over(whole(w)))
+    seen = seen.filter(F.col("date") <= F.col("_end")).drop("_end")
+    last = tail(seen, history, keys) if history else seen
     state = last.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("date", "value"))), lambda s: s["value"]).alias("history"),
         F.max("date").alias("last_date"),
@@ -104,7 +119,7 @@ def forecast_recursive(
     columns: Sequence[str],
     horizon: int = 30,
     refresh: str = "full",
-    residual_std: float | None = None,
+    residual_std: DataFrame | Column | float | None = None,
     z: float = Z_95,
     history: int | None = None,
     keys: Sequence[str] = SERIES,

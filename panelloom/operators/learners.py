@@ -24,7 +24,8 @@ BASE = "lag_1"
 LEVELS = ("lag_", "rolling_")
 SEED = 42
 
-# Default model parameters and search spaces, under Spark ML's names.
+# Default model parameters and search spaces, under Spark ML's names. The linear penalty is in units of
+# the value, as for a model of one series in its own units.
 DEFAULTS = {
     "gbt": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
     "random_forest": {"numTrees": 200, "maxDepth": 10},
@@ -39,6 +40,7 @@ SEARCH = {
         "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
     },
     "random_forest": {"numTrees": [100, 300, 500], "maxDepth": [10, 20, 30], "minInstancesPerNode": [2, 5, 10]},
+    "elastic_net": {"regParam": [0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.1, 0.5, 0.9]},
 }
 _ESTIMATORS = {"gbt": GBTRegressor, "random_forest": RandomForestRegressor, "elastic_net": LinearRegression}
 
@@ -67,8 +69,11 @@ class Learner:
         if BASE not in self.columns:
             raise ValueError(f"the features must hold {BASE}")
 
-    def _estimator(self, validation: str | None = None):
+    def _estimator(self, validation: str | None = None, level: float = 1.0):
+        """``level`` is the size of the values that the label is a ratio to."""
         params = {**DEFAULTS[self.kind], **self.params}
+        if self.kind == "elastic_net":
+            params["regParam"] = params["regParam"] / level
         if self.kind != "elastic_net":
             params["seed"] = SEED
         if validation and self.kind == "gbt":
@@ -83,10 +88,13 @@ class Learner:
         rows = training_rows(train, self.columns, target)
         if self.kind != "gbt" and validation:
             rows = rows.filter(~F.col(validation))
+        if rows.isEmpty():
+            raise ValueError("no training row has a label and all features")
+        level = level_of(rows) if self.kind == "elastic_net" else 1.0
         narrow = rows.select("label", *[f"_x_{c}" for c in self.columns], *([validation] if validation else []))
         narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)  # fitting passes over the rows many times
         try:
-            self.model = Pipeline(stages=[self._assembler(), self._estimator(validation)]).fit(narrow)
+            self.model = Pipeline(stages=[self._assembler(), self._estimator(validation, level)]).fit(narrow)
         finally:
             narrow.unpersist()
         return self
@@ -108,6 +116,11 @@ def training_rows(df: DataFrame, columns: Sequence[str], target: str = "value")
     return relative(df, columns, target).dropna(subset=["label", *[f"_x_{c}" for c in columns]])
 
 
+def level_of(rows: DataFrame) -> float:
+    """Mean size of the previous values of training rows."""
+    return rows.agg(F.avg(F.abs(F.col(BASE)))).first()[0] or 1.0
+
+
 def apply_model(model: PipelineModel, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Predictions in the units of the value, NULL where the inputs cannot be scaled; the helper columns go.
 
@@ -161,10 +174,11 @@ def random_search(
     rows = training_rows(train, columns, target)
     block = F.floor((F.col("row_number") - 1) * folds / F.col("train_size"))
     rows = rows.withColumn("_fold", F.least(block, F.lit(folds - 1)).cast("int"))
+    level = level_of(rows) if kind == "elastic_net" else 1.0
     rows = rows.select("label", "_fold", *[f"_x_{c}" for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
-    estimator = learner._estimator()
+    estimator = learner._estimator(level=level)
     candidates = sample_params(space or SEARCH[kind], draws, seed)
-    grid = [{estimator.getParam(name): value for name, value in c.items()} for c in candidates]
+    grid = [{estimator.getParam(name): value / level if name == "regParam" else value for name, value in c.items()} for c in candidates]
     search = CrossValidator(
         estimator=Pipeline(stages=[learner._assembler(), estimator]),
         estimatorParamMaps=grid,

@@ -6,6 +6,7 @@ mean over a whole log runs in chunks with a halo (``plans.hot_series``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,10 +16,13 @@ from pyspark.sql.utils import AnalysisException
 from panelloom.functions.frames import SERIES, by_date
 from panelloom.functions.numeric import ratio
 from panelloom.operators.filters import tail
-from panelloom.plans.hot_series import CHUNK_ROWS, sequence_block, with_halo, with_row_index
+from panelloom.plans.hot_series import BLOCK_ROWS, CHUNK_ROWS, with_halo, with_row_index
 
 PREDICTION_LOG = "series_id string, timestamp string, horizon int, prediction double, actual double, error double, record_seq bigint"
 TRAINING_LOG = "series_id string, trained_at timestamp"
+#: The log is stored by the month of its timestamp, so that a write-back replaces the months it changes.
+LOG_MONTH = "log_month"
+_INTENTS = "write_id string, state string"
 
 # The reasons a retrain decision reports, joined by SEPARATOR.
 NO_RECORD = "No training record found"
@@ -36,7 +40,7 @@ def append(df: DataFrame, path: str) -> None:
 def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A log table; one that was never written is empty when its schema is given."""
     try:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path).drop(LOG_MONTH)
     except AnalysisException as error:
         if schema is None or error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -44,8 +48,9 @@ def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def record_predictions(predictions: DataFrame, path: str) -> None:
-    """Append predictions; the error is known once the actual is."""
-    append(with_error(predictions), path)
+    """Append predictions, stored by month; the error is known once the actual is."""
+    rows = with_error(predictions).withColumn(LOG_MONTH, F.substring("timestamp", 1, 7))
+    rows.hint("rebalance", LOG_MONTH).write.mode("append").partitionBy(LOG_MONTH).parquet(path)
 
 
 def with_error(log: DataFrame) -> DataFrame:
@@ -72,6 +77,47 @@ def update_actuals(log: DataFrame, actuals: DataFrame) -> DataFrame:
     return filled.withColumn("error", F.when(F.col("updated"), F.abs(F.col("prediction") - F.col("actual"))).otherwise(F.col("error")))
 
 
+def write_back(spark: SparkSession, path: str, actuals: DataFrame) -> int:
+    """Fill open actuals in the stored log with ``update_actuals``; returns the number of rows filled.
+
+    Only the months that hold an open row and an actual are read and replaced. Their new rows are stored beside the log
+    and noted as ready first, then put in place, then noted as done; so a run that dies is finished by the next one, and
+    running twice fills nothing twice. One write-back at a time.
+    """
+    finish_write_backs(spark, path)
+    log = spark.read.schema(f"{PREDICTION_LOG}, {LOG_MONTH} string").parquet(path)
+    arrived = actuals.select(F.substring("timestamp", 1, 7).alias(LOG_MONTH)).distinct()
+    months = [r[0] for r in log.filter(F.col("actual").isNull()).select(LOG_MONTH).distinct().join(arrived, LOG_MONTH, "left_semi").collect()]
+    if not months:
+        return 0
+    write_id = uuid.uuid4().hex
+    update_actuals(log.filter(F.col(LOG_MONTH).isin(months)), actuals).write.parquet(f"{path}.pending/{write_id}")
+    filled = spark.read.parquet(f"{path}.pending/{write_id}").filter("updated").count()
+    if filled:
+        _note(spark, path, write_id, "ready")
+        _put_in_place(spark, path, write_id)
+    return filled
+
+
+def finish_write_backs(spark: SparkSession, path: str) -> None:
+    """Put in place what earlier write-backs stored and did not finish."""
+    noted = read_log(spark, f"{path}.intents", _INTENTS).groupBy("write_id").agg(F.collect_set("state").alias("states"))
+    for row in noted.filter(~F.array_contains("states", "done")).collect():
+        _put_in_place(spark, path, row["write_id"])
+
+
+def _put_in_place(spark: SparkSession, path: str, write_id: str) -> None:
+    rows = spark.read.parquet(f"{path}.pending/{write_id}").drop("updated")
+    columns = [c.split(" ")[0] for c in PREDICTION_LOG.split(", ")]
+    stored = rows.select(*columns, F.substring("timestamp", 1, 7).alias(LOG_MONTH))
+    stored.hint("rebalance", LOG_MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(LOG_MONTH).parquet(path)
+    _note(spark, path, write_id, "done")
+
+
+def _note(spark: SparkSession, path: str, write_id: str, state: str) -> None:
+    append(spark.createDataFrame([(write_id, state)], _INTENTS).coalesce(1), f"{path}.intents")
+
+
 def performance_summary(log: DataFrame) -> DataFrame:
     """Errors and means per series over the scored rows, four decimals, halves to even."""
     known = log.filter(F.col("actual").isNotNull())
@@ -121,16 +167,15 @@ def rolling_metric(
     metric: str = "mae",
     window: int = 30,
     order: Sequence[str] = ("timestamp", "record_seq"),
-    blocks: dict[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Mean of a metric over the last ``window`` records of a series, horizons mixed.
 
     A log of any length per series runs in chunks that start with the ``window - 1`` records before them.
     """
     rows = log.select("series_id", *order, F.col(metric))
-    blocks = blocks or {"_time": F.col(order[0]), "_block": sequence_block(order[-1])}
-    numbered = with_row_index(rows, SERIES, list(order), blocks)
+    numbered = with_row_index(rows, SERIES, list(order), block_rows=block_rows)
     frame = Window.partitionBy("series_id", "chunk").orderBy("row_index").rowsBetween(-(window - 1), 0)
     rolled = with_halo(numbered, window - 1, chunk_rows=chunk_rows).withColumn(f"rolling_{metric}", F.avg(metric).over(frame))
     return rolled.filter("is_own").drop("chunk", "is_own")
@@ -173,10 +218,15 @@ def should_retrain(
     schedule_days: int = 30,
     mase_limit: float = 0.25,
 ) -> DataFrame:
-    """Decision and reasons per series from the training log, a table with ``mase`` and a drift table."""
-    df = series.select("series_id").join(last_training(trained), "series_id", "left")
+    """Decision and reasons per series from the training log, a table with ``mase`` and a drift table.
+
+    ``series`` may be the drift table itself, which names every series; then its verdicts need no join.
+    """
+    own = drift is None and "drift_detected" in series.columns
+    df = series.select("series_id", *(["drift_detected"] if own else [])).join(last_training(trained), "series_id", "left")
     df = df.join(performance.select("series_id", "mase"), "series_id", "left") if performance is not None else df.withColumn("mase", F.lit(None).cast("double"))
-    df = df.join(drift.select("series_id", "drift_detected"), "series_id", "left") if drift is not None else df.withColumn("drift_detected", F.lit(False))
+    if not own:
+        df = df.join(drift.select("series_id", "drift_detected"), "series_id", "left") if drift is not None else df.withColumn("drift_detected", F.lit(False))
     seconds = F.unix_timestamp(as_of) - F.unix_timestamp("trained_at")
     days = F.floor(seconds / 86400)
     reasons = F.concat_ws(

@@ -120,7 +120,7 @@ def assign_folds(
     w = by_date(keys)
     at = F.col("_at")
     placed = df.withColumns({"_at": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole(w))})
-    placed = placed.withColumn("_last", last_fold(F.col("_n"), initial, test, step, n_folds))
+    placed = placed.withColumn("_last", last_fold(F.col("_n"), initial, test, step, n_folds)).filter(F.col("_last").isNotNull())
     # fold f trains up to row initial-1+f*step and tests the `test` rows after it
     first = F.greatest(F.ceil((at - initial - test + 1) / step), F.lit(0)).cast("int")
     last = F.least(F.floor(at / step).cast("int"), F.col("_last")) if method == "rolling" else F.col("_last")
@@ -128,3 +128,30 @@ def assign_folds(
     end = initial - 1 + F.col("fold_id") * step
     role = F.when(at <= end, "train").when(at <= end + test, "test")
     return exploded.withColumn("role", role).filter(F.col("role").isNotNull()).drop("_at", "_n", "_last")
+
+
+def with_positions(
+    df: DataFrame, initial: int = 504, test: int = 30, step: int = 30, n_folds: int | None = None, keys: Sequence[str] = SERIES
+) -> DataFrame:
+    """Each row once, with ``position`` (from 0), ``last_fold`` of its series and the ``fold_block`` it lies in.
+
+    Block 0 holds the first ``initial`` rows and every further block ``step`` rows, so fold ``f`` trains on blocks up
+    to ``f`` and tests on those after it. Stored by block, a fold reads only its blocks, and no row is copied.
+    """
+    w = by_date(keys)
+    placed = df.withColumns({"position": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole(w))})
+    block = F.greatest(F.floor((F.col("position") - initial) / step) + 1, F.lit(0)).cast("int")
+    return placed.withColumns({"last_fold": last_fold(F.col("_n"), initial, test, step, n_folds), "fold_block": block}).drop("_n")
+
+
+def in_fold(fold_id: int, role: str, initial: int = 504, test: int = 30, step: int = 30, method: str = "walk_forward") -> Column:
+    """Whether a row of ``with_positions`` belongs to the train or test side of a fold: ranges of blocks and positions."""
+    _check(method)
+    end = initial + fold_id * step
+    first, last = (fold_id * step if method == "rolling" else 0, end - 1) if role == "train" else (end, end + test - 1)
+
+    def block(position: int) -> int:
+        return max((position - initial) // step + 1, 0)
+
+    ranges = F.col("fold_block").between(block(first), block(last)) & F.col("position").between(first, last)
+    return ranges & (F.col("last_fold") >= fold_id)

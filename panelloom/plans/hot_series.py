@@ -3,8 +3,10 @@
 Raw ticks and logs may put a third of all rows under one key. A plain window would sort that key in one
 task. Here the group is cut into blocks along its own order:
 
-* ``with_row_index`` numbers the rows of every group. Rows are counted per (group, block) with a map-side
-  combine, the small table of counts is summed along the blocks, and each row adds its place in its block.
+* ``with_row_index`` numbers the rows of every group. A group above ``BLOCK_ROWS`` rows is cut at edges sampled from
+  its own order, at most ``EDGES`` of them, and a piece that is still too large once more; rows are counted per block
+  with a map-side combine, and the counts are summed up in two levels, so no task holds more than ``EDGES`` counts or
+  about ``BLOCK_ROWS`` rows of a group of up to ``EDGES ** 2 * BLOCK_ROWS``.
 * ``with_halo`` cuts the numbered rows into chunks of equal size and copies the last few rows of each chunk
   into the next one, so a window that looks back a bounded number of rows can run per chunk.
 """
@@ -16,8 +18,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.session import checkpointed
+
 BLOCK_ROWS = 1 << 20
 CHUNK_ROWS = 1 << 16
+EDGES = 1 << 10
+#: Sampled rows for each edge; the more, the more even the blocks.
+SAMPLES = 8
+#: Groups whose edges may be broadcast; more are joined by a shuffle, whose hot keys adaptive execution splits.
+BROADCAST_GROUPS = 200
 
 
 def sequence_block(seq: str, rows: int = BLOCK_ROWS) -> Column:
@@ -25,34 +34,75 @@ def sequence_block(seq: str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(seq) / rows).cast("bigint")
 
 
-def with_row_index(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    blocks: dict[str, Column],
-    name: str = "row_index",
-) -> DataFrame:
-    """Number rows of each group from 0 along ``order``.
+def _edges_of(df: DataFrame, groups: Sequence[str], order: Sequence[str], block_rows: int) -> DataFrame | None:
+    """``groups, _edges`` of the groups above ``block_rows`` rows: sorted order values that cut them evenly; None without any.
 
-    ``blocks`` are columns whose order agrees with ``order`` (for example date, then a block of the
-    sequence); rows with equal blocks form one task's unit of work. Keys and blocks must not be NULL.
+    Rows are sampled by a hash of group and order, so a retry draws the same; any edges give the same numbers.
     """
-    tagged = df.withColumns(blocks)
-    block_names = list(blocks)
-    along = Window.partitionBy(*keys).orderBy(*block_names)
-    offsets = (
-        tagged.groupBy(*keys, *block_names)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_rows")
-    )
-    inside = Window.partitionBy(*keys, *block_names).orderBy(*order)
-    # plain equality keeps the rows where the window below needs them, so there is no further shuffle
-    return (
-        tagged.join(offsets, [*keys, *block_names])
-        .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_before", *block_names)
-    )
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > block_rows)
+    sizes = checkpointed(sizes.withColumn("_blocks", F.least(F.ceil(F.col("_rows") / block_rows), F.lit(EDGES))))
+    found = sizes.limit(BROADCAST_GROUPS + 1).count()
+    if not found:
+        return None
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    draw = F.pmod(F.xxhash64(*groups, *order), F.lit(1 << 40)) / float(1 << 40)
+    sized = df.select(*groups, *order).join(F.broadcast(sizes) if found <= BROADCAST_GROUPS else sizes, list(groups))
+    sampled = sized.filter(draw < F.col("_blocks") * SAMPLES / F.col("_rows")).groupBy(*groups).agg(
+        F.array_sort(F.collect_list(place)).alias("_sample"), F.first("_blocks").alias("_blocks")
+    )
+    count = F.size("_sample")
+    cut = F.transform(F.sequence(F.lit(1), (F.col("_blocks") - 1).cast("int")), lambda i: F.get("_sample", F.floor(i * count / F.col("_blocks")).cast("int")))
+    return checkpointed(sampled.select(*groups, F.array_distinct(cut).alias("_edges")))
+
+
+def _block(edges: str, order: Sequence[str]) -> Column:
+    """How many of the sorted edges lie at or below the row, by halving; 0 without edges."""
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        below = F.get(edges, middle) <= place  # structs compare like the order: missing values come first
+        going = span["low"] < span["high"]
+        return F.struct(
+            F.when(going & below, middle + 1).otherwise(span["low"]).alias("low"),
+            F.when(going & ~below, middle).otherwise(span["high"]).alias("high"),
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.size(edges).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(EDGES.bit_length())), start, halve, lambda span: span["low"])
+    return F.when(F.col(edges).isNull(), F.lit(0)).otherwise(found)
+
+
+def _cut(df: DataFrame, groups: Sequence[str], order: Sequence[str], block_rows: int, name: str) -> tuple[DataFrame, bool]:
+    edges = _edges_of(df, groups, order, block_rows)
+    if edges is None:
+        return df.withColumn(name, F.lit(0)), False
+    few = edges.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    joined = df.join(F.broadcast(edges) if few else edges, list(groups), "left")
+    return joined.withColumn(name, _block("_edges", order)).drop("_edges"), True
+
+
+def with_row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_index", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Number rows of each group from 0 along ``order``, missing values first. Keys must not be NULL."""
+    levels = ["_piece", "_block"]
+    tagged, large = _cut(df, keys, order, block_rows, levels[0])
+    tagged = _cut(tagged, [*keys, levels[0]], order, block_rows, levels[1])[0] if large else tagged.withColumn(levels[1], F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*keys, *levels).orderBy(*order)) - 1
+    if not large:
+        return tagged.withColumn(name, inside.cast("bigint")).drop(*levels)
+
+    def before(groups: list[str], by: str, out: str) -> Column:
+        earlier = Window.partitionBy(*groups).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(out).over(earlier), F.lit(0))
+
+    blocks = tagged.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_rows"))
+    blocks = blocks.withColumn("_in_piece", before([*keys, levels[0]], levels[1], "_rows"))
+    pieces = blocks.groupBy(*keys, levels[0]).agg(F.sum("_rows").alias("_size"))
+    pieces = pieces.withColumn("_in_group", before(list(keys), levels[0], "_size"))
+    offsets = blocks.join(pieces, [*keys, levels[0]]).select(*keys, *levels, (F.col("_in_piece") + F.col("_in_group")).alias("_before"))
+    # plain equality keeps the rows where the window needs them, so there is no further shuffle
+    numbered = tagged.join(offsets, [*keys, *levels]).withColumn(name, F.col("_before") + inside)
+    return numbered.drop("_before", *levels)
 
 
 def with_halo(

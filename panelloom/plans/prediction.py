@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -42,3 +43,32 @@ def predict_all(
     lost = raw.select("series_id").distinct().join(reached, "series_id", "left_anti")
     picked = pick_horizons(forecast, horizons).withColumn("prediction_date", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
     return picked, lost.withColumn("error", F.lit("no usable rows"))
+
+
+def predict_routed(
+    raw: DataFrame,
+    winners: DataFrame,
+    models: Mapping[str, PipelineModel | str],
+    horizons: Sequence[int] = HORIZONS,
+    as_of_date: str | None = None,
+    refresh: str = "full",
+    columns: Sequence[str] | None = None,
+    fallback: str = "naive",
+) -> tuple[DataFrame, DataFrame]:
+    """``predict_all`` with the model that ``winners`` (``series_id, model``) names for each series.
+
+    One pass for each kind of model, over the series routed to it. A series without a winner, or whose winner is not
+    among ``models``, is routed to the ``fallback`` baseline. The predictions have a ``model`` column.
+    """
+    known = winners.filter(F.col("model").isin(*models)).select("series_id", F.col("model").alias("_model"))
+    kinds = {**models, fallback: models.get(fallback, fallback)}
+    parts, lost = [], []
+    for name, model in kinds.items():
+        own = known.filter(F.col("_model") == name)
+        routed = raw.join(own, "series_id", "left_semi")
+        if name == fallback:
+            routed = raw.join(known.filter(F.col("_model") != fallback), "series_id", "left_anti")
+        picked, missing = predict_all(routed, model, horizons, as_of_date, refresh, None if isinstance(model, str) else columns)
+        parts.append(picked.withColumn("model", F.lit(name)))
+        lost.append(missing)
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, lost)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import SERIES
-from panelloom.operators.backtest import BASELINES, best_model, compare_models, forecast_split
+from panelloom.operators.backtest import BASELINES, FIT_ERRORS, best_model, compare_models, forecast_split
 from panelloom.operators.cleaning import clean
 from panelloom.operators.features import generate
 from panelloom.operators.filters import complete_cases, date_range, feature_columns, long_series, min_rows
@@ -18,6 +17,7 @@ from panelloom.operators.learners import Learner
 from panelloom.operators.metrics import mape_band, naive_scale, score
 from panelloom.operators.splits import chronological_split, validation_tail
 from panelloom.operators.targets import add_target
+from panelloom.session import checkpointed
 from panelloom.sources.registry import ModelRegistry, RunLog
 
 MIN_ROWS = 60
@@ -34,11 +34,11 @@ def prepare(
 
 
 def train_baselines(
-    prepared: DataFrame, models: Sequence[str] = ("naive", "seasonal_naive"), initial: int = 504, test: int = 30, step: int = 30
+    prepared: DataFrame, models: Sequence[str] = ("naive", "seasonal_naive"), **backtest
 ) -> tuple[DataFrame, DataFrame]:
     """Backtested baselines, and the series that are too short."""
     kept, rejected = min_rows(prepared, MIN_ROWS)
-    return compare_models(kept, models, initial=initial, test=test, step=step), rejected
+    return compare_models(kept, models, **backtest), rejected
 
 
 def split_for_training(prepared: DataFrame, columns: Sequence[str], **split) -> tuple[DataFrame, DataFrame]:
@@ -56,41 +56,55 @@ def split_for_training(prepared: DataFrame, columns: Sequence[str], **split) ->
 
 def train_learners(
     prepared: DataFrame,
-    kinds: Sequence[str] = ("gbt", "random_forest", "elastic_net"),
+    kinds: Sequence[str] | Mapping[str, tuple[str, dict]] = ("gbt", "random_forest", "elastic_net"),
     params: dict[str, dict] | None = None,
     primary_metric: str = "mae",
     registry: ModelRegistry | None = None,
     runs: RunLog | None = None,
     leak_safe: bool = True,
+    **split_options,
 ) -> dict:
     """Fit each learner on all series, score it per series, and keep the best one by the primary metric.
 
-    Returns ``metrics`` (a row per series and model), ``rejected`` series, ``learners``, and ``best``.
+    ``kinds`` names learners, or maps names to a kind and its parameters. A learner whose data or parameters do not
+    fit is reported in ``failed`` (``model, error``) and the others go on; a failing cluster ends the run. Returns
+    also ``metrics`` (a row per series and model), ``winners`` (the best model of each series), ``rejected`` series,
+    ``learners``, and ``best``, the one with the best mean over the series (None if no learner could be fitted).
     """
+    wanted = kinds if isinstance(kinds, Mapping) else {kind: (kind, (params or {}).get(kind, {})) for kind in kinds}
     columns = feature_columns(prepared, leak_safe=leak_safe, day_of_week_flags=False)
-    split, rejected = split_for_training(prepared, columns)
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)  # read by every fit and every score
+    split, rejected = split_for_training(prepared, columns, **split_options)
+    split = checkpointed(split)  # read by every fit and every score
     train, test = (split.filter(F.col("split") == s) for s in ("train", "test"))
     scales = naive_scale(train)
-    learners, tables = {}, []
-    for kind in kinds:
-        learner = Learner(kind, columns, (params or {}).get(kind, {})).fit(train, validation="is_validation" if kind == "gbt" else None)
+    learners, tables, failures = {}, [], []
+    for name, (kind, own) in wanted.items():
+        try:
+            learner = Learner(kind, columns, own).fit(train, validation="is_validation" if kind == "gbt" else None)
+        except FIT_ERRORS as error:
+            failures.append((name, f"{type(error).__name__}: {error}"))
+            continue
+        learners[name] = learner
         scored = learner.predict(test).select("series_id", "date", F.col("value").alias("actual"), "prediction")
-        scored = scored.join(scales, "series_id").withColumn("model", F.lit(kind))
-        learners[kind] = learner
-        tables.append(score(scored, ("series_id", "model")))
-    metrics = tables[0]
-    for table in tables[1:]:
-        metrics = metrics.unionByName(table)
+        tables.append(score(scored.join(scales, "series_id").withColumn("model", F.lit(name)), ("series_id", "model")))
+    if not tables:
+        none = test.limit(0).select("series_id", "date", F.col("value").alias("actual"), F.lit(None).cast("double").alias("prediction"))
+        tables.append(score(none.join(scales, "series_id").withColumn("model", F.lit("")), ("series_id", "model")))
+    spark = prepared.sparkSession
+    metrics = checkpointed(reduce(DataFrame.unionByName, tables))
+    winners = best_model(metrics, primary_metric)
     overall = {r["model"]: r.asDict() for r in metrics.groupBy("model").agg(*[F.avg(m).alias(m) for m in ("mae", "rmse", "mape", "smape", "mase")]).collect()}
-    best = min(overall, key=lambda m: overall[m][primary_metric] if overall[m][primary_metric] is not None else float("inf"))
+    best = min(overall, key=lambda m: overall[m][primary_metric] if overall[m][primary_metric] is not None else float("inf"), default=None)
     if runs:
-        for kind, row in overall.items():
-            runs.record(kind, learners[kind].params, {k: v for k, v in row.items() if k != "model"})
+        for name, row in overall.items():
+            runs.record(name, learners[name].params, {k: v for k, v in row.items() if k != "model"})
     if registry:
-        for kind, learner in learners.items():
-            registry.save(learner.model, POOLED_SCOPE, kind, overall[kind][primary_metric], primary_metric, best=kind == best)
-    return {"metrics": metrics, "rejected": rejected, "learners": learners, "best": best, "columns": columns}
+        for name, learner in learners.items():
+            metric = overall.get(name, {}).get(primary_metric)
+            registry.save(learner.model, POOLED_SCOPE, name, metric, primary_metric, best=name == best)
+        registry.save_winners(winners, primary_metric)
+    failed = spark.createDataFrame(failures, "model string, error string")
+    return {"metrics": metrics, "winners": winners, "failed": failed, "rejected": rejected, "learners": learners, "best": best, "columns": columns}
 
 
 def batch_results(prepared: DataFrame, model: str = "naive", columns: Sequence[str] | None = None) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom.functions.calendar import business_day_after
-from panelloom.operators import forecast
-
+from panelloom.operators import forecast, splits
+from panelloom.operators.backtest import BASELINES, forecast_split
+from panelloom.operators.cleaning import clean
 from panelloom.operators.features import generate
-from panelloom.plans.prediction import predict_all
+from panelloom.plans.prediction import predict_all, predict_routed
+from panelloom.plans.training import choose_baseline
 from panelloom.registered.catalog import day, query, rounded, rounded_sql, stable_sql
 from panelloom.registered.panels import SHIPMENTS, TICKS, WEEKDAY, clean_sql, daily_shipments, order_ticks, weekday_orders
-from panelloom.registered.splits import _MODEL_CASE
+from panelloom.registered.splits import _MODEL_CASE, _SPLIT_FORECAST, score_sql, split_sql
 
 _PRICES = ["predicted_price", "ci_lower", "ci_upper"]
 
@@ -52,6 +54,50 @@ def forecast_interval_confidence(spark, sf_dir):
     return rounded(rows.select("series_id", "day_ahead", "ci_lower", "ci_upper"), ["ci_lower", "ci_upper"])
 
 
+# test errors of every baseline of a series, as a table of deviations
+_RESIDUALS = f"""rs AS (WITH {split_sql('p2')}, {_SPLIT_FORECAST}
+  SELECT series_id, model, stddev_samp(actual - prediction) AS spread FROM fc GROUP BY 1, 2)"""
+
+
+@query(
+    "forecast_interval_per_series",
+    "I03",
+    f"""WITH {SHIPMENTS}, {_RESIDUALS}, {_baseline_sql('p2', 30)}
+        SELECT bf.series_id, bf.model, CAST(step AS INTEGER) AS day_ahead,
+          {stable_sql('greatest(predicted_price - 1.96e0 * coalesce(spread, 0.02e0 * last_v) * sqrt(step), 0)')} AS ci_lower,
+          {stable_sql('predicted_price + 1.96e0 * coalesce(spread, 0.02e0 * last_v) * sqrt(step)')} AS ci_upper
+        FROM bf LEFT JOIN rs ON rs.series_id = bf.series_id AND rs.model = bf.model""",
+)
+def forecast_interval_per_series(spark, sf_dir):
+    """Each series and baseline with the deviation of its own errors on the held-out rows."""
+    panel = daily_shipments(spark, sf_dir)
+    spreads = forecast.residual_deviation(forecast_split(splits.chronological_split(panel)))
+    rows = forecast.forecast_baselines(panel, 30, residual_std=spreads)
+    return rounded(rows.select("series_id", "model", "day_ahead", "ci_lower", "ci_upper"), ["ci_lower", "ci_upper"])
+
+
+# the winner of each series on its held-out rows, and the forecast of that model alone
+_WINNERS = f"""known AS (SELECT * FROM cleaned WHERE value IS NOT NULL), wn AS (WITH {split_sql('known')}, {_SPLIT_FORECAST}, {score_sql('series_id, model')}
+  SELECT series_id, model FROM sc WHERE mase IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY mase, model) = 1)"""
+
+
+@query(
+    "predict_best_per_series",
+    "S13 I05 P14",
+    f"""WITH {SHIPMENTS}, {clean_sql('p2')}, {_WINNERS}, {_baseline_sql('cleaned', 30)}
+        SELECT bf.series_id, bf.model, CAST(last_date AS VARCHAR) AS as_of_date, CAST(step AS INTEGER) AS horizon, CAST(date AS VARCHAR) AS target_date,
+          {stable_sql('predicted_price')} AS prediction, last_v AS last_close, {stable_sql('(predicted_price - last_v) / last_v * 100')} AS predicted_change_pct
+        FROM bf LEFT JOIN wn ON wn.series_id = bf.series_id WHERE bf.model = coalesce(wn.model, 'naive') AND step IN (1, 7, 30)""",
+)
+def predict_best_per_series(spark, sf_dir):
+    """Every series forecast by the baseline that did best on its held-out rows, one pass for each kind of model."""
+    raw = daily_shipments(spark, sf_dir)
+    winners = choose_baseline(splits.chronological_split(clean(raw).filter(F.col("value").isNotNull())))
+    rows, _ = predict_routed(raw, winners, {m: m for m in BASELINES})
+    rows = rows.drop("prediction_date").withColumns({c: F.col(c).cast("string") for c in ("as_of_date", "target_date")})
+    return rounded(rows, ["prediction", "predicted_change_pct"])
+
+
 @query(
     "forecast_pick_horizons",
     "I04",

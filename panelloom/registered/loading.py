@@ -11,8 +11,10 @@ from panelloom.operators.features import lag_features, rolling_features
 from panelloom.functions.frames import by_date
 from panelloom.registered.catalog import day, query, rounded, rounded_sql
 from panelloom.registered.panels import DAILY, EVENTS, SHIPMENTS, TICKS, daily_events, daily_orders, daily_shipments, order_ticks, table
-from panelloom.sources.readers import load_all, scan, standardize
+from panelloom.session import shared_path
+from panelloom.sources.readers import load_all, read_table, scan, standardize
 from panelloom.sources.series_catalog import SeriesCatalog
+from panelloom.sources.writers import save_forecasts, save_predictions, save_processed
 
 
 @query(
@@ -193,3 +195,55 @@ def clamp_values(spark, sf_dir):
     return daily_shipments(spark, sf_dir).select(
         "series_id", day(), clip(shifted, low=0.01).alias("floored"), clip(shifted, -5000, 5000).alias("clipped")
     )
+
+
+# ---- what is written comes back
+
+
+def _standard_sql(columns: str = "series_id, CAST(date AS VARCHAR) AS date, value") -> str:
+    return f"WITH {DAILY} SELECT {columns} FROM p1"
+
+
+@query("sink_processed_csv", "S02 S08 S04", _standard_sql())
+def sink_processed_csv(spark, sf_dir):
+    """A panel saved as CSV by series, scanned again as text and parsed."""
+    path = shared_path(spark, "processed-csv")
+    save_processed(daily_orders(spark, sf_dir).select("series_id", F.col("date").alias("Date"), F.col("value").alias("Close")), path, "csv")
+    back = standardize(scan(spark, path, ".csv"), F.col("series_id"))
+    return back.select("series_id", day(), "value")
+
+
+@query("sink_processed_parquet", "S03 S08", _standard_sql())
+def sink_processed_parquet(spark, sf_dir):
+    path = save_processed(daily_orders(spark, sf_dir), shared_path(spark, "processed"))
+    return standardize(scan(spark, path, ".parquet"), F.col("series_id"), value_column="value").select("series_id", day(), "value")
+
+
+@query(
+    "sink_predictions_runs",
+    "S09 S10",
+    f"""WITH {DAILY}, l AS (SELECT series_id, date, lag(value) OVER (PARTITION BY series_id ORDER BY date) AS prediction FROM p1)
+        SELECT series_id, CAST(date AS VARCHAR) AS date, prediction, run FROM l, (VALUES ('first'), ('second')) t(run)""",
+)
+def sink_predictions_runs(spark, sf_dir):
+    """Two runs saved under one root, each in a folder of its own, and read back together."""
+    root = shared_path(spark, "predictions")
+    rows = daily_orders(spark, sf_dir).select("series_id", day(), F.lag("value").over(by_date()).alias("prediction"))
+    for run in ("first", "second"):
+        save_predictions(rows, root, run_ts=run)
+    return read_table(spark, root).withColumnRenamed("run_ts", "run")
+
+
+@query(
+    "sink_forecasts_folders",
+    "S12 I07",
+    f"""WITH {DAILY} SELECT series_id, model, CAST(date AS VARCHAR) AS date, CASE model WHEN 'as_is' THEN value ELSE 2 * value END AS predicted_price
+        FROM p1, (VALUES ('as_is'), ('twice')) t(model)""",
+)
+def sink_forecasts_folders(spark, sf_dir):
+    """Forecasts saved as CSV in a folder for each series and model."""
+    path = shared_path(spark, "forecasts")
+    models = [F.struct(F.lit(m).alias("model"), (F.col("value") * k).alias("predicted_price")) for m, k in (("as_is", 1.0), ("twice", 2.0))]
+    save_forecasts(daily_orders(spark, sf_dir).select("series_id", day(), F.inline(F.array(*models))), path)
+    schema = "date string, predicted_price double, series_id string, model string"
+    return spark.read.schema(schema).option("header", True).csv(path)

@@ -11,6 +11,7 @@ from panelloom.registered.catalog import query, rounded, rounded_sql
 from panelloom.registered.logs import LOG, prediction_log
 from panelloom.registered.panels import EVENTS, SHIPMENTS, TICKS, daily_events, daily_shipments, order_ticks, table
 from panelloom.registered.splits import _SPLIT_FORECAST, score_sql, split_sql
+from panelloom.session import shared_path
 
 _UNION = f"{SHIPMENTS}, {EVENTS}, u AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3)"
 
@@ -139,15 +140,18 @@ up AS (SELECT op.series_id, op.timestamp, horizon, prediction, record_seq, coale
   FROM op LEFT JOIN ar ON ar.series_id = op.series_id AND ar.timestamp = op.timestamp)"""
 
 
-def _updated(spark, sf_dir):
+def _open_log(spark, sf_dir):
     """Actuals after mid-1998 are open; they arrive up to the end of 2000, each first with a wrong value."""
     log = prediction_log(spark, sf_dir)
     known = F.col("target_date") <= F.lit("1998-06-30").cast("date")
     log = log.withColumns({c: F.when(known, F.col(c)) for c in ("actual", "error")}).drop("target_date")
     arrived = daily_shipments(spark, sf_dir).filter(F.col("date") <= F.lit("2000-12-31").cast("date"))
     tries = F.array(*[F.struct(F.lit(i).alias("arrival"), (F.col("value") * m).alias("actual")) for i, m in ((0, 3.0), (1, 1.0))])
-    actuals = arrived.select("series_id", F.col("date").cast("string").alias("timestamp"), F.inline(tries))
-    return monitoring.update_actuals(log, actuals)
+    return log, arrived.select("series_id", F.col("date").cast("string").alias("timestamp"), F.inline(tries))
+
+
+def _updated(spark, sf_dir):
+    return monitoring.update_actuals(*_open_log(spark, sf_dir))
 
 
 @query(
@@ -170,6 +174,22 @@ def monitor_update_count(spark, sf_dir):
     )
 
 
+@query(
+    "monitor_write_back",
+    "D06 D07 S10",
+    f"""WITH {_OPEN} SELECT series_id, timestamp, horizon, prediction, record_seq, actual, {rounded_sql(['error'])},
+        count(*) FILTER (updated) OVER () AS n_filled, CAST(0 AS BIGINT) AS n_again FROM up""",
+)
+def monitor_write_back(spark, sf_dir):
+    """The log recorded, its actuals written back twice, and read again."""
+    path = shared_path(spark, "prediction-log")
+    log, actuals = _open_log(spark, sf_dir)
+    monitoring.record_predictions(log, path)
+    filled, again = (monitoring.write_back(spark, path, actuals) for _ in range(2))
+    stored = monitoring.read_log(spark, path, monitoring.PREDICTION_LOG)
+    return rounded(stored.withColumns({"n_filled": F.lit(filled).cast("bigint"), "n_again": F.lit(again).cast("bigint")}), ["error"])
+
+
 @query(
     "monitor_performance_summary",
     "D08",
@@ -205,8 +225,8 @@ def monitor_last_training(spark, sf_dir):
     return monitoring.last_training(log).select("series_id", F.col("trained_at").cast("date").cast("string").alias("trained_on"))
 
 
-_TRAINED = """tl AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, max(l_shipdate) AS trained_at FROM lineitem
-  WHERE l_returnflag = 'R' AND l_quantity >= 50 AND l_discount >= 0.07 GROUP BY 1)"""
+_TRAINED = """tl AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id,
+  max(l_shipdate) FILTER (l_returnflag = 'R' AND l_quantity >= 50 AND l_discount >= 0.07) AS trained_at FROM lineitem GROUP BY 1)"""
 
 
 @query(
@@ -225,16 +245,11 @@ _TRAINED = """tl AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, max(l_shipd
 )
 def monitor_should_retrain(spark, sf_dir):
     panel, both = daily_shipments(spark, sf_dir), _union(spark, sf_dir)
-    flagged = (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.07)
-    trained = table(spark, sf_dir, "lineitem").filter(flagged).select(
-        F.col("l_suppkey").cast("string").alias("series_id"), F.col("l_shipdate").cast("timestamp").alias("trained_at")
+    # every line is a record of its supplier; only those of one kind say that a training ended, and when
+    ended = (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.07)
+    trained = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("series_id"), F.when(ended, F.col("l_shipdate").cast("timestamp")).alias("trained_at")
     )
     scores = score(forecast_split(splits.chronological_split(panel), ("naive",)), ("series_id",))
-    return monitoring.should_retrain(
-        both.select("series_id").distinct(),
-        trained,
-        F.lit("2001-09-15 00:00:00").cast("timestamp"),
-        performance=scores,
-        drift=drift.detect_drift(both).filter(F.col("error").isNull()),
-        mase_limit=0.9,
-    )
+    drifted = drift.detect_drift(both)
+    return monitoring.should_retrain(drifted, trained, F.lit("2001-09-15 00:00:00").cast("timestamp"), performance=scores, mase_limit=0.9)

@@ -106,6 +106,23 @@ DAMAGED = """p4 AS (
   FROM orders)"""
 
 
+def planted_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, their prices as noise on a planted course that doubles and falls back every week."""
+    date = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("series_id"),
+        date.alias("date"),
+        (1000.0 * (1 + F.weekday(date) / 4.0) + F.col("o_totalprice") / 1000).alias("value"),
+        F.col("o_orderkey").alias("ingest_seq"),
+    )
+
+
+PLANTED = """p5 AS (
+  SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date,
+    1000e0 * (1 + (isodow(CAST(o_orderdate AS DATE)) - 1) / 4e0) + o_totalprice / 1000 AS value, o_orderkey AS ingest_seq
+  FROM orders)"""
+
+
 def text_columns(panel: DataFrame) -> DataFrame:
     """A typed panel with the raw text columns the checks look at."""
     return panel.withColumns({"date_text": F.col("date").cast("string"), "value_text": F.col("value").cast("string")})

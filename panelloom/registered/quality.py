@@ -42,7 +42,7 @@ def quality_required_columns(spark, sf_dir):
 
 @query("quality_date_parseable", "Q02", _check_sql("date_parseable", "error", DAMAGED, "count(*) FILTER (date IS NULL)", "invalid_count"))
 def quality_date_parseable(spark, sf_dir):
-    return _counted(quality.date_parseable(quality.row_counts(damaged_ticks(spark, sf_dir))), "invalid_count")
+    return _counted(quality.date_parseable(quality.row_counts(quality.day_counts(damaged_ticks(spark, sf_dir)))), "invalid_count")
 
 
 @query(
@@ -56,7 +56,7 @@ def quality_date_parseable(spark, sf_dir):
         FROM d GROUP BY series_id""",
 )
 def quality_date_unique(spark, sf_dir):
-    checks = quality.date_unique(quality.day_counts(damaged_ticks(spark, sf_dir)))
+    checks = quality.date_unique(quality.row_counts(quality.day_counts(damaged_ticks(spark, sf_dir))))
     return _counted(checks, "duplicate_count").join(
         checks.select("series_id", F.col("details")["duplicate_dates"].alias("duplicate_dates")), "series_id"
     )
@@ -77,17 +77,17 @@ def quality_date_chronological(spark, sf_dir):
 
 @query("quality_close_numeric", "Q05", _check_sql("close_numeric", "error", DAMAGED, "count(*) FILTER (bad_number)", "invalid_count"))
 def quality_close_numeric(spark, sf_dir):
-    return _counted(quality.close_numeric(quality.row_counts(damaged_ticks(spark, sf_dir))), "invalid_count")
+    return _counted(quality.close_numeric(quality.row_counts(quality.day_counts(damaged_ticks(spark, sf_dir)))), "invalid_count")
 
 
 @query("quality_close_positive", "Q06", _check_sql("close_positive", "error", DAMAGED, "count(*) FILTER (value < 0)", "negative_count"))
 def quality_close_positive(spark, sf_dir):
-    return _counted(quality.close_positive(quality.row_counts(damaged_ticks(spark, sf_dir))), "negative_count")
+    return _counted(quality.close_positive(quality.row_counts(quality.day_counts(damaged_ticks(spark, sf_dir)))), "negative_count")
 
 
 @query("quality_close_not_null", "Q07", _check_sql("close_not_null", "error", DAMAGED, "count(*) FILTER (value IS NULL)", "null_count"))
 def quality_close_not_null(spark, sf_dir):
-    return _counted(quality.close_not_null(quality.row_counts(damaged_ticks(spark, sf_dir))), "null_count")
+    return _counted(quality.close_not_null(quality.row_counts(quality.day_counts(damaged_ticks(spark, sf_dir)))), "null_count")
 
 
 @query(
@@ -102,7 +102,7 @@ def quality_close_not_null(spark, sf_dir):
         FROM (SELECT *, missing / CAST(expected AS DOUBLE) AS missing_pct FROM x)""",
 )
 def quality_missing_dates(spark, sf_dir):
-    checks = quality.missing_dates(quality.day_counts(daily_shipments(spark, sf_dir)), 0.15)
+    checks = quality.missing_dates(quality.row_counts(quality.day_counts(daily_shipments(spark, sf_dir))), 0.15)
     return rounded(_counted(checks, "missing_count", "missing_pct"), ["missing_pct"], 6)
 
 
@@ -155,7 +155,7 @@ def quality_outliers(spark, sf_dir):
         CAST(count(*) AS DOUBLE) AS record_count FROM p2 GROUP BY series_id""",
 )
 def quality_min_history(spark, sf_dir):
-    counts = quality.row_counts(text_columns(daily_shipments(spark, sf_dir)))
+    counts = quality.row_counts(quality.day_counts(text_columns(daily_shipments(spark, sf_dir))))
     return _counted(quality.min_history(counts, 530), "record_count")
 
 
@@ -171,6 +171,14 @@ e AS (SELECT series_id, count(*) FILTER (isodow(d) < 6) AS expected FROM
        (SELECT series_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM b) GROUP BY 1),
 r AS (
   SELECT b.series_id,
+    concat_ws('; ', CASE WHEN bad_date > 0 THEN 'error: date_parseable, ' || bad_date || ' dates cannot be parsed' END,
+      CASE WHEN repeated > 0 THEN 'error: date_unique, ' || repeated || ' rows repeat a date' END,
+      CASE WHEN unordered > 0 THEN 'warning: date_chronological, ' || unordered || ' rows are out of order' END,
+      CASE WHEN bad_number > 0 THEN 'error: close_numeric, ' || bad_number || ' values are not numbers' END,
+      CASE WHEN negative > 0 THEN 'error: close_positive, ' || negative || ' values are negative' END,
+      CASE WHEN empty > 0 THEN 'error: close_not_null, ' || empty || ' values are missing' END,
+      CASE WHEN (expected - seen) / CAST(expected AS DOUBLE) > 0.05 THEN 'warning: missing_dates, ' || (expected - seen) || ' weekdays are missing' END,
+      CASE WHEN n < 252 THEN 'warning: min_history, ' || n || ' rows, 252 wanted' END) AS summary,
     CAST((bad_date > 0) AS INT) + CAST((repeated > 0) AS INT) + CAST((bad_number > 0) AS INT) + CAST((negative > 0) AS INT)
       + CAST((empty > 0) AS INT) AS errors,
     CAST((unordered > 0) AS INT) + CAST(((expected - seen) / CAST(expected AS DOUBLE) > 0.05) AS INT) + CAST((n < 252) AS INT) AS warnings
@@ -181,10 +189,10 @@ r AS (
     "quality_report",
     "Q11",
     f"""WITH {DAMAGED}, {_REPORT} SELECT series_id, errors = 0 AS passed, CAST(10 AS BIGINT) AS n_checks,
-        CAST(errors AS BIGINT) AS error_count, CAST(warnings AS BIGINT) AS warning_count FROM r""",
+        CAST(errors AS BIGINT) AS error_count, CAST(warnings AS BIGINT) AS warning_count, summary FROM r""",
 )
 def quality_report(spark, sf_dir):
-    return quality.validate(damaged_ticks(spark, sf_dir)).drop("summary")
+    return quality.validate(damaged_ticks(spark, sf_dir))
 
 
 @query(

@@ -12,6 +12,8 @@ from panelloom.operators.metrics import METRICS, score
 from panelloom.plans.training import batch_results, choose_baseline
 from panelloom.registered.catalog import day, query, rounded, rounded_sql, stable_sql
 from panelloom.registered.panels import DAILY, EVENTS, SHIPMENTS, TICKS, clean_sql, daily_events, daily_orders, daily_shipments, order_ticks
+from panelloom.session import shared_path
+from panelloom.sources.registry import ModelRegistry, RunLog
 
 FOLDS = {"initial": 252, "test": 30, "step": 30}
 
@@ -231,13 +233,24 @@ def baseline_scores_per_series(spark, sf_dir):
 
 
 def _backtest_cte(method: str = "walk_forward") -> str:
-    low = "i.i >= k * 30" if method == "rolling" else "TRUE"
-    mean = ""
-    return f"""i AS (SELECT series_id, date, value, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i,
-        count(*) OVER (PARTITION BY series_id) AS n FROM p2),
-fo AS (SELECT i.*, k, 251 + k * 30 AS e, series_id || '/' || k AS key FROM i JOIN generate_series(0, 400) g(k)
-        ON 251 + k * 30 + 30 < n AND i.i <= 251 + k * 30 + 30 AND {low}),
-{forecast_sql('fo', 'SELECT key, i AS rn, value FROM fo WHERE i <= e', "SELECT key, series_id, k AS fold_id, date, value AS actual, i - e AS step FROM fo WHERE i > e")}{mean}"""
+    """CTE ``fc``: running statistics at the last train row of each fold, met by the test rows through their fold number.
+
+    Test side and step are both 30 rows, so a row is tested in one fold.
+    """
+    rows = "ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
+    train = rows.format("251" if method == "rolling" else "UNBOUNDED")
+    steps = rows.format("250" if method == "rolling" else "UNBOUNDED")
+    return f"""i AS (SELECT series_id, date, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n,
+        value - lag(value) OVER w AS diff FROM p2 WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+en AS (SELECT series_id, (i - 251) // 30 AS fold_id, last_v, first_v, size, mean_v, season, scale_abs, scale_sq FROM (
+        SELECT *, value AS last_v, first_value(value) OVER (w {train}) AS first_v, count(*) OVER (w {train}) AS size,
+          avg(value) OVER (w {rows.format(29)}) AS mean_v, list(value) OVER (w {rows.format(6)}) AS season,
+          avg(abs(diff)) OVER (w {steps}) AS scale_abs, avg(diff * diff) OVER (w {steps}) AS scale_sq
+        FROM i WINDOW w AS (PARTITION BY series_id ORDER BY i))
+    WHERE i >= 251 AND (i - 251) % 30 = 0 AND i + 30 < n),
+te AS (SELECT series_id, (i - 252) // 30 AS fold_id, (i - 252) % 30 + 1 AS step, date, value AS actual FROM i WHERE i >= 252),
+fc AS (SELECT te.*, m AS model, {_MODEL_CASE} AS prediction, scale_abs, scale_sq
+    FROM te JOIN en USING (series_id, fold_id), (VALUES ('naive'), ('seasonal_naive'), ('drift'), ('mean')) t(m))"""
 
 
 def _predictions(spark, sf_dir, method="walk_forward"):
@@ -311,6 +324,39 @@ def model_best(spark, sf_dir):
     return rounded(best.select("series_id", "model", "mase"), ["mase"])
 
 
+@query(
+    "registry_winners",
+    "S13 P14",
+    f"""WITH {SHIPMENTS}, {split_sql('p2')}, {_SPLIT_FORECAST}, {score_sql('series_id, model')},
+        w AS (SELECT series_id, model, 'mase' AS metric_name, mase AS metric FROM sc WHERE mase IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY mase, model) = 1)
+        SELECT series_id, model, metric_name, {rounded_sql(['metric'])} FROM w""",
+)
+def registry_winners(spark, sf_dir):
+    """Winners saved twice, first by another metric; the registry gives the last ones."""
+    registry = ModelRegistry(spark, shared_path(spark, "registry"))
+    scores = score(backtest.forecast_split(splits.chronological_split(daily_shipments(spark, sf_dir))), ("series_id", "model"))
+    for metric in ("mae", "mase"):
+        registry.save_winners(backtest.best_model(scores, metric), metric)
+    return rounded(registry.winners(), ["metric"])
+
+
+@query(
+    "run_log_entries",
+    "S14",
+    f"""WITH {SHIPMENTS}, {split_sql('p2')}, {_SPLIT_FORECAST}, {score_sql('series_id, model')}
+        SELECT model AS run_name, '0.8' AS train_ratio, {stable_sql('avg(mae)', 2)} AS mae, {stable_sql('avg(rmse)', 2)} AS rmse FROM sc GROUP BY model""",
+)
+def run_log_entries(spark, sf_dir):
+    """A run of each baseline with its parameters and mean errors, recorded and read back."""
+    runs = RunLog(spark, shared_path(spark, "runs"))
+    scores = score(backtest.forecast_split(splits.chronological_split(daily_shipments(spark, sf_dir))), ("series_id", "model"))
+    for row in scores.groupBy("model").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse")).collect():  # a row a model
+        runs.record(row["model"], {"train_ratio": 0.8}, {"mae": row["mae"], "rmse": row["rmse"]})
+    metrics = {m: F.col("metrics")[m] for m in ("mae", "rmse")}
+    return rounded(runs.read().select("run_name", F.col("params")["train_ratio"].alias("train_ratio"), *[c.alias(m) for m, c in metrics.items()]), ["mae", "rmse"], 2)
+
+
 @query(
     "predictions_fit_length",
     "P15",

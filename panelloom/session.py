@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,20 +28,28 @@ def get_spark(app_name: str = "panelloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str | None:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; None on a local master that names none."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below ``shared_root``; a temporary one takes its place where a local master names none."""
+    root = shared_root(spark) or tempfile.mkdtemp(prefix="panelloom-shared-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder, so a lost executor loses no state.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary folder is used only
     on a local master that names none.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelloom-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession) or tempfile.mkdtemp(prefix="panelloom-checkpoint-"))
     return df.checkpoint()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 REGISTRY_SCHEMA = "scope string, model string, metric_name string, metric double, is_best boolean, path string, saved_at timestamp"
+WINNER_SCHEMA = "series_id string, model string, metric_name string, metric double, saved_at timestamp"
 RUN_SCHEMA = "run_name string, logged_at timestamp, params map<string,string>, metrics map<string,double>"
 
 
@@ -45,6 +46,19 @@ class ModelRegistry:
     def entries(self) -> DataFrame:
         return _read_log(self.spark, f"{self.root}/registry", REGISTRY_SCHEMA)
 
+    def save_winners(self, winners: DataFrame, metric_name: str) -> None:
+        """Append the best model of each series, from a table with a row per series."""
+        rows = winners.select(
+            "series_id", "model", F.lit(metric_name).alias("metric_name"), F.col(metric_name).cast("double").alias("metric"), F.lit(_now()).alias("saved_at")
+        )
+        rows.write.mode("append").parquet(f"{self.root}/winners")
+
+    def winners(self) -> DataFrame:
+        """``series_id, model, metric_name, metric`` as saved last for each series."""
+        saved = _read_log(self.spark, f"{self.root}/winners", WINNER_SCHEMA)
+        newest = saved.groupBy("series_id").agg(F.max_by(F.struct("model", "metric_name", "metric"), "saved_at").alias("_w"))
+        return newest.select("series_id", "_w.*")
+
     def load(self, scope: str, name: str | None = None) -> PipelineModel | None:
         """The newest best model of the scope, else its newest plain one, else None. Loaded once."""
         key = (scope, name)

@@ -15,6 +15,19 @@ FIELDS = ("id", "name", "unit", "source", "file_path", "timezone", "market", "ty
 SCHEMA_DEFAULTS = {"date_column": "date", "close_column": "close", "date_format": "%Y-%m-%d"}
 
 
+def read_document(path: str | Path) -> dict:
+    """The content of a YAML or JSON file."""
+    path = Path(path)
+    text = path.read_text(encoding="utf-8")
+    if path.suffix == ".json":
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as error:
+        raise SourceError("reading a YAML file needs PyYAML; use JSON instead") from error
+    return yaml.safe_load(text) or {}
+
+
 class SeriesCatalog:
     def __init__(self, entries: Iterable[Mapping], schema: Mapping | None = None, base_path: str | Path = "."):
         self.entries = {e["id"]: dict(e) for e in entries}
@@ -24,17 +37,8 @@ class SeriesCatalog:
     @classmethod
     def read(cls, path: str | Path, section: str = "series") -> SeriesCatalog:
         """Read a YAML or JSON file with a list of entries under ``section`` and an optional ``schema``."""
-        path = Path(path)
-        text = path.read_text(encoding="utf-8")
-        if path.suffix == ".json":
-            document = json.loads(text)
-        else:
-            try:
-                import yaml
-            except ImportError as error:
-                raise SourceError("reading a YAML catalog needs PyYAML; use JSON instead") from error
-            document = yaml.safe_load(text) or {}
-        return cls(document.get(section, []), document.get("schema"), path.parent)
+        document = read_document(path)
+        return cls(document.get(section, []), document.get("schema"), Path(path).parent)
 
     def list(self) -> list[dict]:
         return list(self.entries.values())

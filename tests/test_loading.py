@@ -57,6 +57,68 @@ def test_load_all_reports_failures_and_maps_files_to_series(spark, tmp_path):
     assert {r["series_id"] for r in errors.collect()} == {"c", "gone", "odd"}
 
 
+def test_headers_differ_from_file_to_file(spark, tmp_path):
+    catalog = write_catalog(
+        tmp_path,
+        {
+            "a": "close,note,DATE\n1,\"x,y\",2024-01-01\n2,z,2024-01-02 # late\n",
+            "b b+c": "# first\n\n,date,,close\nq,2024-01-03,r,3,more\n# end\nq,2024-01-04\n",
+            "twice": "date,close,Close\n2024-01-01,1,2\n",
+            "empty": "# nothing\n",
+            "bare": "date,close\n",
+        },
+    )
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for i in (1, 2):
+        (folder / f"part-{i}.csv").write_text(f"date,close\n2024-02-0{i},{i}\n")
+    catalog.entries["folder"] = {"id": "folder", "source": "file", "file_path": str(folder)}
+    panel, errors = load_all(spark, catalog)
+    want = [("a", "2024-01-01", 1.0), ("a", "2024-01-02", 2.0), ("b b+c", "2024-01-03", 3.0), ("b b+c", "2024-01-04", None), ("folder", "2024-02-01", 1.0), ("folder", "2024-02-02", 2.0)]
+    assert rows(panel) == want
+    assert {r["series_id"]: "2 times" in r["error"] for r in errors.collect()} == {"twice": True, "empty": False}
+    assert rows(load_all(spark, catalog, "2024-01-02", "2024-01-03")[0]) == want[1:3]
+
+
+def test_parquet_sources_keep_their_types_and_report_missing_columns(spark, tmp_path):
+    times = spark.createDataFrame([("2024-01-01 23:00:00", 1.0), ("2024-01-02 00:00:00", 2.0), (None, 3.0)], "date string, close double")
+    times.withColumn("date", F.to_timestamp("date")).write.parquet(str(tmp_path / "t.parquet"))
+    times.select(F.col("close").alias("price")).write.parquet(str(tmp_path / "p.parquet"))
+    entries = [{"id": n, "source": "file", "file_path": str(tmp_path / f"{n}.parquet")} for n in "tp"]
+    panel, errors = load_all(spark, SeriesCatalog(entries))
+    assert rows(panel) == [("t", "2024-01-01", 1.0), ("t", "2024-01-02", 2.0), ("t", "None", 3.0)]
+    assert [r["series_id"] for r in errors.collect()] == ["p"]
+    bounded = load_series(spark, SeriesCatalog(entries), "t", "2024-01-02", "2024-01-31")
+    assert rows(bounded) == [("t", "2024-01-02", 2.0)]
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_a_date_range_reaches_the_scan(spark, tmp_path, kind):
+    days = spark.range(100).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).cast(kind).alias("date"), F.col("id").alias("close"), F.lit("x").alias("note"))
+    days.write.parquet(str(tmp_path / "s.parquet"))
+    catalog = SeriesCatalog([{"id": "s", "source": "file", "file_path": str(tmp_path / "s.parquet")}])
+    for panel in (load_series(spark, catalog, "s", "2024-02-01", "2024-02-10"), load_all(spark, catalog, "2024-02-01", "2024-02-10")[0]):
+        assert panel.count() == 10
+        plan = panel.select("series_id", "date", "value")._jdf.queryExecution().executedPlan().toString()
+        pushed = [line for line in plan.splitlines() if "FileScan parquet" in line and "PushedFilters" in line]
+        assert any("GreaterThanOrEqual(date,2024-02-01" in line and "LessThan" in line for line in pushed), plan
+        assert "note" not in plan.split("ReadSchema", 1)[1].split("\n")[0]
+
+
+def test_the_number_of_jobs_does_not_grow_with_the_files(spark, tmp_path):
+    def jobs(n):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        catalog = write_catalog(folder, {f"s{i}": f"date,close{',x' * (i % 3)}\n2024-01-0{1 + i % 9},{i}{',0' * (i % 3)}\n" for i in range(n)})
+        spark.sparkContext.setJobGroup(f"load-{n}", "")
+        panel, errors = load_all(spark, catalog)
+        assert panel.count() == n and errors.count() == 0
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"load-{n}"))
+
+    assert jobs(400) <= jobs(40) + 2  # listing many paths is a job of its own
+
+
 def test_two_entries_on_one_file_get_its_rows_once_each(spark, tmp_path):
     catalog = write_catalog(tmp_path, {"a": "date,close\n2024-01-01,1\n2024-01-02,2\n"})
     catalog.entries["b"] = catalog.entries["a"] | {"id": "b"}

@@ -1,5 +1,7 @@
 """Window operators against pandas, and features from arrays against features from windows."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from panelloom.functions.history import needed_history, next_features
 from panelloom.operators import backtest, drift, features, metrics, monitoring, sequences, splits, targets
 from panelloom.operators.quantiles import exact_quantiles
+from panelloom.plans import hot_series
 from panelloom.plans.hot_series import with_row_index
 from tests.conftest import days
 
@@ -150,7 +153,7 @@ def test_ks_pvalues_against_enumeration():
             gap = max(gap, abs(i * 3 - j * 4))
         counts[gap] = counts.get(gap, 0) + 1
     total = sum(counts.values())
-    for gap, p in enumerate(drift.ks_pvalues(n, m)):
+    for gap, p in enumerate(drift.ks_pvalues(np.arange(math.lcm(n, m) + 1), n, m)):
         assert p == pytest.approx(sum(c for g, c in counts.items() if g >= gap) / total)
 
 
@@ -165,11 +168,27 @@ def test_exact_quantiles(spark, buckets):
         assert row["n"] == len(values[row["k"]])
 
 
-def test_row_index_over_blocks(spark):
-    df = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(100)], "series_id string, seq bigint")
-    got = with_row_index(df, ["series_id"], ["seq"], {"_b": F.floor(F.col("seq") / 7)}).toPandas()
-    for _, part in got.groupby("series_id"):
-        assert list(part.sort_values("seq")["row_index"]) == list(range(len(part)))
+@pytest.mark.parametrize("block_rows", [5, 40, 1000])
+def test_row_index_of_a_hot_series_with_times_of_day(spark, monkeypatch, block_rows):
+    """A series with a third of all rows, a stamp of its own for most of them, some equal and some missing."""
+    monkeypatch.setattr(hot_series, "EDGES", 8)
+    rng = np.random.default_rng(6)
+    stamps = [None if i % 50 == 0 else f"2024-01-01 {rng.integers(0, 24):02d}:{rng.integers(0, 60):02d}:{rng.integers(0, 60):02d}" for i in range(900)]
+    rows = [("hot" if i % 3 == 0 else f"s{i % 31}", s, i) for i, s in enumerate(stamps)]
+    df = spark.createDataFrame(rows, "series_id string, timestamp string, seq bigint")
+    got = with_row_index(df, ["series_id"], ["timestamp", "seq"], block_rows=block_rows).toPandas()
+    assert len(got) == len(rows)
+    for name, part in got.groupby("series_id"):
+        want = sorted((r for r in rows if r[0] == name), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+        assert list(part.sort_values("row_index")["seq"]) == [r[2] for r in want]
+        assert sorted(part["row_index"]) == list(range(len(want)))
+
+
+def test_edges_cut_a_hot_series_evenly(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("series_id"), F.col("id").alias("seq"))
+    tagged, large = hot_series._cut(df, ["series_id"], ["seq"], 1000, "_piece")
+    sizes = [r["count"] for r in tagged.groupBy("_piece").count().collect()]
+    assert large and len(sizes) == 20 and max(sizes) < 3000
 
 
 def log(spark, errors):
@@ -223,3 +242,25 @@ def test_history_follows_the_features(spark):
     assert needed_history(["lag_1", "volatility_ewm_14"]) is None
     with pytest.raises(ValueError):
         needed_history(["mystery"])
+
+
+def test_write_back_replaces_the_months_it_changes_and_survives_a_crash(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    rows = [("a", f"2024-0{m}-01", h, 1.0, None, None, 10 * m + h) for m in (1, 2, 3) for h in (1, 7)] + [("a", "2024-01-02", 1, 1.0, 9.0, 8.0, 99)]
+    log = spark.createDataFrame(rows, monitoring.PREDICTION_LOG)
+    monitoring.record_predictions(log, path)
+    actuals = spark.createDataFrame([("a", "2024-01-01", 3.0, 0), ("a", "2024-01-01", 4.0, 1), ("a", "2024-01-02", 5.0, 0), ("b", "2024-03-01", 6.0, 0)], "series_id string, timestamp string, actual double, arrival int")
+    untouched = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "log" / "log_month=2024-02").iterdir()}
+    # the run dies after its rows are stored and before they are in place
+    with monkeypatch.context() as crash:
+        crash.setattr(monitoring, "_put_in_place", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            monitoring.write_back(spark, path, actuals)
+    assert monitoring.read_log(spark, path).filter("actual is null").count() == 6
+    assert monitoring.write_back(spark, path, actuals) == 0  # finishes what was stored; nothing is left to fill
+    stored = {(r["timestamp"], r["horizon"]): (r["actual"], r["error"]) for r in monitoring.read_log(spark, path).collect()}
+    assert len(stored) == 7 and stored[("2024-01-01", 1)] == stored[("2024-01-01", 7)] == (4.0, 3.0) and stored[("2024-01-02", 1)] == (9.0, 8.0)
+    assert stored[("2024-03-01", 1)] == (None, None)
+    assert untouched == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "log" / "log_month=2024-02").iterdir()}
+    more = spark.createDataFrame([("a", "2024-03-01", 2.5, 0)], actuals.schema)
+    assert monitoring.write_back(spark, path, more) == 2 and monitoring.write_back(spark, path, more) == 0
