@@ -84,3 +84,14 @@ def arrow_schema(df: DataFrame, fields: str) -> tuple[StructType, pa.Schema]:
     spark = df.sparkSession
     whole = StructType([*df.schema.fields, *spark.createDataFrame([], fields).schema.fields])
     return whole, spark.createDataFrame([], whole).toArrow().schema
+
+
+def row_struct(df: DataFrame, *left_out: str) -> Column:
+    """All columns but some as one struct, so that names that an operator adds cannot clash with them."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in left_out]
+    return F.struct(*kept) if kept else F.struct(F.lit(None).cast("int").alias("none"))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns; maps, which have no order, as JSON."""
+    return F.xxhash64(*[F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema])

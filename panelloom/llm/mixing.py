@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import join_small, n_words
+from panelloom.llm.common import join_small, n_words, row_hash, row_struct
 from panelloom.session import checkpointed
 
 BLOCK_WORDS = 64
@@ -108,13 +108,14 @@ def mix(
     seed: int = 42,
     bucket_rows: int = BUCKET_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Mix documents given as ``doc_id, source, size``; more columns are carried along.
+    """Mix documents given as ``doc_id, source, size``; more columns are carried along in the struct ``row``.
 
     Returns the mix, one row per slot and document piece (``slot, source_no, pass, _row, first, length``: words
     ``first`` up to ``first + length`` of the document), and the documents with ``_row, source_size, target``.
     """
     spark = docs.sparkSession
-    docs = checkpointed(docs.withColumns({"size": F.col("size").cast("long"), "_row": F.monotonically_increasing_id()}))
+    others = row_struct(docs, "doc_id", "source", "size").alias("row")
+    docs = checkpointed(docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), others, F.monotonically_increasing_id().alias("_row")))
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sums = checkpointed(sums)
     targets = checkpointed(source_targets(sums.drop("_rows"), weights, share))
@@ -122,6 +123,8 @@ def mix(
     known = join_small(docs.alias("d"), targets.alias("t"), of_source).select("d.*", "source_no", "source_size", "target")
     total = sums.agg(F.sum("_rows").alias("rows"), F.sum("source_size").alias("words")).first()
     slots = int(round((total["words"] or 0) * share / block_words))
+    if slots > 1 << POINT_BITS:
+        raise ValueError(f"{slots} slots need more than {POINT_BITS} bits; take longer blocks")
     starts = _stream_starts(known.filter("size > 0"), total["rows"] or 0, seed, bucket_rows)
     block = F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))
     pieces = starts.withColumn("_block", block)
@@ -136,7 +139,7 @@ def mix(
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken`` (words in the mix, with repeats)."""
+    """One row per document: ``doc_id, source, size, row, source_size, target, taken`` (words in the mix, with repeats)."""
     pieces, known = mix(docs, **how)
     taken = pieces.groupBy("_row").agg(F.sum("length").alias("taken"))
     out = known.join(taken, "_row", "left")
@@ -149,12 +152,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     What the mix takes of the words of a document decides, so a source's words stay within a document of its
     target per pass. Documents without words are in no mix.
     """
-    key = F.xxhash64(*docs.columns)
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("_key"))
+    rows = docs.select(row_struct(docs).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), row_hash(docs).alias("key"))
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    taken = taken_words(sized, **how).groupBy("doc_id", "_key").agg(F.sum(copies).alias("_copies")).filter("_copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_taken"), "_copies")
-    met = docs.withColumn("_key", key).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_taken")))
+    taken = taken_words(rows.select("doc_id", "source", "size", "key"), **how)
+    taken = taken.groupBy("doc_id", F.col("row.key").alias("key")).agg(F.sum(copies).alias("copies")).filter("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("key").alias("taken_key"), "copies")
+    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("key") == F.col("taken_key")))
     # equal rows share the sum of their copies
-    once = met.dropDuplicates(["doc_id", "_key"])
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    once = met.dropDuplicates(["doc_id", "key"])
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

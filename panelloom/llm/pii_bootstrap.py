@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import SPACES, join_small
+from panelloom.llm.common import SPACES, join_small, row_struct
 from panelloom.session import checkpointed
 
 # Kinds in the order of results, and their patterns (with possessive quantifiers, where nothing can be given back).
@@ -187,10 +187,10 @@ def redact(docs: DataFrame) -> DataFrame:
     Only texts that hold a digit or ``@`` are shuffled to meet their spans.
     """
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    spans = find_spans(docs.filter(may)).filter(F.size("spans") > 0)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_hash"])
-    met = docs.filter(may).withColumn("_th", F.xxhash64("text"))
-    met = met.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left")
+    spans = find_spans(docs.filter(may).select("doc_id", "text")).filter(F.size("spans") > 0)
+    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), "spans").dropDuplicates(["span_id", "span_hash"])
+    met = docs.filter(may).select(row_struct(docs).alias("row"), F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
+    met = met.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("text_hash") == F.col("span_hash")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     in_order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -201,7 +201,9 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(s["stop"] <= done["at"], done).otherwise(longer)
 
     text = F.aggregate(in_order, begin, step, lambda done: F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int"))))
-    clean = met.withColumn("text", F.coalesce(text, "text"))
+    clean = met.select("row", F.coalesce(text, "text").alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns).unionByName(docs.filter(~may))
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    columns = [changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in docs.columns]
+    return clean.select(*columns).unionByName(docs.filter(~may))

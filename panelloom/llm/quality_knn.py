@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.common import arrow_schema, row_struct
+
 PAIRS = 1024
 #: Distances at which a word repeats; one more term counts repeated lines.
 REPEATS = (1, 2, 3)
@@ -136,17 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Laten
 
 
 def score(docs: DataFrame, model: LatentVotes) -> DataFrame:
-    """Add ``score`` to every row of ``docs`` in place of ``text``."""
+    """``row`` (all columns but ``text``) and ``score`` of every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    rows = docs.select(row_struct(docs, "text").alias("row"), "text")
+    spark_schema, schema = arrow_schema(rows.select("row"), "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _BLOCK):
                 block = batch.slice(at, _BLOCK)
-                counts = np.stack([term_counts(t.as_py()) for t in block.column(len(kept))])
-                columns = [*block.columns[: len(kept)], pa.array(sent.value.scores(counts))]
-                yield pa.record_batch(columns, names=[*kept, "score"])
+                counts = np.stack([term_counts(t.as_py()) for t in block.column(1)])
+                yield pa.record_batch([block.column(0).cast(schema[0].type), pa.array(sent.value.scores(counts))], schema=schema)
 
-    return docs.select(*kept, "text").mapInArrow(run, f"{fields}, score double")
+    return rows.mapInArrow(run, spark_schema)

@@ -72,7 +72,7 @@ def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
     labels = read(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").cast("int").alias("label"))
     scored = quality_knn.score(docs, quality_knn.fit(docs, labels))
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def _only(number: int):
@@ -125,30 +125,33 @@ URL_RULES = (
 )
 #: Hosts with one of these words in a label, between dots or hyphens, stand on the block list.
 LISTED = r"(^|[.-])(spam|pills|casino|adult|bets|ads)([.-]|$)"
+#: So does the address of a page whose title holds a run of marks.
+JUNK = r"<title>[^<]*(###|%%%|[*][*][*]|[$][$][$])"
 
 
 @query(
     "op10_url_filter",
     rf"""
-    WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-    h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    WITH p AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+    h AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
     r AS (SELECT *, CASE
         WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
-        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM h)
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM h),
+    l AS (SELECT host || path AS address, bool_or(coalesce(regexp_matches(html, '{JUNK}'), FALSE)) AS junk FROM h GROUP BY 1)
     SELECT page_id, host, path, rule, CASE
         WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-        WHEN regexp_matches(host, '{LISTED}') THEN 'block' ELSE 'allow' END AS verdict
-    FROM r
+        WHEN regexp_matches(host, '{LISTED}') OR junk THEN 'block' ELSE 'allow' END AS verdict
+    FROM r JOIN l ON l.address = r.host || r.path
     """,
 )
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_cascade.judge_urls(pages, URL_RULES, F.col("key").rlike(LISTED))
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    judged = url_cascade.judge_urls(pages, URL_RULES, lambda host, path: host.rlike(LISTED), lambda host, path: F.col("html").rlike(JUNK))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
 @query("op11_secret_links")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import join_small
+from panelloom.llm.common import join_small, row_struct
 from panelloom.llm.components import connected_components
 from panelloom.session import checkpointed
 
@@ -224,9 +224,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, one of each component: smallest doc_id, then smallest text hash; all columns stay."""
-    found = near_duplicates(docs, shingle, radius)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("no"), "text_hash", "doc_id")).alias("_k"))
-    kept = kept.select(F.col("_k.doc_id").alias("_id"), F.col("_k.text_hash").alias("_hash"))
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    joined = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    rows = docs.select(row_struct(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = near_duplicates(rows, shingle, radius)
+    no = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+    kept = found.groupBy("root").agg(F.min(F.struct(no.alias("no"), "text_hash", "doc_id")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    hashed = rows.select("row", "doc_id", F.xxhash64("text").alias("text_hash"))
+    joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "text_hash"]).select("row.*")

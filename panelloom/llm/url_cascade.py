@@ -1,4 +1,4 @@
-"""Url rules and exact block lists: longest host and path rule first, then a Bloom filter cascade over hosts.
+"""Url rules and exact block lists: longest host and path rule first, then a Bloom filter cascade over hosts and addresses.
 
 The cascade answers "is this key listed?" exactly for every key of the corpus, from a few bit arrays and without
 a join. Level 1 holds the listed keys. Level 2 holds the unlisted keys of the corpus that level 1 lets through,
@@ -6,30 +6,35 @@ level 3 the listed keys that level 2 lets through, and so on until a level lets
 decided by the first level that rejects it: odd levels reject unlisted keys, even ones listed keys.
 
 The universe of keys is all distinct keys of the corpus, so the answer is exact for them; a key from elsewhere
-gets an approximate answer. Bits are gathered per 64-bit word in Spark. The arrays are broadcast only up to
-``MAX_BITS``; a longer list is looked up by a join.
+gets an approximate answer. Keys are dealt by hash to as many cascades as it takes to keep the bits of each below
+``PART_BITS``, which is what a worker holds at a time and what is broadcast at once; more cascades are more passes over
+the urls. Bits are set in Spark and come to the driver as blocks of ``BLOCK_WORDS`` words.
 
-Null or malformed urls have an empty host and path, fit no rule, and are allowed unless the empty host is listed.
-Repeated rows are judged alike; other columns of the input stay as they are.
+Null or malformed urls have an empty host and path, fit no rule, and are allowed unless the empty key is listed.
+Repeated rows are judged alike. The row's own columns stay together in the struct ``row``, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import lower_ascii
+from panelloom.llm.common import lower_ascii, row_struct
 from panelloom.session import checkpointed
 
 BITS_PER_KEY = 10
 HASHES = 7
-MAX_BITS = 1 << 30
+PART_BITS = 1 << 28
+BLOCK_WORDS = 1 << 12
 MAX_LEVELS = 64
 _GOLDEN = 0x9E3779B97F4A7C15
+#: Of the columns host and path, a boolean column.
+Condition = Callable[[Column, Column], Column]
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -78,11 +83,17 @@ def _fill(keys: DataFrame, level: int, n: int) -> np.ndarray:
             ored = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
             yield pd.DataFrame({"word": word.astype(np.int64), "ored": ored.view(np.int64)})
 
-    rows = keys.select("low", "high").mapInPandas(words, "word long, ored long").groupBy("word").agg(F.bit_or("ored").alias("ored"))
-    out = np.zeros(bits // 64 + 1, np.uint64)
-    got = rows.toPandas()
-    out[got.word.to_numpy()] = got.ored.to_numpy(np.int64).view(np.uint64)
-    return out
+    def packed(block: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(BLOCK_WORDS, np.int64)
+        out[block["word"].to_numpy() % BLOCK_WORDS] = block["ored"].to_numpy()
+        return pd.DataFrame({"block": block["word"][:1] // BLOCK_WORDS, "words": [out.tobytes()]})
+
+    ored = keys.select("low", "high").mapInPandas(words, "word long, ored long").groupBy("word").agg(F.bit_or("ored").alias("ored"))
+    blocks = ored.groupBy(F.floor(F.col("word") / BLOCK_WORDS).alias("at")).applyInPandas(packed, "block long, words binary")
+    out = np.zeros((bits // 64 // BLOCK_WORDS + 1, BLOCK_WORDS), np.uint64)
+    for row in blocks.collect():  # PART_BITS in all
+        out[row["block"]] = np.frombuffer(row["words"], np.uint64)
+    return out.ravel()
 
 
 class BloomCascade:
@@ -130,6 +141,25 @@ class BloomCascade:
         return listed(F.xxhash64(key), F.xxhash64(F.lit(7), key))
 
 
+class PartedCascade:
+    """As many cascades as the listed keys need, each for the keys of one hash value. ``keys`` as for ``BloomCascade``."""
+
+    def __init__(self, keys: DataFrame):
+        n = keys.filter("listed").count()
+        self.parts = max(1, -(-n * BITS_PER_KEY // PART_BITS))
+        self.cascades = [BloomCascade(keys.filter(self._part(F.col("key")) == p) if self.parts > 1 else keys) for p in range(self.parts)]
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(13), key), F.lit(self.parts))
+
+    def with_membership(self, df: DataFrame, key: Column, name: str) -> DataFrame:
+        """Add whether the key is listed; the rows of a part meet the bits of that part alone."""
+        if self.parts == 1:
+            return df.withColumn(name, self.cascades[0].contains(df.sparkSession, key))
+        each = [df.filter(self._part(key) == p).withColumn(name, c.contains(df.sparkSession, key)) for p, c in enumerate(self.cascades)]
+        return reduce(DataFrame.unionByName, each)
+
+
 def _inside(low: pd.Series, high: pd.Series, level: int, bits: int, words: np.ndarray) -> np.ndarray:
     at = _positions(low.to_numpy(np.int64).view(np.uint64), high.to_numpy(np.int64).view(np.uint64), level, bits)
     return ((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
@@ -138,22 +168,31 @@ def _inside(low: pd.Series, high: pd.Series, level: int, bits: int, words: np.nd
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]],
-    is_listed: Column,
+    listed_host: Condition,
+    listed_address: Condition | None = None,
     url: str = "url",
 ) -> DataFrame:
-    """Add ``host``, ``path``, ``rule`` and ``verdict`` (``allow`` or ``block``) to every row.
+    """``row, host, path, rule, verdict`` (``allow`` or ``block``) of every row.
 
-    ``is_listed`` says of a distinct ``host`` whether the block list holds it; it is evaluated once per host.
+    A host, or an address (host and path), stands on the block list if one of its rows meets its condition, a function
+    of the columns host and path that may look at the columns of ``pages`` as well.
     """
-    host, path = url_parts(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path})
+    host, path = url_parts(F.col(f"`{url}`"))
+    never = F.lit(False)
+    on_list = [F.coalesce(listed_host(host, path), never), F.coalesce(listed_address(host, path), never) if listed_address else never]
+    parts = pages.select(host.alias("host"), path.alias("path"), F.array(*on_list).alias("listed"))
+    keys = F.array(*[F.struct(k.alias("key"), F.get("listed", F.lit(i)).alias("listed")) for i, k in enumerate(_keys())][: 2 if listed_address else 1])
+    keys = checkpointed(parts.select(F.inline(keys)).groupBy("key").agg(F.bool_or("listed").alias("listed")))
+    cascade = PartedCascade(keys)
+    rows = pages.select(row_struct(pages).alias("row"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    keys = rows.groupBy(F.col("host").alias("key")).agg(F.lit(1)).select("key")
-    keys = checkpointed(keys.withColumn("listed", F.coalesce(is_listed, F.lit(False))))
-    if keys.filter("listed").limit(MAX_BITS // BITS_PER_KEY + 1).count() > MAX_BITS // BITS_PER_KEY:
-        rows = rows.join(keys.withColumnRenamed("key", "host"), "host", "left")
-        blocked = F.coalesce(F.col("listed"), F.lit(False))
-    else:
-        blocked = BloomCascade(keys).contains(pages.sparkSession, F.col("host"))
-    own = F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.withColumn("_own", own).withColumns({"rule": rule, "verdict": F.coalesce(verdict, "_own")}).drop("_own", "listed")
+    of_host, of_address = _keys()
+    rows = cascade.with_membership(rows, of_host, "host_listed")
+    rows = cascade.with_membership(rows, of_address, "address_listed") if listed_address else rows.withColumn("address_listed", never)
+    own = F.when(F.col("host_listed") | F.col("address_listed"), F.lit("block")).otherwise(F.lit("allow"))
+    return rows.select("row", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
+
+
+def _keys() -> tuple[Column, Column]:
+    """The key of a host and that of an address; a host holds no space."""
+    return F.concat(F.lit("host "), F.col("host")), F.concat(F.lit("address "), F.col("host"), F.col("path"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import mixing, quality_knn, sharding, simhash, topk_kdtree, url_cascade
+from panelloom.llm import mixing, pii_bootstrap, quality_knn, quality_outliers, sharding, simhash, topk_kdtree, url_cascade
 from panelloom.llm.common import n_words
 from panelloom.llm.components import connected_components, contractions
 from panelloom.llm.queries import LISTED, ORACLES, QUERIES, URL_RULES
@@ -124,6 +124,45 @@ def test_topk_edges(sp):
     assert topk_kdtree.top_k(topk_kdtree.usable(df.limit(0)), F.col("id") % 50 == 0).count() == 0
 
 
+def test_topk_sends_clustered_queries_to_few_shards(sp):
+    """Queries meet the shards whose box can reach their k-th score; a hot vector is dealt out in pieces."""
+    rng = np.random.default_rng(7)
+    centres = np.eye(8) * 20
+    rows = [(i, (centres[i % 8] + rng.normal(size=8) * 0.05).tolist()) for i in range(4000)]
+    rows += [(10_000 + i, [30.0] + [0.0] * 7) for i in range(3000)]  # one vector three thousand times
+    df = sp.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    usable = topk_kdtree.usable(df)
+    plan = topk_kdtree.ShardPlan(usable, 500)
+    dealt = plan.dealt(usable).cache()
+    plan.measure(dealt, 500)
+    sizes = {r["s"]: r["count"] for r in dealt.groupBy(plan.shard(F.col("_leaf"), F.col("_row")).alias("s")).count().collect()}
+    assert plan.shards >= 14 and set(sizes) <= set(range(plan.shards)) and max(sizes.values()) <= 1000
+    queries = dealt.filter(F.col("id") % 50 == 0).drop("_leaf").withColumn("_floor", F.lit(19.0 * 20 * 256 * 256))
+    first, rest = plan.sent(queries, False).count(), plan.sent(queries, True).count()
+    assert first == queries.count() == 140
+    # the seven other clusters cannot reach the score; the pieces of the hot vector and its cluster can
+    assert rest < 0.5 * first * (plan.shards - 1)
+    got = sorted((r.query_id, r["rank"], r.score, r.id) for r in topk_kdtree.top_k(usable, F.col("id") % 50 == 0, 5, 500).collect())
+    whole = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    ids = np.array([i for i, _ in rows])
+    want = []
+    for at in np.flatnonzero(ids % 50 == 0):
+        scores = whole @ whole[at]
+        best = [j for j in np.lexsort((ids, -scores)) if ids[j] != ids[at]][:5]
+        want += [(int(ids[at]), n + 1, int(scores[j]), int(ids[j])) for n, j in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_topk_bounds_hold_for_large_sums():
+    rng = np.random.default_rng(8)
+    for size in (1.0, 2.0**30, 1e100):
+        vectors = np.floor(rng.normal(size=(200, 6)) * size * 1000)
+        queries = np.floor(rng.normal(size=(20, 6)) * size * 1000)
+        bounds = topk_kdtree.box_bounds(queries, vectors.min(axis=0)[None], vectors.max(axis=0)[None])[:, 0]
+        exact = [max(sum(int(a) * int(b) for a, b in zip(v, q, strict=True)) for v in vectors) for q in queries]
+        assert all(b >= e for b, e in zip(bounds.tolist(), exact, strict=True))
+
+
 def test_topk_with_huge_components(sp):
     df = sp.createDataFrame([(0, [1e30, 1.0]), (1, [1e3, 2.0]), (2, [-1e30, 0.0]), (50, [3.0, 4.0])], "vec_id bigint, embedding array<double>")
     got = {(r.query_id, r["rank"]): (r.id, r.score) for r in topk_kdtree.top_k(topk_kdtree.usable(df), F.col("id") % 50 == 0).collect()}
@@ -148,7 +187,7 @@ def test_votes_edges(sp, documents):
     model = quality_knn.fit(docs, labels)
     scored = quality_knn.score(docs, model).collect()
     assert len(scored) == len(EDGES) and all(0 <= r.score <= 1 for r in scored)
-    got = {r.doc_id: r.score for r in scored}
+    got = {r.row.doc_id: r.score for r in scored}
     assert got[1] == got[2] == 0.5 and got[4] > 0.5 > got[6]
     # plain: cosines to all labelled vectors, votes of the nearest
     texts = {r[0]: r[1] for r in EDGES}
@@ -163,6 +202,26 @@ def test_votes_edges(sp, documents):
     assert {r.score for r in quality_knn.score(docs, empty).collect()} == {0.5}
 
 
+CLASHES = ["spans", "row", "_id", "_th", "_copies", "target", "source_no", "score", "listed", "ids", "taken", "kept_id", "key", "text_hash", "size", "copies", "base", "start", "path", "kind", "_row", "component_id"]
+
+
+def test_own_columns_of_any_name_and_kind_come_through(sp):
+    """Stages and operators keep columns whose names they use themselves, and columns of maps."""
+    extra = [F.lit(f"own {c}").alias(c) for c in CLASHES] + [F.create_map(F.lit("a"), F.col("doc_id")).alias("m")]
+    texts = ["one two three four five six seven eight nine ten a@b.org", "one two three four five six seven eight nine ten a@b.org", "other words stand here and go on for some time to be read", None, ""]
+    docs = sp.createDataFrame([(i, t, "en", "s", 5) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").select("*", *extra)
+    own = [f"own {c}" for c in CLASHES]
+    for stage in (simhash.keep_one, pii_bootstrap.redact, mixing.mixed_documents, quality_outliers.keep_good):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, stage
+        assert all([r[c] for c in CLASHES] == own and r.m == {"a": r.doc_id} for r in out.collect()), stage
+    sized = docs.drop("size").withColumn("size", F.lit(70))
+    rows = mixing.taken_words(sized).collect()
+    assert len(rows) == 5 and all(r.row.target == "own target" and r.row.taken == "own taken" for r in rows)
+    scored = quality_knn.score(docs, quality_knn.fit(docs, sp.createDataFrame([(0, 1), (2, 0)], "doc_id bigint, label int"))).collect()
+    assert all(r.row.score == "own score" and 0 <= r.score <= 1 for r in scored)
+
+
 def test_mix(sp, documents):
     rng = np.random.default_rng(6)
     rows = [(i, "w " * int(rng.integers(1, 200)), "en", [None, "a", "b", "c", "d"][min(4, int(rng.integers(0, 12)))]) for i in range(800)] + EDGES
@@ -237,14 +296,33 @@ def test_large_hypergeometric_draws():
 def test_url_rules_and_cascade(sp):
     urls = [None, "", "nohost", "http://", "HTTP://WWW.Example.COM/en/x?q#f", "https://a.example.com/en/", "http://x.net/es/a", "http://x.net/fr", "://com", "http://com/", "http://spam-farm.org#x", "http://É.org/a?b"]
     pages = sp.createDataFrame([(i, u, "extra") for i, u in enumerate(urls + [f"http://h{i}.org/{i}" for i in range(500)] + [f"http://spam-{i}.org/" for i in range(200)])], "page_id bigint, url string, key string")
-    rows = {r.page_id: r for r in url_cascade.judge_urls(pages, URL_RULES, F.col("key").rlike(LISTED)).collect()}
+    def on_list(host, path):
+        return host.rlike(LISTED)
+
+    rows = {r.row.page_id: r for r in url_cascade.judge_urls(pages, URL_RULES, on_list).collect()}
     assert [(rows[i].host, rows[i].path, rows[i].rule, rows[i].verdict) for i in range(len(urls))] == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
         ("www.example.com", "/en/x", "www.example.com/en/", "allow"), ("a.example.com", "/en/", "example.com/en/", "block"), ("x.net", "/es/a", "net/es/", "block"),
         ("x.net", "/fr", None, "allow"), ("com", "", None, "allow"), ("com", "/", "com/", "allow"), ("spam-farm.org", "", None, "block"), ("É.org", "/a", None, "allow"),
     ]
     assert all(rows[i].verdict == "allow" for i in range(12, 512)) and all(rows[i].verdict == "block" for i in range(512, 712))
-    assert url_cascade.judge_urls(pages.limit(0), URL_RULES, F.col("key").rlike(LISTED)).count() == 0
+    assert url_cascade.judge_urls(pages.limit(0), URL_RULES, on_list).count() == 0
+    assert url_cascade.judge_urls(pages.union(pages), URL_RULES, on_list).count() == 2 * len(rows)
+
+
+@pytest.mark.parametrize("part_bits", [1 << 28, 900])
+def test_addresses_listed_by_content_in_any_number_of_cascades(sp, monkeypatch, part_bits):
+    monkeypatch.setattr(url_cascade, "PART_BITS", part_bits)
+    rows = [(i, f"http://h{i % 7}.org/{i % 450}?{i}", None if i % 11 == 0 else "junk" if i % 450 % 3 == 0 and i < 450 else "fine", "own", "column") for i in range(900)]
+    pages = sp.createDataFrame(rows, "page_id bigint, url string, html string, host string, listed string")
+    listed = {f"h{i % 7}.org/{i % 450}" for i, _, html, *_ in rows if html == "junk"}
+    judged = url_cascade.judge_urls(pages, (), lambda host, path: host == "h3.org", lambda host, path: F.col("html") == "junk").collect()
+    assert len(judged) == len(rows)
+    assert all((r.verdict == "block") == (r.host == "h3.org" or r.host + r.path in listed) for r in judged)
+    assert {r.row.host for r in judged} == {"own"} and {r.row.listed for r in judged} == {"column"}
+    if part_bits == 900:
+        keys = sp.createDataFrame([(f"k{i}", i % 2 == 0) for i in range(600)], "key string, listed boolean")
+        assert url_cascade.PartedCascade(keys).parts == 4
 
 
 def test_cascade_is_exact_with_many_levels(sp, monkeypatch):
