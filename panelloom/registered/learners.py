@@ -114,9 +114,9 @@ def learner_train_all(spark, sf_dir):
 @query(
     "learner_backtest",
     "P10 B07",
-    f"""WITH {_COMPLETE}, i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS at, count(*) OVER (PARTITION BY series_id) AS size FROM cc)
-        SELECT series_id, CAST((at - 504) // 30 AS INTEGER) AS fold_id, CAST(date AS VARCHAR) AS date, value AS actual, 'elastic_net' AS model, TRUE AS predicted, CAST(0 AS BIGINT) AS failed_folds
-        FROM i WHERE at >= 504 AND 504 + 30 * ((at - 504) // 30) + 30 <= size""",
+    f"""WITH {_COMPLETE}, pn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS size FROM cc)
+        SELECT series_id, CAST((pos - 504) // 30 AS INTEGER) AS fold_id, CAST(date AS VARCHAR) AS date, value AS actual, 'elastic_net' AS model, TRUE AS predicted, CAST(0 AS BIGINT) AS failed_folds
+        FROM pn WHERE pos >= 504 AND 504 + 30 * ((pos - 504) // 30) + 30 <= size""",
 )
 def learner_backtest(spark, sf_dir):
     """The linear learner over all folds."""
