@@ -1,20 +1,23 @@
 """Token-id files: frequency-ranked ids in a byte-aligned variable-length code with separate control bytes.
 
-A block holds the ids of some whole documents, at least ``BLOCK_IDS`` of them but for the last of a part. Every id is
-replaced by its rank in order of falling frequency over the block, ties by id, so that the commonest ids take one
-byte. A block has a control stream with two bits per id (its byte count less one, four ids to a byte), a data stream
-of the little-endian bytes, and the id of each rank. Decoding looks the control bytes up in a table of byte counts,
-sums them to offsets, gathers the data bytes and looks the ranks up in the id table, all in numpy. Ranks are taken
-per block because a ranking of the whole corpus would tokenize every text twice or store all ids twice.
-
-Parquet is the container: ``part, block, first, n_ids, doc_ids, counts, ids, control, data``. Parts are ranges of
-doc_id and blocks follow doc_id inside a part, so reading by ``part, block`` gives documents in ascending order.
-``first`` is the number of ids before the block in its part.
+Every text is tokenized once, where it is read, and its ids are stored. Their frequencies over the whole corpus, summed
+on the map side, rank them: order of falling frequency, ties by id, so that the commonest ids take one byte in every
+file. The ranking has a row for each id of the vocabulary at most. The ids, not the texts, are then put in order of
+doc_id and written in blocks of whole documents, of at least ``BLOCK_IDS`` ids but for the last of a part. A block has a
+control stream with two bits per id (its byte count less one, four ids to a byte) and a data stream of the little-endian
+bytes of the ranks. Decoding looks the control bytes up in a table of byte counts, sums them to offsets, gathers the data
+bytes and looks the ranks up in the ranking, all in numpy.
+
+Parquet is the container, in three folders: ``coded`` (``doc_id, tie, ids``), ``ranking`` (``rank, id``) and ``blocks``
+(``part, block, first, n_ids, doc_ids, counts, control, data``). Parts are ranges of doc_id and blocks follow doc_id
+inside a part, so reading by ``part, block`` gives documents in ascending order. ``first`` is the number of ids before
+the block in its part. The number of parts follows from the number of ids.
 
 Text is split at ASCII white space, which no token of the tokenizer spans, and words that were seen before come
 from bounded caches. Null text counts as empty and gives the end id alone. Null doc_ids come first; rows with
-the same doc_id are ordered by text, and equal rows are kept. An empty table gives empty files. A document is
-never split over blocks, so a task holds one block and one document at a time.
+the same doc_id are ordered by a hash of their text, and equal rows are kept. An empty table gives empty files. A
+document is never split over blocks, so a task holds one block and one document at a time. Only ``doc_id`` and ``text``
+are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -37,7 +40,9 @@ END_ID = 2
 BLOCK_IDS = 1 << 21
 CACHED_WORDS = 500_000
 CACHED_CHARS = 48
-BLOCK_SCHEMA = "part int, block long, first long, n_ids long, doc_ids array<long>, counts array<long>, ids binary, control binary, data binary"
+#: Ids of a part of the largest corpora; smaller ones have more parts, of a block at least.
+PART_IDS = 1 << 25
+BLOCK_SCHEMA = "part int, block long, first long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary"
 # The text steps of the tokenizer file that are done here, and its runs within Latin-1.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -132,50 +137,79 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids in order of falling frequency, ties by id, and the rank of each given id."""
-    counts = np.bincount(ids)
-    table = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype("<u4")
-    rank = np.zeros(len(counts), np.uint32)
-    rank[table] = np.arange(len(table))
-    return table, rank[ids]
+def _coded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """``doc_id, tie, ids``: the ids of every row as little-endian unsigned 32-bit integers, the end id last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for low in range(0, batch.num_rows, _ROWS):
+                some = batch.slice(low, _ROWS)
+                ids = [encode(text.as_py()) + end for text in some.column(2)]
+                yield pa.record_batch([some.column(0), some.column(1), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
+def ranking(coded: DataFrame) -> np.ndarray:
+    """All ids of the corpus in order of falling frequency, ties by id; what comes to the driver is bounded by the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(counts))
+                found[: len(counts)] += counts
+                counts = found
+        seen = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
+
+    summed = coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return np.array([r["id"] for r in summed.orderBy(F.desc("n"), "id").collect()], "<u4")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of ``doc_id, text`` rows in ascending doc_id order, each document followed by ``end_id``."""
+    spark = docs.sparkSession
+    _coded(docs, tokenizer_path, end_id).write.parquet(f"{folder}/coded")
+    coded = spark.read.parquet(f"{folder}/coded")
+    table = ranking(coded)
+    spark.createDataFrame(list(enumerate(table.tolist())), "rank long, id long").write.parquet(f"{folder}/ranking")
+    rank = np.zeros(int(table.max(initial=0)) + 1, np.uint32)
+    rank[table] = np.arange(len(table))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_path)
         part, block, first, held = TaskContext.get().partitionId(), 0, 0, 0
         names: list[int | None] = []
-        coded: list[bytes] = []
-        end = np.array([end_id], "<u4").tobytes()
+        ids: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
-            table, ranks = ranked(np.frombuffer(b"".join(coded), "<u4"))
-            control, data = pack(ranks)
-            values = [part, block, first, held, names, [len(c) // 4 for c in coded], table.tobytes(), control, data]
+            values = [part, block, first, held, names, list(map(len, ids)), *pack(rank[np.concatenate(ids)])]
             return pa.record_batch([pa.array([v], t.type) for v, t in zip(values, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, found in zip(batch.column(0), batch.column(1), strict=True):
                 names.append(doc_id.as_py())
-                coded.append(encode(text.as_py()) + end)
-                held += len(coded[-1]) // 4
+                ids.append(np.frombuffer(found.as_buffer(), "<u4"))
+                held += len(ids[-1])
                 if held >= block_ids:
                     yield row()
-                    block, first, held, names, coded = block + 1, first + held, 0, [], []
+                    block, first, held, names, ids = block + 1, first + held, 0, [], []
         if names:
             yield row()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(folder)
+    total = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    parts = max(-(-total // (4 * PART_IDS)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * block_ids))), 1)
+    ordered = coded.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
 
 
 _BLOCK = pa.schema(
-    [("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("control", pa.binary()), ("data", pa.binary())]
+    [("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())]
 )
+#: Rows whose ids are handed on at a time.
+_ROWS = 1000
 
 
 def read_token_files(spark: SparkSession, folder: str, per_document: Callable[[np.ndarray], list] | None = None, fields: str = "ids array<long>") -> DataFrame:
@@ -183,7 +217,8 @@ def read_token_files(spark: SparkSession, folder: str, per_document: Callable[[n
 
     ``start`` is the number of ids of all documents before it.
     """
-    stored = spark.read.parquet(folder)
+    stored = spark.read.parquet(f"{folder}/blocks")
+    table = np.array([r["id"] for r in spark.read.parquet(f"{folder}/ranking").orderBy("rank").collect()], "<u4")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     parts = parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -195,7 +230,7 @@ def read_token_files(spark: SparkSession, folder: str, per_document: Callable[[n
         for batch in batches:
             for i in range(batch.num_rows):
                 b = batch.slice(i, 1).to_pylist()[0]
-                ids = np.frombuffer(b["ids"], "<u4")[unpack(b["control"], b["data"], b["n_ids"])]
+                ids = table[unpack(b["control"], b["data"], b["n_ids"])]
                 counts = np.array(b["counts"], np.int64)
                 at = np.cumsum(counts) - counts
                 each = [ids[a : a + n] for a, n in zip(at, counts, strict=True)]
@@ -203,7 +238,7 @@ def read_token_files(spark: SparkSession, folder: str, per_document: Callable[[n
                 rows = [b["doc_ids"], (b["_before"] + b["first"] + at).tolist(), b["counts"], *map(list, zip(*made, strict=True))]
                 yield pa.record_batch([pa.array(r, t.type) for r, t in zip(rows, arrow, strict=True)], schema=arrow)
 
-    return stored.select("_before", "first", "n_ids", "doc_ids", "counts", "ids", "control", "data").mapInArrow(documents, schema)
+    return stored.select("_before", "first", "n_ids", "doc_ids", "counts", "control", "data").mapInArrow(documents, schema)
 
 
 def ids_crc32(ids: np.ndarray) -> list[int]:

@@ -201,5 +201,15 @@ def test_token_files(sp, documents):
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    # one ranking for all blocks: falling frequency over the whole corpus, ties by id
+    counts = {}
+    for _, text, *_ in EDGES:
+        for i in [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, 2]:
+            counts[i] = counts.get(i, 0) + 1
+    ranking = [r.id for r in sp.read.parquet(f"{folder}/ranking").orderBy("rank").collect()]
+    assert ranking == sorted(counts, key=lambda i: (-counts[i], i))
+    blocks = sp.read.parquet(f"{folder}/blocks").collect()
+    assert len(blocks) > 3 and sum(b.n_ids for b in blocks) == sum(counts.values())
+    assert all(max(token_files.unpack(b.control, b.data, b.n_ids)) < len(ranking) for b in blocks)
     token_files.write_token_files(documents([]), f"{folder}-none", path)
     assert token_files.read_token_files(sp, f"{folder}-none").count() == 0
