@@ -100,28 +100,26 @@ def model_kind(path: str) -> int:
 
 
 class _Cache(dict):
-    """A dict that makes what it misses. When its keys and values pass a number of bytes, what was not asked for since
-    the last time it was so is forgotten."""
+    """A dict that makes what it misses. When what it holds passes a number of bytes, it starts afresh beside the old one,
+    and what is not asked for until the next time is forgotten. Keys above ``LONG_UNIT`` are not kept."""
 
     def __init__(self, make: Callable[[str], bytes], most: int):
         self.make, self.most, self.held, self.older = make, most // 2, 0, {}
 
-    def keep(self, key: str, value: bytes) -> None:
-        size = 200 + 4 * len(key) + len(value)
-        if size > self.most // 64:
-            return
-        if self.held + size > self.most:
+    def add(self, made: dict[str, bytes]) -> None:
+        self.update(made)
+        self.held += 200 * len(made) + 4 * sum(map(len, made)) + sum(map(len, made.values()))
+        if self.held > self.most:
             self.older = dict(self)
             self.clear()
             self.held = 0
-        self[key] = value
-        self.held += size
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        self.keep(key, value)
+        if len(key) <= LONG_UNIT:
+            self.add({key: value})
         return value
 
 
@@ -380,20 +378,12 @@ class PieceModel:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that are already normalized."""
         units = [self.units.findall(t) for t in texts]
-        here = dict.fromkeys(set().union(*units), b"")
         known, many = self.unit_ids, self.merged_many if self.kind == _BPE else self.best_of_many
-        fresh = []
-        for unit in here:
-            if unit in known or unit in known.older or len(unit) > LONG_UNIT:
-                here[unit] = known[unit]
-            else:
-                fresh.append(unit)
+        fresh = [u for u in set().union(*units).difference(known) if u not in known.older and len(u) <= LONG_UNIT]
         for i in range(0, len(fresh), AT_ONCE):
             some = fresh[i : i + AT_ONCE]
-            for unit, ids in zip(some, many(some), strict=True):
-                here[unit] = ids
-                known.keep(unit, ids)
-        return [np.frombuffer(b"".join(map(here.__getitem__, found)), "<i4") for found in units]
+            known.add(dict(zip(some, many(some), strict=True)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, found)), "<i4") for found in units]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

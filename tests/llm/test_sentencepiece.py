@@ -115,6 +115,8 @@ def test_the_cache_is_bounded_in_bytes():
     for i in range(10_000):
         assert cache[f"u{i}"] == f"u{i}".encode() and cache["often"] == b"often"
         assert cache.held <= 50_000 and len(cache) + len(cache.older) < 500
+    cache.add({f"v{i}": b"" for i in range(300)})
+    assert len(cache) + len(cache.older) < 700 and cache["v7"] == b""
     assert made.count("often") == 1
     assert cache["x" * 5000] and "x" * 5000 not in cache
 
