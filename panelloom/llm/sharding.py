@@ -8,7 +8,8 @@ the rows are exchanged, and each shard puts what it got in random order. Shard s
 The rows of a partition are written with their partition and place before any count is taken, so a lost
 executor cannot change what the counts were taken of. Ranks inside a partition or shard come from counts of
 random-key buckets, so no window holds more than a bucket. Equal rows, null and empty texts are rows like any
-other. An empty table gives no rows. The draw is a function of the seed and of the partition sizes.
+other. An empty table gives no rows. The draw is a function of the seed and of the partition sizes: where the files of
+the input are split differently, rows come to other shards, by the same law and with the same sizes.
 """
 
 from __future__ import annotations
