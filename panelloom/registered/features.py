@@ -243,19 +243,37 @@ _ALL = {
 }
 
 
-@query(
-    "feature_full_set",
-    "G01 G02 G03 G04 G05 G13 G15 G16 G17 G18",
-    _on_returns_sql(_ALL, 2, TICKS, "p0", "cleaned"),
-)
+_RUNS = ["consecutive_direction", "consecutive_direction_lag1"]
+_FULL_ITEMS = "G01 G02 G03 G04 G05 G07 G08 G09 G10 G11 G12 G13 G14 G15 G16 G17 G18 G19 G20"
+
+
+def _full_sql(source: str, table: str) -> str:
+    """Every feature of the default set: one window each, weighted deviations by pairs and runs by islands beside them."""
+    runs = f"""WITH g AS (SELECT *, sign(return_1d) AS s FROM r),
+  b AS (SELECT *, CASE WHEN s = lag(s) OVER w THEN 0 ELSE 1 END AS starts FROM g WINDOW {_W}),
+  i AS (SELECT *, sum(starts) OVER w AS run FROM b WINDOW {_W}),
+  c AS (SELECT series_id, date, CAST(row_number() OVER (PARTITION BY series_id, run ORDER BY date) * s AS DOUBLE) AS consecutive_direction FROM i)
+  SELECT *, lag(consecutive_direction) OVER (PARTITION BY series_id ORDER BY date) AS consecutive_direction_lag1 FROM c"""
+    inner = ", ".join(f"{e} AS {n}" for n, e in {**_ALL, **_CALENDAR}.items())
+    return f"""WITH {source}, {clean_sql(table)}, {_RETURNS_CTE.format(stage='cleaned')},
+        al AS (SELECT series_id, date, return_1d, return_5d, return_20d, {inner} FROM r WINDOW {_W}), ew AS (WITH {_EWM} SELECT * FROM f), ru AS ({runs})
+        SELECT al.series_id, CAST(al.date AS VARCHAR) AS date, {rounded_sql([*_ALL, *_RETURNS, 'volatility_ewm_14'], 2)}, {', '.join(_CALENDAR)}, {', '.join(_RUNS)}
+        FROM al JOIN ew ON ew.series_id = al.series_id AND ew.date = al.date JOIN ru ON ru.series_id = al.series_id AND ru.date = al.date"""
+
+
+def _full_set(panel):
+    df = features.generate(clean(panel))
+    numbers = [*_ALL, *_RETURNS, "volatility_ewm_14"]
+    return rounded(df.select("series_id", day(), *numbers, *_CALENDAR, *_RUNS), numbers, 2)
+
+
+@query("feature_full_set", _FULL_ITEMS, _full_sql(TICKS, "p0"))
 def feature_full_set(spark, sf_dir):
-    """The whole default feature set in one plan; run lengths, weighted volatility and calendar have queries of their own."""
-    df = features.generate(clean(order_ticks(spark, sf_dir)))
-    return rounded(df.select("series_id", day(), *_ALL), list(_ALL), 2)
+    """The whole default feature set in one plan."""
+    return _full_set(order_ticks(spark, sf_dir))
 
 
-@query("feature_full_set_wide", "G01 G02 G03 G04 G05 G13 G15 G16 G17 G18", _on_returns_sql(_ALL, 2, SHIPMENTS, "p2", "cleaned"))
+@query("feature_full_set_wide", _FULL_ITEMS, _full_sql(SHIPMENTS, "p2"))
 def feature_full_set_wide(spark, sf_dir):
     """The whole default feature set of all supplier series."""
-    df = features.generate(clean(daily_shipments(spark, sf_dir)))
-    return rounded(df.select("series_id", day(), *_ALL), list(_ALL), 2)
+    return _full_set(daily_shipments(spark, sf_dir))

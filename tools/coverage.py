@@ -8,7 +8,7 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-# items that write files or only choose columns, so a test covers them instead of a query
+# items that write files or only choose columns, which a test covers beside the query
 TESTED = {
     "S02": ("sources.readers.scan", "tests/test_loading.py"),
     "S08": ("sources.writers.save_processed", "tests/test_loading.py"),
