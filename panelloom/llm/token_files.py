@@ -1,23 +1,23 @@
 """Token-id files: frequency-ranked ids in a byte-aligned variable-length code with separate control bytes.
 
-Every text is tokenized once, where it is read, and its ids are stored. Their frequencies over the whole corpus, summed
-on the map side, rank them: order of falling frequency, ties by id, so that the commonest ids take one byte in every
-file. The ranking has a row for each id of the vocabulary at most. The ids, not the texts, are then put in order of
-doc_id and written in blocks of whole documents, of at least ``BLOCK_IDS`` ids but for the last of a part. A block has a
-control stream with two bits per id (its byte count less one, four ids to a byte) and a data stream of the little-endian
-bytes of the ranks. Decoding looks the control bytes up in a table of byte counts, sums them to offsets, gathers the data
-bytes and looks the ranks up in the ranking, all in numpy.
-
-Parquet is the container, in three folders: ``coded`` (``doc_id, tie, ids``), ``ranking`` (``rank, id``) and ``blocks``
+Texts are put in order of doc_id and tokenized once; their ids are stored in blocks of whole documents, of at least
+``BLOCK_IDS`` ids but for the last of a part, each with the counts of its ids. The counts, summed over all blocks, rank
+the ids of the whole corpus: order of falling frequency, ties by id, so that the commonest ids take one byte in every
+block. The ranking has a row for each id of the vocabulary at most. Then every block is written again in ranks: a control
+stream with two bits per id (its byte count less one, four ids to a byte) and a data stream of little-endian bytes.
+Decoding looks the control bytes up in a table of byte counts, sums them to offsets, gathers the data bytes and looks the
+ranks up in the ranking, all in numpy.
+
+Parquet is the container, in three folders: ``plain`` (blocks of ids as they are), ``ranking`` (``rank, id``) and ``blocks``
 (``part, block, first, n_ids, doc_ids, counts, control, data``). Parts are ranges of doc_id and blocks follow doc_id
 inside a part, so reading by ``part, block`` gives documents in ascending order. ``first`` is the number of ids before
-the block in its part. The number of parts follows from the number of ids.
+the block in its part.
 
 Text is split at ASCII white space, which no token of the tokenizer spans, and words that were seen before come
 from bounded caches. Null text counts as empty and gives the end id alone. Null doc_ids come first; rows with
-the same doc_id are ordered by a hash of their text, and equal rows are kept. An empty table gives empty files. A
-document is never split over blocks, so a task holds one block and one document at a time. Only ``doc_id`` and ``text``
-are read, so other columns cannot clash.
+the same doc_id are ordered by text, and equal rows are kept. An empty table gives empty files. A document is
+never split over blocks, so a task holds one block and one document at a time. Only ``doc_id`` and ``text`` are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -40,9 +40,12 @@ END_ID = 2
 BLOCK_IDS = 1 << 21
 CACHED_WORDS = 500_000
 CACHED_CHARS = 48
-#: Ids of a part of the largest corpora; smaller ones have more parts, of a block at least.
-PART_IDS = 1 << 25
-BLOCK_SCHEMA = "part int, block long, first long, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary"
+_PLACE = [("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
+_PLAIN = pa.schema([*_PLACE, ("width", pa.int32()), ("ids", pa.binary()), ("seen", pa.binary()), ("times", pa.binary())])
+_BLOCK = pa.schema([*_PLACE, ("control", pa.binary()), ("data", pa.binary())])
+_PLACE_SCHEMA = "part int, block long, first long, n_ids long, doc_ids array<long>, counts array<long>"
+PLAIN_SCHEMA = f"{_PLACE_SCHEMA}, width int, ids binary, seen binary, times binary"
+BLOCK_SCHEMA = f"{_PLACE_SCHEMA}, control binary, data binary"
 # The text steps of the tokenizer file that are done here, and its runs within Latin-1.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -120,9 +123,17 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     four[: len(ranks)] = codes
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) <= codes[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    four = four.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    ends = np.cumsum(codes.astype(np.int64) + 1)
+    at = ends - codes - 1
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    parts = ranks.view(np.uint8).reshape(-1, 4)
+    data[at] = parts[:, 0]
+    for k in range(1, 4):
+        wide = np.flatnonzero(codes >= k)
+        data[at[wide] + k] = parts[wide, k]
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -137,79 +148,75 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def _coded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """``doc_id, tie, ids``: the ids of every row as little-endian unsigned 32-bit integers, the end id last."""
+def _plain(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int, parts: int) -> DataFrame:
+    """Blocks of ids in order of doc_id, with the counts of their ids."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = word_encoder(tokenizer_path)
+        width = 2 if max(encode.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+        part, block, first, held = TaskContext.get().partitionId(), 0, 0, 0
+        names: list[int | None] = []
+        coded: list[bytes] = []
+        end = np.array([end_id], "<u4").tobytes()
+
+        def row() -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(coded), "<u4")
+            times = np.bincount(ids)
+            seen = np.flatnonzero(times)
+            values = [part, block, first, held, names, [len(c) // 4 for c in coded], width, ids.astype(f"<u{width}").tobytes(), seen.tobytes(), times[seen].tobytes()]
+            return pa.record_batch([pa.array([v], t.type) for v, t in zip(values, _PLAIN, strict=True)], schema=_PLAIN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, _ROWS):
-                some = batch.slice(low, _ROWS)
-                ids = [encode(text.as_py()) + end for text in some.column(2)]
-                yield pa.record_batch([some.column(0), some.column(1), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                names.append(doc_id.as_py())
+                coded.append(encode(text.as_py()) + end)
+                held += len(coded[-1]) // 4
+                if held >= block_ids:
+                    yield row()
+                    block, first, held, names, coded = block + 1, first + held, 0, [], []
+        if names:
+            yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    return ordered.mapInArrow(blocks, PLAIN_SCHEMA)
 
 
-def ranking(coded: DataFrame) -> np.ndarray:
+def ranking(plain: DataFrame) -> np.ndarray:
     """All ids of the corpus in order of falling frequency, ties by id; what comes to the driver is bounded by the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1, np.int64)
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(counts))
-                found[: len(counts)] += counts
-                counts = found
-        seen = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
-
-    summed = coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for seen, times in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.record_batch([pa.array(np.frombuffer(c.as_buffer(), np.int64)) for c in (seen, times)], names=["id", "n"])
+
+    summed = plain.select("seen", "times").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return np.array([r["id"] for r in summed.orderBy(F.desc("n"), "id").collect()], "<u4")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Write the ids of ``doc_id, text`` rows in ascending doc_id order, each document followed by ``end_id``."""
+def write_token_files(
+    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, parts: int | None = None
+) -> None:
+    """Write the ids of ``doc_id, text`` rows in ascending doc_id order, each document followed by ``end_id``.
+
+    ``parts`` is by default the session's number of shuffle partitions.
+    """
     spark = docs.sparkSession
-    _coded(docs, tokenizer_path, end_id).write.parquet(f"{folder}/coded")
-    coded = spark.read.parquet(f"{folder}/coded")
-    table = ranking(coded)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _plain(docs, tokenizer_path, end_id, block_ids, parts).write.parquet(f"{folder}/plain")
+    plain = spark.read.parquet(f"{folder}/plain")
+    table = ranking(plain)
     spark.createDataFrame(list(enumerate(table.tolist())), "rank long, id long").write.parquet(f"{folder}/ranking")
     rank = np.zeros(int(table.max(initial=0)) + 1, np.uint32)
     rank[table] = np.arange(len(table))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, first, held = TaskContext.get().partitionId(), 0, 0, 0
-        names: list[int | None] = []
-        ids: list[np.ndarray] = []
-
-        def row() -> pa.RecordBatch:
-            values = [part, block, first, held, names, list(map(len, ids)), *pack(rank[np.concatenate(ids)])]
-            return pa.record_batch([pa.array([v], t.type) for v, t in zip(values, _BLOCK, strict=True)], schema=_BLOCK)
-
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, found in zip(batch.column(0), batch.column(1), strict=True):
-                names.append(doc_id.as_py())
-                ids.append(np.frombuffer(found.as_buffer(), "<u4"))
-                held += len(ids[-1])
-                if held >= block_ids:
-                    yield row()
-                    block, first, held, names, ids = block + 1, first + held, 0, [], []
-        if names:
-            yield row()
-
-    total = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = max(-(-total // (4 * PART_IDS)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * block_ids))), 1)
-    ordered = coded.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
-
+            for i in range(batch.num_rows):
+                width, ids = (batch.column(c)[i] for c in (len(_PLACE), len(_PLACE) + 1))
+                control, data = pack(rank[np.frombuffer(ids.as_buffer(), f"<u{width.as_py()}")])
+                yield pa.record_batch([*batch.slice(i, 1).columns[: len(_PLACE)], pa.array([control]), pa.array([data])], schema=_BLOCK)
 
-_BLOCK = pa.schema(
-    [("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())]
-)
-#: Rows whose ids are handed on at a time.
-_ROWS = 1000
+    plain.drop("seen", "times").mapInArrow(ranked, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
 
 
 def read_token_files(spark: SparkSession, folder: str, per_document: Callable[[np.ndarray], list] | None = None, fields: str = "ids array<long>") -> DataFrame:
