@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import join_small
+from panelloom.llm.common import arrow_schema, join_small, row_struct, shared_folder
 from panelloom.session import checkpointed
 
 MIN_WORDS = 10
@@ -76,17 +76,16 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """Add the COUNTS (longs) and ``base_failed`` to every row."""
-    kept = list(docs.columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = kept.index("text")
+    at = docs.columns.index("text")
+    spark_schema, schema = arrow_schema(docs, ", ".join(f"{c} long" for c in COUNTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.array([text_counts(t.as_py()) for t in batch.column(at)], np.int64).reshape(-1, len(COUNTS))
             columns = [*batch.columns, *map(pa.array, counts.T.copy())]
-            yield pa.record_batch(columns, names=[*kept, *COUNTS])
+            yield pa.record_batch([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    counted = docs.mapInArrow(run, f"{fields}, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = docs.mapInArrow(run, spark_schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
@@ -246,7 +245,10 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    estimates = fit_documents(with_counts(docs.select("text", "lang", "source")))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
-    return judge(with_counts(own), estimates).filter("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, with all their columns. Texts are counted once and stored beside their counts."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark, "counted-documents")
+    with_counts(docs.select(row_struct(docs, "text").alias("row"), "text", "lang", "source")).write.parquet(folder)
+    counted = spark.read.parquet(folder)
+    kept = judge(counted, fit_documents(counted)).filter("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
