@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -58,7 +59,7 @@ _LETTERS, _DIGITS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-
 _RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
 #: The printable stand-in of each byte: itself where Latin-1 prints it, else the next character from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = [chr(b if b in _PRINTED else 256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)]
+_BYTE_CHARS = {b: b if b in _PRINTED else 256 + sum(x not in _PRINTED for x in range(b)) for b in range(256)}
 #: Byte counts of the four ids of each control byte.
 _COUNTS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -81,8 +82,9 @@ class WordEncoder:
         self.words = _Cache(self._word)
         self.runs = _Cache(self._run)
 
-    def __call__(self, text: str | None) -> bytes:
-        out = b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "replace").split()))
+    def __call__(self, text: str | bytes | None) -> bytes:
+        raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
+        out = b"".join(map(self.words.__getitem__, raw.split()))
         for cache in (self.words, self.runs):
             if len(cache) > CACHED_WORDS:
                 cache.clear()
@@ -91,11 +93,16 @@ class WordEncoder:
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if self.known_steps and _SIMPLE.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.runs.__getitem__, _RUNS.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            runs = _RUNS.findall(word.lower())
+            return self.runs[runs[0]] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
+        return _bytes_of(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _run(self, run: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize("".join([_BYTE_CHARS[b] for b in run.encode()]))], "<u4").tobytes()
+        return _bytes_of([t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(_BYTE_CHARS))])
+
+
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Cache(dict):
@@ -177,7 +184,7 @@ def _plain(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int, pa
         if names:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(blocks, PLAIN_SCHEMA)
 
 
