@@ -56,6 +56,16 @@ def range_features(w, windows: Sequence[int] = RANGE_WINDOWS, value: str = "valu
     return columns
 
 
+def ranges_of_levels(levels: Sequence[str], windows: Sequence[int] = RANGE_WINDOWS) -> dict[str, Column]:
+    """The columns of ``range_features`` for those windows whose rolling minimum and maximum are there already."""
+    columns = {}
+    for n in windows:
+        if {f"rolling_min_{n}", f"rolling_max_{n}"} <= set(levels):
+            low = F.col(f"rolling_min_{n}")
+            columns[f"range_pct_{n}"] = ratio(F.col(f"rolling_max_{n}") - low, low)
+    return columns
+
+
 def return_features(w, days: Sequence[int] = RETURN_DAYS, value: str = "value") -> dict[str, Column]:
     columns = {}
     for k in days:
@@ -165,7 +175,8 @@ def generate(
     """
     w = by_date(keys)
     levels = lag_features(w, lags) | rolling_features(w, windows, stats)
-    ranges = range_features(w) if volatility else {}
+    known = ranges_of_levels(list(levels)) if volatility else {}
+    ranges = range_features(w, [n for n in RANGE_WINDOWS if f"range_pct_{n}" not in known]) if volatility else {}
     days = calendar_columns(F.col("date")) if calendar else {}
     spreads = volatility_features(w) if volatility else {}
     lagged = lagged_return_features(w) if returns else {}
@@ -176,10 +187,10 @@ def generate(
         df = add_ewm_volatility(df, keys=keys)
     if returns:
         df = add_direction_run(df, keys)
-    df = df.withColumns(levels | ranges | days | spreads | lagged)
+    df = df.withColumns(levels | ranges | days | spreads | lagged).withColumns(known)
     names = [*panel.columns, *levels, *days, *spreads]
     if volatility:
-        names += [f"volatility_ewm_{EWM_SPAN}", *ranges]
+        names += [f"volatility_ewm_{EWM_SPAN}", *[f"range_pct_{n}" for n in RANGE_WINDOWS]]
     if returns:
         names += [*return_features(w), *lagged, "consecutive_direction", "consecutive_direction_lag1"]
     return df.select(*names)

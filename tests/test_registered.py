@@ -9,7 +9,6 @@ from panelloom.registered import REGISTERED
 from tools.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-# fitting is slow and has no SQL twin; tests/test_learners.py covers it on fixtures
 NAMES = [n for n, q in REGISTERED.items() if q.sql is not None]
 
 
