@@ -100,28 +100,20 @@ def model_kind(path: str) -> int:
 
 
 class _Cache(dict):
-    """A dict that makes what it misses. When what it holds passes a number of bytes, it starts afresh beside the old one,
-    and what is not asked for until the next time is forgotten. Keys above ``LONG_UNIT`` are not kept."""
+    """What was made for keys seen before. When it passes a number of bytes, it starts afresh beside the ``older`` one, and
+    what is not added again until the next time is forgotten."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
-        self.make, self.most, self.held, self.older = make, most // 2, 0, {}
+    def __init__(self, most: int):
+        self.most, self.held, self.older = most // 2, 0, {}
 
     def add(self, made: dict[str, bytes]) -> None:
         self.update(made)
         self.held += 200 * len(made) + 4 * sum(map(len, made)) + sum(map(len, made.values()))
         if self.held > self.most:
-            self.older = dict(self)
+            self.older = dict(self) if self.held <= 2 * self.most else {}
             self.clear()
             self.held = 0
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONG_UNIT:
-            self.add({key: value})
-        return value
-
 
 class PieceModel:
     """The pieces and scores of a model file, with what encoding needs of them."""
@@ -154,10 +146,9 @@ class PieceModel:
             self.id_scores[i], self.id_chars[i] = score, len(piece)
         if self.kind == _BPE:
             self._number_pairs()
-            self.unit_ids = _Cache(self.merged, CACHE_BYTES)
         else:
             self._number_trie()
-            self.unit_ids = _Cache(lambda unit: self.best_of_many([unit])[0], CACHE_BYTES)
+        self.unit_ids = _Cache(CACHE_BYTES)
 
     def _number_trie(self) -> None:
         """The pieces as a trie in arrays: node ``k + 1`` is reached by the ``k``-th edge, a pair of node and character."""
@@ -378,12 +369,25 @@ class PieceModel:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that are already normalized."""
         units = [self.units.findall(t) for t in texts]
-        known, many = self.unit_ids, self.merged_many if self.kind == _BPE else self.best_of_many
-        fresh = [u for u in set().union(*units).difference(known) if u not in known.older and len(u) <= LONG_UNIT]
+        every, known = list(set().union(*units)), self.unit_ids
+        here = dict(zip(every, map(known.get, every), strict=True))
+        lost = [u for u, ids in here.items() if ids is None]
+        again = {u: known.older[u] for u in lost if u in known.older}
+        here.update(again)
+        fresh, made = [], {}
+        for unit in lost:
+            if unit in again:
+                continue
+            if len(unit) <= LONG_UNIT:
+                fresh.append(unit)
+            else:
+                here[unit] = self.merged(unit) if self.kind == _BPE else self.best_of_many([unit])[0]
         for i in range(0, len(fresh), AT_ONCE):
             some = fresh[i : i + AT_ONCE]
-            known.add(dict(zip(some, many(some), strict=True)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, found)), "<i4") for found in units]
+            made.update(zip(some, self.merged_many(some) if self.kind == _BPE else self.best_of_many(some), strict=True))
+        here.update(made)
+        known.add(again | made)
+        return [np.frombuffer(b"".join(map(here.__getitem__, found)), "<i4") for found in units]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -109,16 +109,17 @@ def test_long_units_are_merged_alike():
     assert len(model.cut(normal("x" * 5000), 50)) == 1
 
 
-def test_the_cache_is_bounded_in_bytes():
-    made = []
-    cache = sentencepiece_scan._Cache(lambda unit: made.append(unit) or unit.encode(), 100_000)
-    for i in range(10_000):
-        assert cache[f"u{i}"] == f"u{i}".encode() and cache["often"] == b"often"
-        assert cache.held <= 50_000 and len(cache) + len(cache.older) < 500
-    cache.add({f"v{i}": b"" for i in range(300)})
-    assert len(cache) + len(cache.older) < 700 and cache["v7"] == b""
-    assert made.count("often") == 1
-    assert cache["x" * 5000] and "x" * 5000 not in cache
+def test_the_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(sentencepiece_scan, "CACHE_BYTES", 60_000)
+    model, whole, rng = PieceModel(BPE), sentencepiece_scan.piece_model(BPE), random.Random(5)
+    merged = []
+    many = model.merged_many
+    monkeypatch.setattr(model, "merged_many", lambda units: merged.extend(units) or many(units))
+    for _ in range(60):
+        text = normal(" ".join(["often", *("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))]))
+        assert np.array_equal(model.encode(text), whole.encode(text))
+        assert model.unit_ids.held <= 30_000 and len(model.unit_ids) + len(model.unit_ids.older) < 300
+    assert merged.count("▁often") == 1 and len(merged) > 2000
 
 
 def test_files_of_other_kinds_are_refused(tmp_path):
