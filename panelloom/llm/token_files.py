@@ -39,7 +39,7 @@ from panelloom.llm.common import join_small
 
 END_ID = 2
 BLOCK_IDS = 1 << 21
-CACHED_WORDS = 500_000
+CACHED_WORDS = 350_000
 CACHED_CHARS = 48
 _PLACE = [("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
 _PLAIN = pa.schema([*_PLACE, ("width", pa.int32()), ("ids", pa.binary()), ("seen", pa.binary()), ("times", pa.binary())])
@@ -87,6 +87,7 @@ class WordEncoder:
         out = b"".join(map(self.words.__getitem__, raw.split()))
         for cache in (self.words, self.runs):
             if len(cache) > CACHED_WORDS:
+                cache.older = dict(cache)
                 cache.clear()
         return out
 
@@ -106,13 +107,15 @@ def _bytes_of(ids: list[int]) -> bytes:
 
 
 class _Cache(dict):
-    """A dict that makes what it misses; long keys are not kept."""
+    """A dict that makes what it misses, or takes it from the ``older`` one; long keys are not kept."""
 
     def __init__(self, make: Callable):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= CACHED_CHARS:
             self[key] = value
         return value
@@ -209,7 +212,7 @@ def write_token_files(
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _plain(docs, tokenizer_path, end_id, block_ids, parts).write.parquet(f"{folder}/plain")
+    _plain(docs, tokenizer_path, end_id, block_ids, parts).write.option("compression", "none").parquet(f"{folder}/plain")
     plain = spark.read.parquet(f"{folder}/plain")
     table = ranking(plain)
     spark.createDataFrame(list(enumerate(table.tolist())), "rank long, id long").write.parquet(f"{folder}/ranking")
