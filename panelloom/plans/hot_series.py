@@ -4,9 +4,10 @@ Raw ticks and logs may put a third of all rows under one key. A plain window wou
 task. Here the group is cut into blocks along its own order:
 
 * ``with_row_index`` numbers the rows of every group. A group above ``BLOCK_ROWS`` rows is cut at edges sampled from
-  its own order, at most ``EDGES`` of them, and a piece that is still too large once more; rows are counted per block
+  its own order, at most ``EDGES`` of them, and a piece of more than twice that once more; rows are counted per block
   with a map-side combine, and the counts are summed up in two levels, so no task holds more than ``EDGES`` counts or
-  about ``BLOCK_ROWS`` rows of a group of up to ``EDGES ** 2 * BLOCK_ROWS``.
+  about twice ``BLOCK_ROWS`` rows of a group of up to ``EDGES ** 2 * BLOCK_ROWS``. Rows of a table with such a group are
+  stored once, as they are then read several times.
 * ``with_halo`` cuts the numbered rows into chunks of equal size and copies the last few rows of each chunk
   into the next one, so a window that looks back a bounded number of rows can run per chunk.
 """
@@ -18,13 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.session import checkpointed
+from panelloom.session import checkpointed, stored
 
 BLOCK_ROWS = 1 << 20
 CHUNK_ROWS = 1 << 16
 EDGES = 1 << 10
 #: Sampled rows for each edge; the more, the more even the blocks.
-SAMPLES = 8
+SAMPLES = 32
 #: Groups whose edges may be broadcast; more are joined by a shuffle, whose hot keys adaptive execution splits.
 BROADCAST_GROUPS = 200
 
@@ -34,16 +35,19 @@ def sequence_block(seq: str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(seq) / rows).cast("bigint")
 
 
-def _edges_of(df: DataFrame, groups: Sequence[str], order: Sequence[str], block_rows: int) -> DataFrame | None:
-    """``groups, _edges`` of the groups above ``block_rows`` rows: sorted order values that cut them evenly; None without any.
+def _sizes_above(df: DataFrame, groups: Sequence[str], block_rows: int) -> DataFrame | None:
+    """``groups, _rows, _blocks`` of the groups above ``block_rows`` rows; None without any."""
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > block_rows)
+    sizes = checkpointed(sizes.withColumn("_blocks", F.least(F.ceil(F.col("_rows") / block_rows), F.lit(EDGES))))
+    return None if sizes.isEmpty() else sizes
+
+
+def _edges_of(df: DataFrame, sizes: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``groups, _edges`` of the groups in ``sizes``: sorted order values that cut them evenly.
 
     Rows are sampled by a hash of group and order, so a retry draws the same; any edges give the same numbers.
     """
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > block_rows)
-    sizes = checkpointed(sizes.withColumn("_blocks", F.least(F.ceil(F.col("_rows") / block_rows), F.lit(EDGES))))
     found = sizes.limit(BROADCAST_GROUPS + 1).count()
-    if not found:
-        return None
     place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     draw = F.pmod(F.xxhash64(*groups, *order), F.lit(1 << 40)) / float(1 << 40)
     sized = df.select(*groups, *order).join(F.broadcast(sizes) if found <= BROADCAST_GROUPS else sizes, list(groups))
@@ -55,38 +59,39 @@ def _edges_of(df: DataFrame, groups: Sequence[str], order: Sequence[str], block_
     return checkpointed(sampled.select(*groups, F.array_distinct(cut).alias("_edges")))
 
 
-def _block(edges: str, order: Sequence[str]) -> Column:
-    """How many of the sorted edges lie at or below the row, by halving; 0 without edges."""
-    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
-        below = F.get(edges, middle) <= place  # structs compare like the order: missing values come first
-        going = span["low"] < span["high"]
-        return F.struct(
-            F.when(going & below, middle + 1).otherwise(span["low"]).alias("low"),
-            F.when(going & ~below, middle).otherwise(span["high"]).alias("high"),
-        )
-
-    start = F.struct(F.lit(0).alias("low"), F.size(edges).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(EDGES.bit_length())), start, halve, lambda span: span["low"])
-    return F.when(F.col(edges).isNull(), F.lit(0)).otherwise(found)
+def _add_block(df: DataFrame, edges: str, order: Sequence[str], most: int, name: str) -> DataFrame:
+    """How many of the sorted edges, ``most`` at most, lie at or below the row; 0 without edges.
 
-
-def _cut(df: DataFrame, groups: Sequence[str], order: Sequence[str], block_rows: int, name: str) -> tuple[DataFrame, bool]:
-    edges = _edges_of(df, groups, order, block_rows)
-    if edges is None:
+    Halving in plain steps, one column each: a lambda over the steps is interpreted, some 20 us a row.
+    """
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    df = df.withColumn(name, F.lit(0))
+    for bit in reversed(range(most.bit_length())):
+        # structs compare like the order: missing values come first; beyond the last edge there is none
+        below = F.get(edges, F.col(name) + ((1 << bit) - 1)) <= place
+        df = df.withColumn(name, F.when(below, F.col(name) + (1 << bit)).otherwise(F.col(name)))
+    return df
+
+
+def _cut(df: DataFrame, groups: Sequence[str], order: Sequence[str], block_rows: int, name: str, keep: bool = False) -> tuple[DataFrame, bool]:
+    """Adds the block; with ``keep`` the rows are stored first when any group is cut, as they are read many times then."""
+    sizes = _sizes_above(df, groups, block_rows)
+    if sizes is None:
         return df.withColumn(name, F.lit(0)), False
-    few = edges.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    joined = df.join(F.broadcast(edges) if few else edges, list(groups), "left")
-    return joined.withColumn(name, _block("_edges", order)).drop("_edges"), True
+    if keep:
+        df = stored(df, "rows")
+    edges = _edges_of(df, sizes, groups, order)
+    found = edges.agg(F.count(F.lit(1)).alias("groups"), F.max(F.size("_edges")).alias("most")).first()
+    joined = df.join(F.broadcast(edges) if found["groups"] <= BROADCAST_GROUPS else edges, list(groups), "left")
+    return _add_block(joined, "_edges", order, found["most"] or 0, name).drop("_edges"), True
 
 
 def with_row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_index", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Number rows of each group from 0 along ``order``, missing values first. Keys must not be NULL."""
-    levels = ["_piece", "_block"]
-    tagged, large = _cut(df, keys, order, block_rows, levels[0])
-    tagged = _cut(tagged, [*keys, levels[0]], order, block_rows, levels[1])[0] if large else tagged.withColumn(levels[1], F.lit(0))
+    levels = ["_block", "_part"]
+    tagged, large = _cut(df, keys, order, block_rows, levels[0], keep=True)
+    # a draw leaves half of the pieces somewhat above the mean; only what is twice too large is worth a second cut
+    tagged = _cut(tagged, [*keys, levels[0]], order, 2 * block_rows, levels[1])[0] if large else tagged.withColumn(levels[1], F.lit(0))
     inside = F.row_number().over(Window.partitionBy(*keys, *levels).orderBy(*order)) - 1
     if not large:
         return tagged.withColumn(name, inside.cast("bigint")).drop(*levels)
