@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.functions.frames import by_date
-from panelloom.registered.panels import SHIPMENTS, daily_shipments
+from panelloom.functions.frames import SERIES, by_date, spread
+from panelloom.registered.panels import SHIPMENTS, daily_shipments, table
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier day predicted by the value 1, 7 and 30 rows before, in order of arrival."""
     w = by_date()
-    panel = daily_shipments(spark, sf_dir)
+    # each row of a panel that has at most a row a shipped line unfolds into three
+    panel = spread(daily_shipments(spark, sf_dir), 3 * table(spark, sf_dir, "lineitem").count(), SERIES)
     guesses = [F.struct(F.lit(h).alias("horizon"), F.lag("value", h).over(w).alias("prediction"), F.lit(k).alias("k")) for k, h in enumerate((1, 7, 30))]
     rows = panel.withColumn("_g", F.array(*guesses)).select("series_id", "date", "value", F.inline("_g"))
     seq = F.datediff("date", F.lit("1990-01-01").cast("date")).cast("bigint") * 3 + F.col("k")
