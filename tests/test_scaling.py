@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from panelloom.functions import frames
-from panelloom.operators import monitoring
+from panelloom.functions import frames, lookback
+from panelloom.operators import features, monitoring
 from panelloom.operators.cleaning import align_calendar, clean
 from panelloom.plans import hot_series
 from panelloom.registered import REGISTERED, logs
@@ -75,3 +78,34 @@ def test_write_back_query_works_out_its_actuals_once(spark, monkeypatch, tmp_pat
     assert REGISTERED["monitor_write_back"].run(spark, str(tmp_path)).count() > 0
     assert len(plans) == 2
     assert not any("Aggregate" in p for p in plans)
+
+
+def test_rolling_statistics_take_no_sliding_frames(spark):
+    plan = features.generate(_sparse(spark).filter(F.col("date").isNotNull()))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and not re.search(r"(?:avg|stddev_samp|min|max)\(\w+#\d+\) windowspecdefinition", plan)
+
+
+def test_rows_before_match_frames_to_the_last_bit(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # frames reach over several batches
+    try:
+        odd = {3: None, 40: float("nan"), 90: float("inf"), 91: None, 150: None}
+        rows = [(s, DAY + dt.timedelta(days=i), odd.get(i, (i * 37 % 101) / 7) if s != "c" else 0.1, i) for s in ("a", "b", "c", None) for i in range(170)]
+        df = spark.createDataFrame([*rows, ("one", DAY, 1.0, 0)], "series_id string, date date, value double, ingest_seq bigint")
+        expected = df.withColumns(features.rolling_features(features.by_date()))
+        found = features.add_rolling(df)
+        assert found.columns == expected.columns and found.dtypes == expected.dtypes
+
+        def listed(rows):
+            return sorted(([repr(x) for x in r] for r in rows.drop("date").collect()))
+
+        assert listed(found) == listed(expected)
+        late = features.add_rolling(df).filter(F.col("date") > DAY + dt.timedelta(days=100))
+        assert listed(late) == listed(expected.filter(F.col("date") > DAY + dt.timedelta(days=100)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_out_of_order_fail():
+    batches = [(pa.array([1, 2]), pa.array([1.0, 2.0])), (pa.array([4]), pa.array([3.0]))]
+    with pytest.raises(ValueError, match="in order"):
+        list(lookback._pass(iter(batches), {"x": lookback.Lookback("value", "mean", 2)}, ["value"]))
