@@ -131,9 +131,14 @@ def clean(
     window: int = 30,
     threshold: float = 4.0,
     keys: Sequence[str] = SERIES,
+    ticks: DataFrame | None = None,
 ) -> DataFrame:
-    """Dedupe, align, mark gaps, fill and flag. After the dedupe everything runs in one shuffle by series."""
-    panel = align_calendar(dedupe_keep_last(df.select(*keys, "date", "value", "ingest_seq"), keys), frequency, keys, ticks=df)
+    """Dedupe, align, mark gaps, fill and flag. After the dedupe everything runs in one shuffle by series.
+
+    ``ticks`` are the rows behind ``df``, if their days are counted quicker there.
+    """
+    deduped = dedupe_keep_last(df.select(*keys, "date", "value", "ingest_seq"), keys)
+    panel = align_calendar(deduped, frequency, keys, ticks=df if ticks is None else ticks)
     return flag_outliers(fill_gaps(add_gap_columns(panel, keys), fill_method, max_gap, keys), window, threshold, keys=keys)
 
 

@@ -48,7 +48,7 @@ def clean_detect_frequency(spark, sf_dir):
     f"WITH {SHIPMENTS}, {clean_sql('p2')} SELECT series_id, CAST(date AS VARCHAR) AS date, value FROM aligned",
 )
 def clean_align_calendar(spark, sf_dir):
-    return cleaning.align_calendar(daily_shipments(spark, sf_dir)).select("series_id", day(), "value")
+    return cleaning.align_calendar(daily_shipments(spark, sf_dir), ticks=shipment_ticks(spark, sf_dir)).select("series_id", day(), "value")
 
 
 @query(
@@ -77,12 +77,12 @@ def clean_align_drops_weekends(spark, sf_dir):
         SELECT series_id, CAST(date AS VARCHAR) AS date, value, is_original, missing_streak FROM gaps""",
 )
 def clean_gap_columns(spark, sf_dir):
-    aligned = cleaning.align_calendar(daily_shipments(spark, sf_dir))
+    aligned = cleaning.align_calendar(daily_shipments(spark, sf_dir), ticks=shipment_ticks(spark, sf_dir))
     return cleaning.add_gap_columns(aligned).withColumn("date", F.col("date").cast("string"))
 
 
 def _filled(spark, sf_dir, method):
-    aligned = cleaning.align_calendar(daily_shipments(spark, sf_dir))
+    aligned = cleaning.align_calendar(daily_shipments(spark, sf_dir), ticks=shipment_ticks(spark, sf_dir))
     filled = cleaning.fill_gaps(cleaning.add_gap_columns(aligned), method)
     return filled.select("series_id", day(), "value", "is_imputed")
 
@@ -113,13 +113,13 @@ def _cleaned_sql(source: str, table: str) -> str:
         FROM cleaned"""
 
 
-def _cleaned(ticks):
-    return rounded(cleaning.clean(ticks), ["z_score"]).withColumn("date", F.col("date").cast("string"))
+def _cleaned(df, ticks=None):
+    return rounded(cleaning.clean(df, ticks=ticks), ["z_score"]).withColumn("date", F.col("date").cast("string"))
 
 
 @query("clean_flag_outliers", "C10 C11", _cleaned_sql(SHIPMENTS, "p2"))
 def clean_flag_outliers(spark, sf_dir):
-    return _cleaned(daily_shipments(spark, sf_dir))
+    return _cleaned(daily_shipments(spark, sf_dir), shipment_ticks(spark, sf_dir))
 
 
 @query("clean_panel", "C11", _cleaned_sql(TICKS, "p0"))

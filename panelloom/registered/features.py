@@ -11,14 +11,14 @@ from panelloom.operators import features
 from panelloom.operators.cleaning import align_calendar, clean
 from panelloom.operators.filters import feature_columns
 from panelloom.registered.catalog import day, query, rounded, rounded_sql
-from panelloom.registered.panels import DAILY, EVENTS, SHIPMENTS, TICKS, clean_sql, daily_events, daily_orders, daily_shipments, order_ticks
+from panelloom.registered.panels import DAILY, EVENTS, SHIPMENTS, TICKS, clean_sql, daily_events, daily_orders, daily_shipments, order_ticks, shipment_ticks
 
 _W = "w AS (PARTITION BY series_id ORDER BY date)"
 
 
 def _open(spark, sf_dir):
     """Supplier panel on its calendar with its gaps left open, so windows meet missing values."""
-    return align_calendar(daily_shipments(spark, sf_dir))
+    return align_calendar(daily_shipments(spark, sf_dir), ticks=shipment_ticks(spark, sf_dir))
 
 
 def _feature_sql(columns: dict[str, str], round_to: dict[str, int], source: str = SHIPMENTS, table: str = "p2", stage: str = "aligned") -> str:
@@ -135,8 +135,8 @@ def _ewm_sql(source, table):
         SELECT series_id, CAST(date AS VARCHAR) AS date, {rounded_sql(['volatility_ewm_14'], 6)} FROM f"""
 
 
-def _ewm(panel):
-    df = features.add_ewm_volatility(_with_returns(align_calendar(panel)))
+def _ewm(panel, ticks=None):
+    df = features.add_ewm_volatility(_with_returns(align_calendar(panel, ticks=ticks)))
     return rounded(df.select("series_id", day(), "volatility_ewm_14"), ["volatility_ewm_14"], 6)
 
 
@@ -147,7 +147,7 @@ def feature_ewm_volatility(spark, sf_dir):
 
 @query("feature_ewm_volatility_gaps", "G14", _ewm_sql(SHIPMENTS, "p2"))
 def feature_ewm_volatility_gaps(spark, sf_dir):
-    return _ewm(daily_shipments(spark, sf_dir))
+    return _ewm(daily_shipments(spark, sf_dir), shipment_ticks(spark, sf_dir))
 
 
 _RANGE = {
@@ -195,7 +195,7 @@ def _runs_sql(source, table, stage):
 
 @query("feature_direction_runs", "G19 G20", _runs_sql(SHIPMENTS, "p2", "cleaned"))
 def feature_direction_runs(spark, sf_dir):
-    df = features.add_direction_run(_with_returns(clean(daily_shipments(spark, sf_dir))))
+    df = features.add_direction_run(_with_returns(clean(daily_shipments(spark, sf_dir), ticks=shipment_ticks(spark, sf_dir))))
     return df.select("series_id", day(), "consecutive_direction", "consecutive_direction_lag1")
 
 
@@ -262,8 +262,8 @@ def _full_sql(source: str, table: str) -> str:
         FROM al JOIN ew ON ew.series_id = al.series_id AND ew.date = al.date JOIN ru ON ru.series_id = al.series_id AND ru.date = al.date"""
 
 
-def _full_set(panel):
-    df = features.generate(clean(panel))
+def _full_set(panel, ticks=None):
+    df = features.generate(clean(panel, ticks=ticks))
     numbers = [*_ALL, *_RETURNS, "volatility_ewm_14"]
     return rounded(df.select("series_id", day(), *numbers, *_CALENDAR, *_RUNS), numbers, 2)
 
@@ -277,4 +277,4 @@ def feature_full_set(spark, sf_dir):
 @query("feature_full_set_wide", _FULL_ITEMS, _full_sql(SHIPMENTS, "p2"))
 def feature_full_set_wide(spark, sf_dir):
     """The whole default feature set of all supplier series."""
-    return _full_set(daily_shipments(spark, sf_dir))
+    return _full_set(daily_shipments(spark, sf_dir), shipment_ticks(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelloom.operators import targets
 from panelloom.operators.cleaning import align_calendar
 from panelloom.registered.catalog import day, query, rounded, rounded_sql, stable_sql
-from panelloom.registered.panels import DAILY, SHIPMENTS, clean_sql, daily_orders, daily_shipments
+from panelloom.registered.panels import DAILY, SHIPMENTS, clean_sql, daily_orders, daily_shipments, shipment_ticks
 
 _W = "(PARTITION BY series_id ORDER BY date)"
 _RETURN = f"value / nullif(lag(value) OVER {_W}, 0) - 1"
@@ -16,7 +16,7 @@ _SIMPLE = f"(value - lag(value) OVER {_W}) / nullif(lag(value) OVER {_W}, 0)"
 
 def _aligned(spark, sf_dir):
     """Supplier panel on its calendar, gaps left open."""
-    return align_calendar(daily_shipments(spark, sf_dir))
+    return align_calendar(daily_shipments(spark, sf_dir), ticks=shipment_ticks(spark, sf_dir))
 
 
 def _target_sql(expression: str, source: str = "aligned") -> str:

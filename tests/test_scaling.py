@@ -13,7 +13,7 @@ from panelloom.functions import frames, lookback
 from panelloom.operators import features, monitoring
 from panelloom.operators.cleaning import align_calendar, clean
 from panelloom.plans import hot_series
-from panelloom.registered import REGISTERED, logs
+from panelloom.registered import REGISTERED, logs, panels
 
 DAY = dt.date(2024, 1, 1)
 
@@ -109,3 +109,16 @@ def test_rows_out_of_order_fail():
     batches = [(pa.array([1, 2]), pa.array([1.0, 2.0])), (pa.array([4]), pa.array([3.0]))]
     with pytest.raises(ValueError, match="in order"):
         list(lookback._pass(iter(batches), {"x": lookback.Lookback("value", "mean", 2)}, ["value"]))
+
+
+def test_shipments_are_grouped_in_tasks_dealt_by_their_lines(spark, monkeypatch, tmp_path):
+    lines = [(i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 6), float(i), i) for i in range(120)]
+    schema = "l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_orderkey bigint"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = {tuple(r) for r in panels.daily_shipments(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(frames, "TASK_ROWS", 10)
+    dealt = panels.daily_shipments(spark, str(tmp_path))
+    assert {tuple(r) for r in dealt.collect()} == plain and len(plain) == 60
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2  # the final plan and the first one hold one each
+    assert dealt.rdd.getNumPartitions() == 12
