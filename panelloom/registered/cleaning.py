@@ -16,6 +16,7 @@ from panelloom.registered.panels import (
     daily_shipments,
     order_ticks,
     weekday_orders,
+    shipment_ticks,
 )
 
 
