@@ -88,7 +88,7 @@ def _cut(df: DataFrame, groups: Sequence[str], order: Sequence[str], block_rows:
 
 def with_row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_index", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Number rows of each group from 0 along ``order``, missing values first. Keys must not be NULL."""
-    levels = ["_block", "_part"]
+    levels = ["_block_piece", "_part"]
     tagged, large = _cut(df, keys, order, block_rows, levels[0], keep=True)
     # a draw leaves half of the pieces somewhat above the mean; only what is twice too large is worth a second cut
     tagged = _cut(tagged, [*keys, levels[0]], order, 2 * block_rows, levels[1])[0] if large else tagged.withColumn(levels[1], F.lit(0))
