@@ -122,3 +122,19 @@ def test_shipments_are_grouped_in_tasks_dealt_by_their_lines(spark, monkeypatch,
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2  # the final plan and the first one hold one each
     assert dealt.rdd.getNumPartitions() == 12
+
+
+@pytest.mark.parametrize("name", ["target_log_return"])
+def test_supplier_queries_deal_lines_and_days_by_their_numbers(spark, monkeypatch, tmp_path, name):
+    lines = [(i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 6), float(i * 37 % 101 + 1), i) for i in range(120)]
+    schema = "l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_orderkey bigint"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = {tuple(r) for r in REGISTERED[name].run(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(frames, "TASK_ROWS", 10)
+    dealt = REGISTERED[name].run(spark, str(tmp_path))
+    assert {tuple(r) for r in dealt.collect()} == plain and len(plain) == 60
+    plan = re.sub(r"#\d+", "", dealt._jdf.queryExecution().executedPlan().toString())
+    # 120 lines, then 60 days, ten a task; no shuffle of another size, which would grow with the tables
+    assert set(re.findall(r"Exchange hashpartitioning\((.*?)\), (\w+)", plan)) == {("series_id, date, 12", "REPARTITION_BY_NUM"), ("series_id, 6", "REPARTITION_BY_NUM")}
+    below = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "Aggregate" not in below  # nothing is combined with the scan
