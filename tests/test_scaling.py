@@ -124,7 +124,7 @@ def test_shipments_are_grouped_in_tasks_dealt_by_their_lines(spark, monkeypatch,
     assert dealt.rdd.getNumPartitions() == 12
 
 
-@pytest.mark.parametrize("name", ["feature_range", "feature_returns", "target_log_return"])
+@pytest.mark.parametrize("name", ["feature_range", "feature_returns", "feature_volatility", "target_log_return"])
 def test_supplier_queries_deal_lines_and_days_by_their_numbers(spark, monkeypatch, tmp_path, name):
     lines = [(i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 6), float(i * 37 % 101 + 1), i) for i in range(120)]
     schema = "l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_orderkey bigint"
