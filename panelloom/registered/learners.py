@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import forecast, learners
 from panelloom.operators.backtest import run_backtest
-from panelloom.operators.filters import feature_columns
+from panelloom.operators.filters import complete_cases, feature_columns
 from panelloom.plans.prediction import predict_all
 from panelloom.plans.training import prepare, split_for_training, train_learners
 from panelloom.registered.catalog import day, query, stable_sql
@@ -129,7 +129,7 @@ def learner_backtest(spark, sf_dir):
     def fit(train):
         return learners.Learner("elastic_net", columns).fit(train).predict
 
-    done = run_backtest(prepared.dropna(subset=[*columns, "value"]), fit, "elastic_net")
+    done = run_backtest(complete_cases(prepared, [*columns, "value"]), fit, "elastic_net")
     known = F.col("prediction").isNotNull() & ~F.isnan("prediction")
     return done.predictions.select(
         "series_id", "fold_id", day(), "actual", "model", known.alias("predicted"), F.lit(done.failed.count()).cast("bigint").alias("failed_folds")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions import frames, lookback
-from panelloom.operators import features, monitoring
+from panelloom.operators import features, filters, monitoring
 from panelloom.operators.cleaning import align_calendar, clean
 from panelloom.plans import hot_series
 from panelloom.registered import REGISTERED, logs, panels
@@ -138,3 +138,13 @@ def test_supplier_queries_deal_lines_and_days_by_their_numbers(spark, monkeypatc
     assert set(re.findall(r"Exchange hashpartitioning\((.*?)\), (\w+)", plan)) == {("series_id, date, 12", "REPARTITION_BY_NUM"), ("series_id, 6", "REPARTITION_BY_NUM")}
     below = plan[plan.rindex("Exchange hashpartitioning") :]
     assert "Aggregate" not in below  # nothing is combined with the scan
+
+
+def test_complete_cases_are_one_condition_a_column(spark):
+    rows = [("a", 1.0, 1), ("b", None, 2), ("c", float("nan"), 3), ("d", 4.0, None), (None, 5.0, 5), ("f", 6.0, 6)]
+    df = spark.createDataFrame(rows, "name string, x double, n int").select("name", (F.col("x") + 1).alias("y"), (F.col("n") + 1).alias("m"))
+    kept = filters.complete_cases(df, ["name", "y", "m"])
+    assert kept.collect() == df.dropna(subset=["name", "y", "m"]).collect() and [r["name"] for r in kept.collect()] == ["a", "f"]
+    assert filters.complete_cases(df, []).count() == len(rows)
+    # a condition over all columns is copied for every subset of the renamed ones
+    assert "atleastnnonnulls" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
