@@ -14,25 +14,29 @@ from panelloom.operators.features import generate
 from panelloom.operators.filters import as_of
 from panelloom.operators.forecast import HORIZONS, forecast_baselines, forecast_recursive, forecast_state, pick_horizons
 from panelloom.operators.learners import apply_model, model_columns
+from panelloom.session import checkpointed
 
 
 def predict_all(
     raw: DataFrame,
-    model: PipelineModel | str = "naive",
+    model: PipelineModel | str | Sequence[str] = "naive",
     horizons: Sequence[int] = HORIZONS,
     as_of_date: str | None = None,
     refresh: str = "full",
     columns: Sequence[str] | None = None,
+    ticks: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The prediction table, and the series that could not be predicted.
 
-    ``model`` is a fitted model or the name of a baseline; ``as_of_date`` hides later rows.
+    ``model`` is a fitted model or the name of a baseline; several names are stacked with a ``model`` column.
+    ``as_of_date`` hides later rows. ``ticks`` are the rows behind ``raw``, if their days are counted quicker there.
     """
-    seen = as_of(raw, as_of_date) if as_of_date else raw
-    cleaned = clean(seen)
+    seen, ticks = (as_of(df, as_of_date) if as_of_date and df is not None else df for df in (raw, ticks))
+    cleaned = clean(seen, ticks=ticks)
     horizon = max(horizons)
-    if isinstance(model, str):
-        forecast = forecast_baselines(cleaned, horizon, (model,)).drop("model")
+    if not isinstance(model, PipelineModel):
+        forecast = forecast_baselines(cleaned, horizon, (model,) if isinstance(model, str) else model)
+        forecast = forecast.drop("model") if isinstance(model, str) else forecast
         reached = forecast.select("series_id").distinct()
     else:
         features = generate(cleaned)
@@ -54,21 +58,52 @@ def predict_routed(
     refresh: str = "full",
     columns: Sequence[str] | None = None,
     fallback: str = "naive",
+    ticks: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``predict_all`` with the model that ``winners`` (``series_id, model``) names for each series.
 
-    One pass for each kind of model, over the series routed to it. A series without a winner, or whose winner is not
-    among ``models``, is routed to the ``fallback`` baseline. The predictions have a ``model`` column.
+    One pass for all baselines, whose few rows of a series meet its winner at the end, and one for each fitted model, over
+    the series routed to it. A series without a winner, or whose winner is not among ``models``, is routed to the
+    ``fallback`` baseline. The predictions have a ``model`` column. ``ticks`` are the rows behind ``raw``, if their days are
+    counted quicker there.
     """
     known = winners.filter(F.col("model").isin(*models)).select("series_id", F.col("model").alias("_model"))
     kinds = {**models, fallback: models.get(fallback, fallback)}
+    baselines = {name: model for name, model in kinds.items() if isinstance(model, str)}
+    fitted = {name: model for name, model in kinds.items() if name not in baselines}
+    if fitted:
+        known = checkpointed(known)  # read by every pass
+    # no more names a series than there are models
+    routes = known.filter(F.col("_model") != fallback).groupBy("series_id").agg(F.collect_set("_model").alias("_routes"))
+    routes = routes.select(F.col("series_id").alias("_series"), F.when(F.col("series_id").isNotNull(), F.col("_routes")).alias("_routes"))
     parts, lost = [], []
-    for name, model in kinds.items():
-        own = known.filter(F.col("_model") == name)
-        routed = raw.join(own, "series_id", "left_semi")
+    if baselines:
+        bases = F.create_map(*[F.lit(x) for pair in baselines.items() for x in pair])
+
+        def routed_rows(df: DataFrame) -> DataFrame:
+            """The rows once for each baseline their series is routed to, its name in ``_name``.
+
+            Null matches null: a plain join would drop it from the winners, whose panel would then not be the one of the
+            forecasts and would be shuffled on its own.
+            """
+            names = F.coalesce("_routes", F.array(F.lit(fallback)))
+            named = df.join(routes, F.col("series_id").eqNullSafe(F.col("_series")), "left").withColumn("_name", F.explode(names))
+            return named.drop("_routes", "_series").filter(F.col("_name").isin(*baselines))
+
+        some = raw
+        if fitted:
+            elsewhere = routes.filter(~F.arrays_overlap("_routes", F.array(*[F.lit(name) for name in baselines])))
+            some = raw.join(elsewhere, F.col("series_id") == F.col("_series"), "left_anti")
+        picked, missing = predict_all(some, sorted(set(baselines.values())), horizons, as_of_date, ticks=None if fitted else ticks)
+        picked = routed_rows(picked).filter(F.col("model") == bases[F.col("_name")])
+        parts.append(picked.drop("model").withColumnRenamed("_name", "model"))
+        lost.append(routed_rows(missing).drop("_name"))
+    for name, model in fitted.items():
         if name == fallback:
-            routed = raw.join(known.filter(F.col("_model") != fallback), "series_id", "left_anti")
-        picked, missing = predict_all(routed, model, horizons, as_of_date, refresh, None if isinstance(model, str) else columns)
+            routed = raw.join(routes, F.col("series_id") == F.col("_series"), "left_anti")
+        else:
+            routed = raw.join(known.filter(F.col("_model") == name), "series_id", "left_semi")
+        picked, missing = predict_all(routed, model, horizons, as_of_date, refresh, columns)
         parts.append(picked.withColumn("model", F.lit(name)))
         lost.append(missing)
     return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, lost)

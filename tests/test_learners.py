@@ -47,6 +47,23 @@ def test_train_save_load_predict(spark, raw, tmp_path):
     assert [r["series_id"] for r in lost.collect()] == ["tiny"]
 
 
+def test_routes_that_repeat_or_lack_a_series(spark, panel):
+    """Series by series, the rows of ``predict_all`` for the models that each is routed to, and no other."""
+    points = [(d, (i * 37 % 11) + i / 10) for i, d in enumerate(days("2024-01-01", 40))]
+    raw = panel({s: points for s in ("own", "two", "twice", "both", "strange", "none", "gone", None)}).filter("series_id is null or series_id <> 'gone'")
+    raw = raw.unionByName(spark.createDataFrame([("lost", None, 1.0, 0)], raw.schema))
+    routes = [("own", "last"), ("two", "drift"), ("two", "mean"), ("twice", "mean"), ("twice", "mean"), ("both", "naive"), ("both", "drift"), ("strange", "x"), ("gone", "mean"), (None, "drift"), ("lost", "mean")]
+    winners = spark.createDataFrame(routes, "series_id string, model string")
+    models = {"naive": "naive", "drift": "drift", "mean": "mean", "last": "naive"}
+    picked, lost = predict_routed(raw, winners, models, (1, 3))
+    expected = {"own": ["last"], "two": ["drift", "mean"], "twice": ["mean"], "both": ["drift"], "strange": ["naive"], "none": ["naive"], None: ["naive"]}
+    rows = sorted(((r["series_id"] or "", r["model"], r["horizon"], r["prediction"]) for r in picked.collect()))
+    plain = {m: {r["horizon"]: r["prediction"] for r in predict_all(raw.filter("series_id = 'own'"), m, (1, 3))[0].collect()} for m in set(models.values())}
+    assert rows == sorted((s or "", m, h, plain[models[m]][h]) for s, names in expected.items() for m in names for h in (1, 3))
+    assert picked.columns[-1] == "model"
+    assert sorted(r["series_id"] or "" for r in lost.collect()) == ["", "lost"]  # as in predict_all, a missing series is never reached
+
+
 def test_baseline_training(raw):
     table, rejected = train_baselines(prepare(raw), initial=200, test=20, step=20)
     assert {r["model"] for r in table.collect()} == {"naive", "seasonal_naive"}

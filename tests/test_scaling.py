@@ -148,3 +148,16 @@ def test_complete_cases_are_one_condition_a_column(spark):
     assert filters.complete_cases(df, []).count() == len(rows)
     # a condition over all columns is copied for every subset of the renamed ones
     assert "atleastnnonnulls" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_best_baselines_are_predicted_from_one_panel(spark, monkeypatch, tmp_path):
+    lines = [(i % 3 if i % 40 else None, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 3), float(i * i * 37 % 101 + 1), i) for i in range(360)]
+    schema = "l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_orderkey bigint"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(frames, "TASK_ROWS", 100)
+    found = REGISTERED["predict_best_per_series"].run(spark, str(tmp_path))
+    rows = found.collect()
+    assert len(rows) == 12 and {r["series_id"] for r in rows} == {None, "0", "1", "2"}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
+    # winners and forecasts read the lines once each, and share the shuffles of them
+    assert plan[1].count("FileScan parquet") == 2 and "ReusedExchange" in plan[0]
