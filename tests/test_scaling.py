@@ -161,3 +161,19 @@ def test_best_baselines_are_predicted_from_one_panel(spark, monkeypatch, tmp_pat
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
     # winners and forecasts read the lines once each, and share the shuffles of them
     assert plan[1].count("FileScan parquet") == 2 and "ReusedExchange" in plan[0]
+
+
+def test_full_set_shuffles_lines_once_unless_a_series_is_large(spark, monkeypatch, tmp_path):
+    lines = [(i % 3 if i % 40 else None, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 6) if i != 7 else None, float(i * 37 % 101 + 1), i) for i in range(120)]
+    schema = "l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_orderkey bigint"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = REGISTERED["feature_full_set_wide"].run
+    plain = sorted(repr(tuple(r)) for r in run(spark, str(tmp_path)).collect())
+    assert len(plain) > 60
+    for task_rows, keys in ((50, ["series_id"]), (20, ["series_id, date", "series_id"])):
+        monkeypatch.setattr(frames, "TASK_ROWS", task_rows)
+        found = run(spark, str(tmp_path))
+        plan = re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString())
+        dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\), (\w+)", plan)
+        assert sorted(dealt) == sorted((k, "REPARTITION_BY_NUM") for k in keys)
+        assert sorted(repr(tuple(r)) for r in found.collect()) == plain
