@@ -46,6 +46,17 @@ def train_state(w, season: int = SEASON, mean_window: int = MEAN_WINDOW, train_r
     }
 
 
+def add_train_state(df: DataFrame, w, near: Column, season: int = SEASON, mean_window: int = MEAN_WINDOW) -> DataFrame:
+    """``train_state`` of the rows ``near`` holds for, or does not know; the others go.
+
+    ``near`` must hold for the rows asked for and for the ``season`` and ``mean_window`` rows up to each. Frames that slide add
+    up their rows anew for every row, so they run over these rows alone; what runs along is worked out before.
+    """
+    state = train_state(w, season, mean_window)
+    sliding = {name: state.pop(name) for name in ("_mean", "_season")}
+    return df.withColumns(state).filter(F.coalesce(near, F.lit(True))).withColumns(sliding)
+
+
 def baseline_prediction(model: str, step: Column) -> Column:
     """Forecast ``step`` rows after the train end from the state columns."""
     if model == "naive":
@@ -75,10 +86,13 @@ def forecast_split(
 ) -> DataFrame:
     """Baseline predictions for the test rows of a ``chronological_split``, in long format, with naive scales."""
     w = by_date(keys)
-    df = split.withColumn("_step", F.col("value") - F.lag("value").over(w))
-    df = df.withColumns(train_state(w, season, mean_window))
+    is_end = F.col("row_number") == F.col("train_size")
+    df = split.withColumns({"_step": F.col("value") - F.lag("value").over(w), "_at": F.row_number().over(w)})
+    df = df.withColumn("_end", F.min(F.when(is_end, F.col("_at"))).over(whole(w)))
+    near = (F.col("_at") > F.col("_end") - max(season, mean_window)) | (F.col("split") == "test")
+    df = add_train_state(df, w, near, season, mean_window)
     state = F.struct("_size", "_first", "_last", "_mean", "_season", "scale_abs", "scale_sq")
-    at_end = F.when(F.col("row_number") == F.col("train_size"), state)
+    at_end = F.when(is_end, state)
     df = df.withColumn("_state", F.last(at_end, ignorenulls=True).over(running(w))).filter(F.col("split") == "test")
     df = df.select(*keys, "date", F.col("value").alias("actual"), "row_number", "train_size", "_state.*")
     first_test = F.min("row_number").over(whole(w))

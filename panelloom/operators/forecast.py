@@ -17,7 +17,7 @@ from panelloom.functions.calendar import business_day_after
 from panelloom.functions.frames import SERIES, by_date, whole
 from panelloom.functions.history import last_n, needed_history, next_features, refreshed_features
 from panelloom.functions.numeric import ratio
-from panelloom.operators.backtest import BASELINES, MEAN_WINDOW, SEASON, baseline_prediction, train_state
+from panelloom.operators.backtest import BASELINES, MEAN_WINDOW, SEASON, add_train_state, baseline_prediction
 from panelloom.operators.filters import tail
 from panelloom.session import checkpointed
 
@@ -71,8 +71,15 @@ def forecast_baselines(
 ) -> DataFrame:
     """Business-day forecasts of the baselines, stacked with a ``model`` column."""
     w = by_date(keys)
-    known = panel.filter(F.col("value").isNotNull()).withColumn("_step", F.col("value") - F.lag("value").over(w))
-    state = known.withColumns({**train_state(w, SEASON, MEAN_WINDOW), "_next": F.lead("date").over(w)})
+    known = panel.filter(F.col("value").isNotNull()).withColumns(
+        {
+            "_step": F.col("value") - F.lag("value").over(w),
+            "_next": F.lead("date").over(w),
+            "_left": F.count(F.lit(1)).over(whole(w)) - F.row_number().over(w),
+        }
+    )
+    # rows without a date come first, and one before another has no next date either
+    state = add_train_state(known, w, F.col("date").isNull() | (F.col("_left") < max(SEASON, MEAN_WINDOW)))
     state = state.filter(F.col("_next").isNull()).withColumns({"last_date": F.col("date"), "last_price": F.col("value")})
     steps = state.withColumn("day_ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     price = [

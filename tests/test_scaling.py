@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions import frames, lookback
-from panelloom.operators import features, filters, monitoring
+from panelloom.operators import backtest, features, filters, forecast, monitoring, splits
 from panelloom.operators.cleaning import align_calendar, clean
 from panelloom.plans import hot_series
 from panelloom.registered import REGISTERED, logs, panels
@@ -177,3 +177,37 @@ def test_full_set_shuffles_lines_once_unless_a_series_is_large(spark, monkeypatc
         dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\), (\w+)", plan)
         assert sorted(dealt) == sorted((k, "REPARTITION_BY_NUM") for k in keys)
         assert sorted(repr(tuple(r)) for r in found.collect()) == plain
+
+
+def test_sliding_states_are_worked_out_for_the_needed_rows_alone(spark):
+    odd = {3: None, 60: float("nan"), 61: None}
+    rows = [(s, DAY + dt.timedelta(days=i), odd.get(i, (i * 37 % 101) / 7), i) for s, n in (("a", 170), ("b", 45), ("c", 1), (None, 90)) for i in range(n)]
+    rows += [("undated", None, 1.0, 0), ("undated", None, 2.0, 1), ("undated", DAY, 3.0, 2)]
+    df = spark.createDataFrame(rows, "series_id string, date date, value double, ingest_seq bigint")
+    w = frames.by_date()
+    state = ["_size", "_first", "_last", "_mean", "_season", "scale_abs", "scale_sq"]
+
+    def listed(df):
+        return sorted(repr(tuple(r)) for r in df.collect())
+
+    split = splits.chronological_split(df)
+    at_end = F.when(F.col("row_number") == F.col("train_size"), F.struct(*state))
+    every = split.withColumn("_step", F.col("value") - F.lag("value").over(w)).withColumns(backtest.train_state(w))
+    every = every.withColumn("_state", F.last(at_end, ignorenulls=True).over(frames.running(w))).filter("split = 'test'")
+    step = F.col("row_number") - F.min("row_number").over(frames.whole(w)) + 1
+    every = every.select("series_id", "date", step.alias("step"), F.col("value").alias("actual"), "_state.*")
+    expected = backtest._per_model(every, backtest.BASELINES, F.col("step"), ["series_id", "date", "step", "actual", "scale_abs", "scale_sq"])
+    found = backtest.forecast_split(split)
+    assert listed(found.select(expected.columns)) == listed(expected)
+
+    known = df.filter("value is not null").withColumn("_step", F.col("value") - F.lag("value").over(w))
+    last = known.withColumns({**backtest.train_state(w), "_next": F.lead("date").over(w)}).filter("_next is null")
+    last = backtest._per_model(last, backtest.BASELINES, F.lit(2), ["series_id", "date"])
+    expected = last.select("series_id", F.col("date").alias("last_date"), "model", F.greatest("prediction", F.lit(forecast.PRICE_FLOOR)).alias("predicted_price"))
+    ahead = forecast.forecast_baselines(df, 3)
+    assert listed(ahead.filter("day_ahead = 2").select(expected.columns)) == listed(expected)
+
+    for plan in (found, ahead):
+        steps = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" not in x]
+        (sliding,) = [i for i, x in enumerate(steps) if "RowFrame, -29" in x]
+        assert "Filter" in steps[sliding + 1] and "Window" in steps[sliding + 2]
