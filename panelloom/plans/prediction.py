@@ -25,14 +25,15 @@ def predict_all(
     refresh: str = "full",
     columns: Sequence[str] | None = None,
     ticks: DataFrame | None = None,
+    dealt: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The prediction table, and the series that could not be predicted.
 
     ``model`` is a fitted model or the name of a baseline; several names are stacked with a ``model`` column.
-    ``as_of_date`` hides later rows. ``ticks`` are the rows behind ``raw``, if their days are counted quicker there.
+    ``as_of_date`` hides later rows. ``ticks`` and ``dealt`` are those of ``clean``.
     """
     seen, ticks = (as_of(df, as_of_date) if as_of_date and df is not None else df for df in (raw, ticks))
-    cleaned = clean(seen, ticks=ticks)
+    cleaned = clean(seen, ticks=ticks, dealt=dealt)
     horizon = max(horizons)
     if not isinstance(model, PipelineModel):
         forecast = forecast_baselines(cleaned, horizon, (model,) if isinstance(model, str) else model)
@@ -59,13 +60,14 @@ def predict_routed(
     columns: Sequence[str] | None = None,
     fallback: str = "naive",
     ticks: DataFrame | None = None,
+    dealt: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``predict_all`` with the model that ``winners`` (``series_id, model``) names for each series.
 
     One pass for all baselines, whose few rows of a series meet its winner at the end, and one for each fitted model, over
     the series routed to it. A series without a winner, or whose winner is not among ``models``, is routed to the
-    ``fallback`` baseline. The predictions have a ``model`` column. ``ticks`` are the rows behind ``raw``, if their days are
-    counted quicker there.
+    ``fallback`` baseline. The predictions have a ``model`` column. ``ticks`` and ``dealt`` are those of ``clean``, for the rows
+    of all series.
     """
     known = winners.filter(F.col("model").isin(*models)).select("series_id", F.col("model").alias("_model"))
     kinds = {**models, fallback: models.get(fallback, fallback)}
@@ -90,11 +92,12 @@ def predict_routed(
             named = df.join(routes, F.col("series_id").eqNullSafe(F.col("_series")), "left").withColumn("_name", F.explode(names))
             return named.drop("_routes", "_series").filter(F.col("_name").isin(*baselines))
 
-        some = raw
+        some, shape = raw, {"ticks": ticks, "dealt": dealt}
         if fitted:
+            shape = {}
             elsewhere = routes.filter(~F.arrays_overlap("_routes", F.array(*[F.lit(name) for name in baselines])))
             some = raw.join(elsewhere, F.col("series_id") == F.col("_series"), "left_anti")
-        picked, missing = predict_all(some, sorted(set(baselines.values())), horizons, as_of_date, ticks=None if fitted else ticks)
+        picked, missing = predict_all(some, sorted(set(baselines.values())), horizons, as_of_date, **shape)
         picked = routed_rows(picked).filter(F.col("model") == bases[F.col("_name")])
         parts.append(picked.drop("model").withColumnRenamed("_name", "model"))
         lost.append(routed_rows(missing).drop("_name"))

@@ -12,7 +12,7 @@ from panelloom.operators.features import generate
 from panelloom.plans.prediction import predict_all, predict_routed
 from panelloom.plans.training import choose_baseline
 from panelloom.registered.catalog import day, query, rounded, rounded_sql, stable_sql
-from panelloom.registered.panels import SHIPMENTS, TICKS, WEEKDAY, clean_sql, daily_shipments, order_ticks, shipment_ticks, weekday_orders
+from panelloom.registered.panels import SHIPMENTS, TICKS, WEEKDAY, clean_sql, daily_shipments, dealt_shipments, order_ticks, shipment_ticks, weekday_orders
 from panelloom.registered.splits import _MODEL_CASE, _SPLIT_FORECAST, score_sql, split_sql
 
 _PRICES = ["predicted_price", "ci_lower", "ci_upper"]
@@ -91,9 +91,10 @@ _WINNERS = f"""known AS (SELECT * FROM cleaned WHERE value IS NOT NULL), wn AS (
 )
 def predict_best_per_series(spark, sf_dir):
     """Every series forecast by the baseline that did best on its held-out rows, one pass for each kind of model."""
-    raw, ticks = daily_shipments(spark, sf_dir), shipment_ticks(spark, sf_dir)
-    winners = choose_baseline(splits.chronological_split(clean(raw, ticks=ticks).filter(F.col("value").isNotNull())))
-    rows, _ = predict_routed(raw, winners, {m: m for m in BASELINES}, ticks=ticks)
+    raw, dealt = dealt_shipments(spark, sf_dir)
+    shape = {"ticks": shipment_ticks(spark, sf_dir), "dealt": dealt}
+    winners = choose_baseline(splits.chronological_split(clean(raw, **shape).filter(F.col("value").isNotNull())))
+    rows, _ = predict_routed(raw, winners, {m: m for m in BASELINES}, **shape)
     rows = rows.drop("prediction_date").withColumns({c: F.col(c).cast("string") for c in ("as_of_date", "target_date")})
     return rounded(rows, ["prediction", "predicted_change_pct"])
 

@@ -154,13 +154,17 @@ def test_best_baselines_are_predicted_from_one_panel(spark, monkeypatch, tmp_pat
     lines = [(i % 3 if i % 40 else None, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 3), float(i * i * 37 % 101 + 1), i) for i in range(360)]
     schema = "l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_orderkey bigint"
     spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
-    monkeypatch.setattr(frames, "TASK_ROWS", 100)
-    found = REGISTERED["predict_best_per_series"].run(spark, str(tmp_path))
-    rows = found.collect()
-    assert len(rows) == 12 and {r["series_id"] for r in rows} == {None, "0", "1", "2"}
-    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
-    # winners and forecasts read the lines once each, and share the shuffles of them
-    assert plan[1].count("FileScan parquet") == 2 and "ReusedExchange" in plan[0]
+    known = []
+    for task_rows, shuffles in ((100, 2), (130, 1)):  # series of less than 130 lines, some of more than 100
+        monkeypatch.setattr(frames, "TASK_ROWS", task_rows)
+        found = REGISTERED["predict_best_per_series"].run(spark, str(tmp_path))
+        known.append(sorted(repr(tuple(r)) for r in found.collect()))
+        assert len(known[-1]) == 12 and {r["series_id"] for r in found.collect()} == {None, "0", "1", "2"}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
+        # winners and forecasts read the lines once each, and share the shuffles of them
+        assert plan[1].count("FileScan parquet") == 2 and "ReusedExchange" in plan[0]
+        assert plan[1].count("REPARTITION_BY_NUM") == 2 * shuffles
+    assert known[0] == known[1]
 
 
 def test_full_set_shuffles_lines_once_unless_a_series_is_large(spark, monkeypatch, tmp_path):
